@@ -7,6 +7,7 @@ may ride in a broadcast once that bound is checked (``bounded_broadcast``).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.plans.joins import bounded_broadcast
 from roadtrace.schema import ARC_FLAGS
-from roadtrace.session import cut_lineage
+from roadtrace.session import checkpoint_dir
 
 ARC_COLS = ["gatefrom", "gateto", *ARC_FLAGS]
 
@@ -34,13 +35,16 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
     one or more arcs, so two routes with different flags give two rows.  It is
     reached by path doubling, ``R <- R u R.R``, which needs log2(longest path)
     rounds and terminates on cyclic maps (the set of flag combinations is
-    finite).  Each round is written to the reliable checkpoint folder so the
-    lineage stays one round deep.
+    finite).  Each round is written as a table in the reliable checkpoint
+    folder and read back, so the lineage stays one round deep and a round is
+    computed once (a DataFrame checkpoint would compute it for the eager
+    count and again for the write).
     """
-    known = cut_lineage(arcs.select(*ARC_COLS).distinct())
+    spark = arcs.sparkSession
+    known = write_round(spark, arcs.select(*ARC_COLS).distinct())
     n = known.count()
     for _ in range(max_rounds):
-        grown = cut_lineage(known.unionByName(compose_arcs(known, known)).distinct())
+        grown = write_round(spark, known.unionByName(compose_arcs(known, known)).distinct())
         m = grown.count()
         if m == n:
             return grown
@@ -48,6 +52,13 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
 
 
+def write_round(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write a small intermediate table under the checkpoint folder and read it back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/roadtrace-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut_eligible_arcs(closure: DataFrame) -> DataFrame:
     """Arcs where a trip may be cut: an entry/exit and no service area."""
     return closure.filter(~F.col("hasServiceArea") & F.col("hasEntryExit"))
@@ -116,18 +127,19 @@ class Network:
 
 def build_network(gates: DataFrame, arcs: DataFrame) -> Network:
     closure = arc_closure(arcs)
-    pairs = cut_lineage(closure_pairs(closure))
-    oriented = cut_lineage(oriented_arcs(enrich_arcs(closure, gates)))
+    spark = arcs.sparkSession
+    pairs = write_round(spark, closure_pairs(closure))
+    oriented = write_round(spark, oriented_arcs(enrich_arcs(closure, gates)))
     return Network(gates=gates, arcs=arcs, closure=closure, pairs=pairs, oriented=oriented)
 
 
-_NETWORKS: dict[tuple[int, str], Network] = {}
+_NETWORKS: dict[tuple[str, str], Network] = {}
 
 
 def synthetic_network(spark: SparkSession) -> Network:
     """The test network, built once per session (its closure loop runs jobs)."""
     from roadtrace.sources.network import synthetic_arcs, synthetic_gates
-    key = (id(spark._jsparkSession), "synthetic")
+    key = (spark.sparkContext.applicationId, "synthetic")
     if key not in _NETWORKS:
         _NETWORKS[key] = build_network(synthetic_gates(spark), synthetic_arcs(spark))
     return _NETWORKS[key]

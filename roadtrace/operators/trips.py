@@ -15,15 +15,14 @@ T = whole minutes between the two sightings > ``cut_minutes``:
 * ``documented`` : not L or (C and T)   -- what its documentation describes
 * ``gap``        : T                    -- time only
 
-Distribution.  The plan is a window over ``(plate, chunk)``.  For ordinary
-plates ``chunk`` is constant, so the window sees the whole plate.  Plates
-with more than ``hot_threshold`` sightings (there are at most
-rows / hot_threshold of them, so that list is broadcast) are split into
-``hot_chunk_minutes`` time chunks, each its own window partition and task.
-What crosses a chunk border -- the previous chunk's last sighting, the number
-of rows and trips before the chunk, where the open trip started -- comes from
-a per-chunk summary (one row per hot chunk) with prefix sums over the chunks
-of a plate, joined back on ``(plate, chunk)``.  The rows are shuffled once.
+Distribution.  Ordinary plates take one window partition each.  Plates with
+more than ``hot_threshold`` sightings (at most rows / hot_threshold of them,
+so that list is broadcast) are split into ``hot_chunk_minutes`` time chunks,
+each its own window partition, so no task holds a whole hot plate.  What
+crosses a chunk border -- the previous chunk's last sighting, the number of
+rows and trips before the chunk, where the open trip started -- comes from a
+per-chunk summary (one row per hot chunk) with prefix sums over the chunks of
+a plate, joined back on ``(plate, chunk)``.  Each row is shuffled once.
 """
 
 from __future__ import annotations
@@ -75,6 +74,25 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
     return j.withColumn(out, rule).drop("_lk_from", "_lk_to", "_lk_cut")
 
 
+def _sequence(x: DataFrame, w, pairs: DataFrame | None, policy: str, cut_minutes: int) -> DataFrame:
+    """Within window partitions ``w``: position, previous sighting, inner split flags.
+
+    ``_isplit`` is the split rule between a row and the previous row of the
+    same partition (false for the partition's first row); ``_cum`` counts
+    those splits up to the row and ``_lastsplit`` is the position of the
+    latest one.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = (x.withColumn("_rn", F.row_number().over(w))
+         .withColumn("_pg", F.lag("gate").over(w))
+         .withColumn("_pt", F.lag("ts").over(w)))
+    x = _with_split(x, F.col("_pg"), F.col("gate"), F.col("_pt"), F.col("ts"),
+                    pairs, policy, cut_minutes, "_isplit")
+    x = x.withColumn("_isplit", F.coalesce(F.col("_isplit"), F.lit(False)))
+    return (x.withColumn("_cum", F.sum(F.col("_isplit").cast("long")).over(upto))
+            .withColumn("_lastsplit", F.max(F.when(F.col("_isplit"), F.col("_rn"))).over(upto)))
+
+
 def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_coded",
                cut_minutes: int = CUT_MINUTES, hot_threshold: int = HOT_PLATE_ROWS,
                hot_chunk_minutes: int = HOT_CHUNK_MINUTES) -> DataFrame:
@@ -82,7 +100,8 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
 
     ``df`` holds ``plate, gate, lane, ts, nationality`` without nulls (drop
     them first, P6).  ``pairs`` is ``closure_pairs(...)`` (not needed for the
-    ``gap`` policy).
+    ``gap`` policy).  Ordinary plates take one window per plate; hot plates
+    take the chunked path; every row goes through exactly one of the two.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
@@ -92,26 +111,27 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
     hot = (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_threshold)
            .select("plate", F.lit(True).alias("_hot")))
-    chunk = (F.when(F.col("_hot"), F.floor(epoch_seconds("ts") / F.lit(hot_chunk_minutes * 60)))
-             .otherwise(F.lit(-1)).cast("long"))
-    x = (df.join(F.broadcast(hot), "plate", "left")
-         .withColumn("_chunk", chunk).drop("_hot")
-         .repartition("plate", "_chunk"))
+    base = df.join(F.broadcast(hot), "plate", "left")
 
-    w = Window.partitionBy("plate", "_chunk").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = (x.withColumn("_rn", F.row_number().over(w))
-         .withColumn("_pg", F.lag("gate").over(w))
-         .withColumn("_pt", F.lag("ts").over(w)))
-    x = _with_split(x, F.col("_pg"), F.col("gate"), F.col("_pt"), F.col("ts"),
-                    pairs, policy, cut_minutes, "_isplit")
-    x = x.withColumn("_isplit", F.coalesce(F.col("_isplit"), F.lit(False)))
-    x = (x.withColumn("_cum", F.sum(F.col("_isplit").cast("long")).over(upto))
-         .withColumn("_lastsplit", F.max(F.when(F.col("_isplit"), F.col("_rn"))).over(upto)))
+    # ---- ordinary plates: the window sees the whole plate
+    c = _sequence(base.filter(F.col("_hot").isNull()).drop("_hot"),
+                  Window.partitionBy("plate").orderBy(*order), pairs, policy, cut_minutes)
+    cont = (F.col("_rn") > 1) & ~F.col("_isplit")
+    cold = c.select(
+        *cols,
+        (F.col("_cum") + 1).alias("tripid"),
+        (F.col("_rn") - F.coalesce(F.col("_lastsplit"), F.lit(1)) + 1).cast("long").alias("step"),
+        F.when(cont, F.col("_pg")).alias("prev_gate"),
+        F.when(cont, F.col("_pt")).alias("prev_ts"))
+
+    # ---- hot plates: one window partition per (plate, time chunk)
+    chunk = F.floor(epoch_seconds("ts") / F.lit(hot_chunk_minutes * 60)).cast("long")
+    x = (base.filter(F.col("_hot")).drop("_hot")
+         .withColumn("_chunk", chunk)
+         .repartition("plate", "_chunk"))
+    x = _sequence(x, Window.partitionBy("plate", "_chunk").orderBy(*order), pairs, policy, cut_minutes)
 
-    # ---- per-chunk summary of the hot plates (empty for ordinary data)
-    s = (x.filter(F.col("_chunk") >= 0)
-         .groupBy("plate", "_chunk")
+    s = (x.groupBy("plate", "_chunk")
          .agg(F.count(F.lit(1)).alias("_n"),
               F.max(F.struct(*order)).alias("_last"),
               F.min(F.struct(*order)).alias("_first"),
@@ -133,22 +153,19 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
                  F.col("_carry.gate").alias("_cg"), F.col("_carry.ts").alias("_ct"),
                  "_row_off", "_fsplit", "_trip_off", "_carry_start")
 
-    y = x.join(s, ["plate", "_chunk"], "left")
+    y = x.join(s, ["plate", "_chunk"])
     first = F.col("_rn") == 1
-    fsplit = F.coalesce(F.col("_fsplit"), F.lit(True))
-    row_off = F.coalesce(F.col("_row_off"), F.lit(0))
-    split = F.when(first, fsplit).otherwise(F.col("_isplit"))
-    start = (F.when(F.col("_lastsplit").isNotNull(), row_off + F.col("_lastsplit"))
-             .when(fsplit, row_off + 1)
+    split = F.when(first, F.col("_fsplit")).otherwise(F.col("_isplit"))
+    start = (F.when(F.col("_lastsplit").isNotNull(), F.col("_row_off") + F.col("_lastsplit"))
+             .when(F.col("_fsplit"), F.col("_row_off") + 1)
              .otherwise(F.col("_carry_start")))
-    return y.select(
+    hot_out = y.select(
         *cols,
-        (F.coalesce(F.col("_trip_off"), F.lit(0)) + fsplit.cast("long") + F.col("_cum"))
-        .alias("tripid"),
-        (row_off + F.col("_rn") - start + 1).cast("long").alias("step"),
+        (F.col("_trip_off") + F.col("_fsplit").cast("long") + F.col("_cum")).alias("tripid"),
+        (F.col("_row_off") + F.col("_rn") - start + 1).cast("long").alias("step"),
         F.when(~split, F.when(first, F.col("_cg")).otherwise(F.col("_pg"))).alias("prev_gate"),
-        F.when(~split, F.when(first, F.col("_ct")).otherwise(F.col("_pt"))).alias("prev_ts"),
-    )
+        F.when(~split, F.when(first, F.col("_ct")).otherwise(F.col("_pt"))).alias("prev_ts"))
+    return cold.unionByName(hot_out)
 
 
 def segments(trips: DataFrame) -> DataFrame:

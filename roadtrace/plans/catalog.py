@@ -53,7 +53,8 @@ def register(name: str, ids: str, sql: str | None):
 
 
 def _p(spark, sf_dir, policy="as_coded") -> Pipeline:
-    return Pipeline(spark, sf_dir, policy=policy, cut_minutes=TEST_CUT_MINUTES)
+    return Pipeline(spark, sf_dir, policy=policy, cut_minutes=TEST_CUT_MINUTES,
+                    materialize_stages=True)
 
 
 # ======================================================== sources, cleaning

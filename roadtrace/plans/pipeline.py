@@ -19,6 +19,7 @@ from roadtrace.operators import segments as segm
 from roadtrace.operators import trips as tr
 from roadtrace.operators.network import Network, synthetic_network
 from roadtrace.sources.adapter import load_sightings
+from roadtrace.sources.stages import materialize
 
 # Cut time used with the synthetic test tables: their per-plate gaps are far
 # longer than a real highway's, so the 30-minute cut would end every trip.
@@ -30,7 +31,8 @@ class Pipeline:
                  raw: DataFrame | None = None, network: Network | None = None,
                  policy: str = "as_coded", cut_minutes: int = TEST_CUT_MINUTES,
                  hot_threshold: int = tr.HOT_PLATE_ROWS,
-                 hot_chunk_minutes: int = tr.HOT_CHUNK_MINUTES):
+                 hot_chunk_minutes: int = tr.HOT_CHUNK_MINUTES,
+                 materialize_stages: bool = False):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw")
         self.spark = spark
@@ -41,11 +43,22 @@ class Pipeline:
         self.cut_minutes = cut_minutes
         self.hot_threshold = hot_threshold
         self.hot_chunk_minutes = hot_chunk_minutes
+        # Write the cleaned sightings and each policy's trips once per
+        # application (only when the input is identified by sf_dir)
+        self.materialize_stages = materialize_stages and sf_dir is not None
+
+    def _stage(self, name: str, params: tuple, build) -> DataFrame:
+        if not self.materialize_stages:
+            return build()
+        return materialize(self.spark, name, (self.sf_dir, *params), build)
 
     # ------------------------------------------------------------- cleaning
     @cached_property
     def raw(self) -> DataFrame:
-        return self._raw if self._raw is not None else load_sightings(self.spark, self.sf_dir)
+        if self._raw is not None:
+            return self._raw
+        # S1 + S5: the de-duplicated sightings, written once (the original's raw stage)
+        return self._stage("raw", (), lambda: load_sightings(self.spark, self.sf_dir))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -70,7 +83,7 @@ class Pipeline:
 
     @cached_property
     def fixed(self) -> DataFrame:
-        return q.fix_nationality(self.clean, self.fixable)
+        return self._stage("fixed", (), lambda: q.fix_nationality(self.clean, self.fixable))
 
     @cached_property
     def nonnull(self) -> DataFrame:
@@ -86,8 +99,10 @@ class Pipeline:
     # ----------------------------------------------------------------- trips
     def trips_for(self, policy: str) -> DataFrame:
         pairs = None if policy == "gap" else self.network.pairs
-        return tr.sessionize(self.nonnull, pairs, policy, self.cut_minutes,
-                             self.hot_threshold, self.hot_chunk_minutes)
+        return self._stage(
+            f"trips_{policy}", (self.cut_minutes, self.hot_threshold, self.hot_chunk_minutes),
+            lambda: tr.sessionize(self.nonnull, pairs, policy, self.cut_minutes,
+                                  self.hot_threshold, self.hot_chunk_minutes))
 
     @cached_property
     def trips(self) -> DataFrame:
