@@ -43,8 +43,9 @@ class Pipeline:
         self.cut_minutes = cut_minutes
         self.hot_threshold = hot_threshold
         self.hot_chunk_minutes = hot_chunk_minutes
-        # Write the cleaned sightings and each policy's trips once per
-        # application (only when the input is identified by sf_dir)
+        # Write the raw, conflict, multi-nationality and repaired tables
+        # and each policy's trips once per application (as the original's
+        # Parquet stages; only when the input is identified by sf_dir)
         self.materialize_stages = materialize_stages and sf_dir is not None
 
     def _stage(self, name: str, params: tuple, build) -> DataFrame:
@@ -66,7 +67,7 @@ class Pipeline:
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return q.spatial_conflicts(self.valid)
+        return self._stage("conflicts", (), lambda: q.spatial_conflicts(self.valid))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -75,7 +76,7 @@ class Pipeline:
 
     @cached_property
     def multinat(self) -> DataFrame:
-        return q.multinat_plates(self.clean)
+        return self._stage("multinat", (), lambda: q.multinat_plates(self.clean))
 
     @cached_property
     def fixable(self) -> DataFrame:
