@@ -385,6 +385,66 @@ def _window_analysis(spark, d):
     return rounded(feat.window_analysis(_p(spark, d).nonnull))
 
 
+# ============================================================ clustering
+_GLOBAL_NUM = ["num_gates", "num_lanes", "num_gatelane", "num_months", "num_days", "num_hours",
+               "num_daysofweek", "num_seen", "mostFreqHour", "mostFreqDayOfWeek", "mostFreqGate"]
+_FEATURE_NUM = _GLOBAL_NUM + _SUMMARY_COLS + ["numtrips"]
+
+
+def _scaled_sql() -> str:
+    cols = ", ".join(
+        f"round(CASE WHEN coalesce(stddev_samp({c}) OVER (), 0) = 0 THEN 0.0 "
+        f"ELSE {c} / stddev_samp({c}) OVER () END, {ROUND}) AS {c}" for c in _FEATURE_NUM)
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _FEATURE_NUM)
+    return (f"SELECT plate, nationality, {cols} FROM (SELECT plate, nationality, {filled} FROM ("
+            f"{_GLOBAL_SELECT}) g JOIN tsummary t USING (plate))")
+
+
+@register("normalize_features", "M1 P11", with_ctes(_scaled_sql(), policy="as_coded", global_features=True))
+def _normalize(spark, d):
+    from roadtrace.operators import clustering as cl
+    pf = _p(spark, d).plate_features
+    num = cl.numeric_columns(pf, exclude=("plate",))
+    return rounded(cl.normalize(cl.fill_undefined(pf, num), num))
+
+
+def _vectors(spark, d):
+    return _p(spark, d).vectorized
+
+
+@register("vectorize_features", "M2 F11", None)
+def _vectorize(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    return _vectors(spark, d).select("plate", vector_to_array("features").alias("features"))
+
+
+@register("kmeans_wcss", "M3 M4 M7", None)
+def _kmeans(spark, d):
+    from roadtrace.operators import clustering as cl
+    _, elbow = cl.cluster_sweep(_vectors(spark, d), "kmeans")
+    return elbow
+
+
+@register("gmm_sweep", "M5 M7", None)
+def _gmm(spark, d):
+    from roadtrace.operators import clustering as cl
+    _, fits = cl.cluster_sweep(_vectors(spark, d), "gmm")
+    return fits
+
+
+@register("anomalies", "M6 A9 P14 O4", None)
+def _anomalies(spark, d):
+    from roadtrace.operators import clustering as cl
+    vec = _vectors(spark, d)
+    models, _ = cl.cluster_sweep(vec, "kmeans")
+    out = None
+    for k, model in models:
+        one = (cl.anomalies(model.transform(vec).select("plate", "prediction"))
+               .select(F.lit("kmeans").alias("algo"), F.lit(k).alias("k"), "plate", "prediction"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 

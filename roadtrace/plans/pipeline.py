@@ -133,3 +133,13 @@ class Pipeline:
     @cached_property
     def plate_features(self) -> DataFrame:
         return feat.plate_features(self.global_features, self.trip_summary)
+
+    # ------------------------------------------------------------- clustering
+    @cached_property
+    def vectorized(self) -> DataFrame:
+        """M1 + M2 output, a stage (as the original's vectorized table): the
+        clustering fits iterate over it many times."""
+        from roadtrace.operators.clustering import plate_vectors
+        return self._stage(f"vectorized_{self.policy}",
+                           (self.cut_minutes, self.hot_threshold, self.hot_chunk_minutes),
+                           lambda: plate_vectors(self.plate_features))
