@@ -108,14 +108,19 @@ def plate_features(global_features: DataFrame, trip_summary: DataFrame) -> DataF
     return global_features.join(trip_summary, "plate")
 
 
-def avg_gaps(df: DataFrame, unit: str = "MINUTE", key: str = "plate",
-             ts: str = "ts", order: list[str] | None = None) -> DataFrame:
-    """F2: per key, the mean truncated gap between consecutive instants (0.0 if < 2)."""
-    order = order or [ts]
-    w = Window.partitionBy(key).orderBy(*order)
-    gaps = df.select(key, ts, *[c for c in order if c != ts]).withColumn(
-        "_gap", duration_between(F.lag(ts).over(w), F.col(ts), unit))
-    return gaps.groupBy(key).agg(F.coalesce(F.avg("_gap"), F.lit(0.0)).alias(f"avg_{unit.lower()}_gap"))
+def avg_gaps(sightings: DataFrame, units: tuple[str, ...] = ("DAY", "HOUR", "MINUTE", "SECOND"),
+             **hot) -> DataFrame:
+    """per plate, the mean truncated gap between consecutive sightings in
+    each unit (0.0 with fewer than two sightings), one aggregate for all units.
+
+    Consecutive pairs come from ``previous_sighting`` (skew-safe for hot
+    plates); ``hot`` passes its ``hot_threshold`` / ``hot_chunk_minutes``.
+    """
+    from roadtrace.operators.trips import previous_sighting
+    p = previous_sighting(sightings, **hot)
+    return p.groupBy("plate").agg(*[
+        F.coalesce(F.avg(duration_between(F.col("prev_ts"), F.col("ts"), u)), F.lit(0.0))
+        .alias(f"avg_{u.lower()}_gap") for u in units])
 
 
 def window_analysis(df: DataFrame, timespan: str = "1 hour", gate_col: str = "gate",

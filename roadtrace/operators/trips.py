@@ -49,6 +49,8 @@ def split_rule(policy: str, gap_minutes: Column, legal: Column, cut_ok: Column,
         return ~legal | (cut_ok & t)
     if policy == "gap":
         return t
+    if policy == "none":
+        return F.lit(False)
     raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
 
 
@@ -60,7 +62,7 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
     (bounded by #gates^2; the caller checked it) instead of a driver-side set.
     """
     gap = minutes_between(prev_ts, ts)
-    if policy == "gap":
+    if policy in ("gap", "none"):
         return df.withColumn(out, split_rule(policy, gap, F.lit(False), F.lit(False), cut_minutes))
     if pairs is None:
         raise ValueError(f"policy {policy!r} needs the network closure pairs")
@@ -103,7 +105,7 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
     ``gap`` policy).  Ordinary plates take one window per plate; hot plates
     take the chunked path; every row goes through exactly one of the two.
     """
-    if policy not in POLICIES:
+    if policy not in (*POLICIES, "none"):
         raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
     cols = df.columns
     order = SEQUENCE_ORDER
@@ -168,6 +170,17 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
     return cold.unionByName(hot_out)
 
 
+def previous_sighting(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS,
+                      hot_chunk_minutes: int = HOT_CHUNK_MINUTES) -> DataFrame:
+    """Every sighting with the plate's previous one (``prev_gate``, ``prev_ts``).
+
+    Sessionization with a rule that never splits: the same skew-safe plan
+    (hot plates chunked by time), so consecutive pairs of a plate never need
+    the whole plate in one task.  The plate's first sighting has no previous.
+    """
+    return sessionize(df, None, "none", 0, hot_threshold, hot_chunk_minutes)
+
+
 def segments(trips: DataFrame) -> DataFrame:
     """One row per consecutive pair inside a trip (trips of one sighting give none)."""
     return trips.filter(F.col("step") > 1).select(

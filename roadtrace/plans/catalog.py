@@ -363,12 +363,7 @@ _GAP_UNITS = {"day": 86400000000, "hour": 3600000000, "minute": 60000000, "secon
     + " FROM (SELECT plate, ts, lag(ts) OVER (PARTITION BY plate ORDER BY ts, gate, lane, nationality) AS pt"
       " FROM nonnull) GROUP BY plate"))
 def _avg_gaps(spark, d):
-    nonnull = _p(spark, d).nonnull
-    out = None
-    for unit in _GAP_UNITS:
-        one = feat.avg_gaps(nonnull, unit.upper(), order=["ts", "gate", "lane", "nationality"])
-        out = one if out is None else out.join(one, "plate")
-    return rounded(out)
+    return rounded(feat.avg_gaps(_p(spark, d).nonnull))
 
 
 @register("window_analysis", "W1", with_ctes(f"""
