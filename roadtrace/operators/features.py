@@ -9,7 +9,7 @@ unbounded domain (timestamps) is planned with a first exchange on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.functions.time import calendar_parts, duration_between, minutes_between
@@ -124,19 +124,32 @@ def avg_gaps(sightings: DataFrame, units: tuple[str, ...] = ("DAY", "HOUR", "MIN
 
 
 def window_analysis(df: DataFrame, timespan: str = "1 hour", gate_col: str = "gate",
-                    ts_col: str = "ts") -> DataFrame:
+                    ts_col: str = "ts", **hot) -> DataFrame:
     """Per plate, averages over its tumbling windows of
 
     * ``hourly_gates``: distinct gates in the window, and
     * ``min_avg_diff``: mean whole-minute gap between consecutive instants in
       the window (0.0 with a single instant).
+
+    Consecutive pairs come from ``previous_sighting`` (skew-safe); a pair
+    belongs to a window when both instants fall in it.  The per-window figures
+    are then a map-side-combined aggregate, no window partition per group.
     """
-    x = df.select("plate", F.col(gate_col).alias("_g"), F.col(ts_col).alias("_t"))
-    x = x.withColumn("_w", F.window("_t", timespan).getField("start"))
-    w = Window.partitionBy("plate", "_w").orderBy("_t")
-    x = x.withColumn("_gap", minutes_between(F.lag("_t").over(w), F.col("_t")))
-    per = (x.groupBy("plate", "_w")
-           .agg(F.size(F.collect_set("_g")).alias("hourly_gates"),
+    from roadtrace.operators.trips import previous_sighting
+    x = df.select("plate", F.col(gate_col).alias("gate"), F.col(ts_col).alias("ts"),
+                  *(["lane"] if "lane" in df.columns else [F.lit(0.0).alias("lane")]),
+                  *(["nationality"] if "nationality" in df.columns else [F.lit("").alias("nationality")]))
+    p = previous_sighting(x, **hot)
+    # one window() per projection (Spark's rule), hence two steps; window()
+    # drops rows whose time is null, so the first sighting uses its own ts
+    # (its gap is null anyway)
+    p = p.withColumn("_w", F.window("ts", timespan).getField("start"))
+    p = p.withColumn("_pw", F.window(F.coalesce("prev_ts", "ts"), timespan).getField("start"))
+    p = p.select("plate", "gate", "_w",
+                 F.when(F.col("_pw") == F.col("_w"),
+                        minutes_between(F.col("prev_ts"), F.col("ts"))).alias("_gap"))
+    per = (p.groupBy("plate", "_w")
+           .agg(F.size(F.collect_set("gate")).alias("hourly_gates"),
                 F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("min_avg_diff")))
     return per.groupBy("plate").agg(F.avg("hourly_gates").alias("avg_hourly_gates"),
                                     F.avg("min_avg_diff").alias("min_avg_diff"))
