@@ -8,6 +8,7 @@ may ride in a broadcast once that bound is checked (``bounded_broadcast``).
 from __future__ import annotations
 
 import uuid
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,12 +126,26 @@ class Network:
         return self.closure.groupBy("gatefrom", "gateto").count().filter("count > 1").count()
 
 
-def build_network(gates: DataFrame, arcs: DataFrame) -> Network:
+def build_network(gates: DataFrame, arcs: DataFrame, check_routes: bool = True) -> Network:
     closure = arc_closure(arcs)
     spark = arcs.sparkSession
     pairs = write_round(spark, closure_pairs(closure))
     oriented = write_round(spark, oriented_arcs(enrich_arcs(closure, gates)))
-    return Network(gates=gates, arcs=arcs, closure=closure, pairs=pairs, oriented=oriented)
+    network = Network(gates=gates, arcs=arcs, closure=closure, pairs=pairs, oriented=oriented)
+    if check_routes:
+        n = network.check_unique_pairs()
+        if n:
+            # Q16: two routes with different flags give two closure rows for
+            # one pair, and each matching segment is enriched once per row
+            warnings.warn(f"{n} gate pairs have alternative routes with different flags; "
+                          "segments on them are enriched once per route", stacklevel=2)
+    return network
+
+
+def export_closure(closure: DataFrame, path: str) -> None:
+    """The closure as one CSV report ordered by (from, to)."""
+    from roadtrace.sources.stages import save_report_csv
+    save_report_csv(closure.orderBy("gatefrom", "gateto", *ARC_FLAGS), path)
 
 
 _NETWORKS: dict[tuple[str, str], Network] = {}

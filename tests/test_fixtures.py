@@ -183,3 +183,19 @@ def test_segment_duration_truncates(sightings):
         tr.segments(tr.sessionize(df, policy="gap"))
         .withColumn("posfrom", F.lit(0.0)).withColumn("posto", F.lit(1.0))).first()
     assert seg.segmentDuration == 59 / 3600.0
+
+
+def test_alternative_routes_warn(arcs_df, gates_df):
+    import pytest
+    arcs = arcs_df([(1, 2, False, True, False), (2, 4, False, False, False),
+                    (1, 3, False, False, False), (3, 4, False, False, False)])
+    gates = gates_df([(g, float(g), 1) for g in range(1, 5)])
+    with pytest.warns(UserWarning):
+        net.build_network(gates, arcs)
+
+
+def test_closure_export(spark, arcs_df, tmp_path):
+    closure = net.arc_closure(arcs_df([(1, 2, True, False, False), (2, 3, False, False, True)]))
+    net.export_closure(closure, str(tmp_path / "closure"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "closure"))
+    assert [(r.gatefrom, r.gateto) for r in back.collect()] == [("1", "2"), ("1", "3"), ("2", "3")]

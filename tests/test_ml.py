@@ -68,3 +68,13 @@ def test_anomaly_share_is_strict(spark):
     assert cl.anomalies(pred).count() == 0          # 5 of 100 is not < 5 %
     pred = spark.createDataFrame([(i, 0 if i < 96 else 1) for i in range(100)], "plate int, prediction int")
     assert cl.anomalies(pred).count() == 4
+
+
+def test_model_store_and_anomaly_sink(spark, vec, tmp_path):
+    models, _ = cl.kmeans_sweep(vec, ks=[2], model_dir=str(tmp_path / "models"))
+    again, _ = cl.kmeans_sweep(vec, ks=[2], model_dir=str(tmp_path / "models"))   # loaded, not refitted
+    assert [list(c) for c in models[0][1].clusterCenters()] == [list(c) for c in again[0][1].clusterCenters()]
+    pred = models[0][1].transform(vec)
+    cl.save_anomalies(pred, str(tmp_path / "anom.parquet"), str(tmp_path / "anom_csv"))
+    assert spark.read.parquet(str(tmp_path / "anom.parquet")).count() == 60
+    assert "features" not in spark.read.option("header", True).csv(str(tmp_path / "anom_csv")).columns
