@@ -96,6 +96,7 @@ def wcss(model: KMeansModel, df: DataFrame, features_col: str = FEATURES) -> flo
     pred = model.transform(df).select(vector_to_array(features_col).alias("_v"), "prediction")
     d2 = F.aggregate(F.zip_with("_v", "centre", lambda a, b: (a - b) * (a - b)),
                      F.lit(0.0), lambda acc, x: acc + x)
+    # k centres: bounded by the model, not by the data
     row = pred.join(F.broadcast(centres), "prediction").agg(F.sum(d2).alias("w")).first()
     return float(row.w or 0.0)
 
@@ -171,6 +172,7 @@ def anomalies(predictions: DataFrame, share: float = OUTLIER_SHARE,
     sizes = predictions.groupBy(prediction_col).agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.withColumn("_share", F.col("_size") / F.sum("_size").over(Window.partitionBy()))
     outliers = sizes.filter(F.col("_share") < share).select(prediction_col)
+    # at most k outlier clusters
     return (predictions.join(F.broadcast(outliers), prediction_col, "left_semi")
             .orderBy(prediction_col))
 

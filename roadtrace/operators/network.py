@@ -34,9 +34,9 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     The result is the set of ``(from, to, flags)`` over all paths (walks) of
     one or more arcs, so two routes with different flags give two rows.  It is
-    reached by path doubling, ``R <- R u R.R``, which needs log2(longest path)
-    rounds and terminates on cyclic maps (the set of flag combinations is
-    finite).  Each round is written as a table in the reliable checkpoint
+    reached by repeated powering, ``R <- R u R^2 u R^3 u R^4``, which needs
+    log4(longest path) + 1 rounds and terminates on cyclic maps (the set of
+    flag combinations is finite).  Each round is written as a table in the reliable checkpoint
     folder and read back, so the lineage stays one round deep and a round is
     computed once (a DataFrame checkpoint would compute it for the eager
     count and again for the write).
@@ -45,7 +45,11 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
     known = write_round(spark, arcs.select(*ARC_COLS).distinct())
     n = known.count()
     for _ in range(max_rounds):
-        grown = write_round(spark, known.unionByName(compose_arcs(known, known)).distinct())
+        # paths of up to 4x the length covered so far: R u R^2 u R^3 u R^4
+        r2 = compose_arcs(known, known)
+        grown = (known.unionByName(r2).unionByName(compose_arcs(r2, known))
+                 .unionByName(compose_arcs(r2, r2)).distinct())
+        grown = write_round(spark, grown)
         m = grown.count()
         if m == n:
             return grown
@@ -80,7 +84,7 @@ def enrich_arcs(arcs: DataFrame, gates: DataFrame) -> DataFrame:
                       F.col("highwayid").alias("highwayid_from"))
     gt = gates.select(F.col("gateid").alias("gateto"), F.col("pos").alias("pos_to"),
                       F.col("highwayid").alias("highwayid_to"))
-    return (arcs.join(F.broadcast(gf), "gatefrom").join(F.broadcast(gt), "gateto")
+    return (arcs.join(bounded_broadcast(gf), "gatefrom").join(bounded_broadcast(gt), "gateto")
             .select(*ARC_COLS, "pos_from", "highwayid_from", "pos_to", "highwayid_to"))
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtrace.functions.time import epoch_seconds, minutes_between
+from roadtrace.plans.joins import bounded_broadcast
 from roadtrace.schema import SEQUENCE_ORDER
 
 POLICIES = ("as_coded", "documented", "gap")
@@ -59,7 +60,8 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
     """Add boolean ``out`` = split rule of (prev, cur); null when prev is null.
 
     J7: legality is a broadcast left join of the pair to the closure pairs
-    (bounded by #gates^2; the caller checked it) instead of a driver-side set.
+    (bounded by #gates^2, checked by ``bounded_broadcast``) instead of a
+    driver-side set.
     """
     gap = minutes_between(prev_ts, ts)
     if policy in ("gap", "none"):
@@ -68,7 +70,8 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
         raise ValueError(f"policy {policy!r} needs the network closure pairs")
     lookup = pairs.select(F.col("gatefrom").alias("_lk_from"), F.col("gateto").alias("_lk_to"),
                           F.col("is_cut").alias("_lk_cut"))
-    j = df.join(F.broadcast(lookup), (prev_gate == F.col("_lk_from")) & (gate == F.col("_lk_to")), "left")
+    j = df.join(bounded_broadcast(lookup), (prev_gate == F.col("_lk_from")) & (gate == F.col("_lk_to")),
+                "left")
     legal = F.col("_lk_from").isNotNull()
     cut_ok = F.coalesce(F.col("_lk_cut"), F.lit(False))
     rule = F.when(prev_gate.isNull(), F.lit(None).cast("boolean")).otherwise(
@@ -113,6 +116,7 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
     hot = (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_threshold)
            .select("plate", F.lit(True).alias("_hot")))
+    # at most rows / hot_threshold plates: bounded by construction
     base = df.join(F.broadcast(hot), "plate", "left")
 
     # ---- ordinary plates: the window sees the whole plate

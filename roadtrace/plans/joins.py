@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 DIM_BROADCAST_MAX_ROWS = 4_000_000
 
 
+_COUNTS: dict[tuple[str, int], int] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
                       known_rows: int | None = None) -> DataFrame:
     """Hint ``df`` for broadcast only when its row count is at most ``max_rows``.
 
-    ``known_rows`` skips the count when the caller already holds it (e.g. a
-    fix-point loop that counted its result).  Above the bound the frame is
-    returned unhinted and Spark plans a shuffle join (AQE may still switch to a
-    broadcast at run time from real statistics).
+    The count is taken once per plan (memoised by the plan's semantic hash
+    within the application); ``known_rows`` skips it when the caller already
+    holds it.  Above the bound the frame is returned unhinted and Spark plans
+    a shuffle join (AQE may still switch to a broadcast at run time from real
+    statistics).
     """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if known_rows is None:
+        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+        if key not in _COUNTS:
+            _COUNTS[key] = df.count()
+        known_rows = _COUNTS[key]
+    return F.broadcast(df) if known_rows <= max_rows else df

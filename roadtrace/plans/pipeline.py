@@ -71,8 +71,11 @@ class Pipeline:
 
     @cached_property
     def clean(self) -> DataFrame:
-        # raw is already a set (ingest de-duplicates): no second distinct
-        return q.remove_conflicts(self.valid, dedupe=False)
+        # raw is already a set (ingest de-duplicates): no second distinct.
+        # With the conflicts stage written, the anti join reads that small
+        # table; otherwise the keys come from a cheap min/max aggregate.
+        conflicts = self.conflicts if self.materialize_stages else None
+        return q.remove_conflicts(self.valid, conflicts, dedupe=False)
 
     @cached_property
     def multinat(self) -> DataFrame:
