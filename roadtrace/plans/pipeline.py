@@ -29,7 +29,7 @@ TEST_CUT_MINUTES = 720
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
                  raw: DataFrame | None = None, network: Network | None = None,
-                 policy: str = "as_coded", cut_minutes: int = TEST_CUT_MINUTES,
+                 policy: str = "as_coded", cut_minutes: int = tr.CUT_MINUTES,
                  hot_threshold: int = tr.HOT_PLATE_ROWS,
                  hot_chunk_minutes: int = tr.HOT_CHUNK_MINUTES,
                  materialize_stages: bool = False):
