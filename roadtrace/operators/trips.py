@@ -201,7 +201,3 @@ def trip_steps(trips: DataFrame) -> DataFrame:
     """
     return trips.select("plate", "tripid", "step", "gate", "ts")
 
-
-def trip_counts(trips: DataFrame) -> DataFrame:
-    """Trips per plate and sightings per trip summary: ``(plate, tripid, sightings)``."""
-    return trips.groupBy("plate", "tripid").agg(F.count(F.lit(1)).alias("sightings"))

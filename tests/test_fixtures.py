@@ -199,3 +199,10 @@ def test_closure_export(spark, arcs_df, tmp_path):
     net.export_closure(closure, str(tmp_path / "closure"))
     back = spark.read.option("header", True).csv(str(tmp_path / "closure"))
     assert [(r.gatefrom, r.gateto) for r in back.collect()] == [("1", "2"), ("1", "3"), ("2", "3")]
+
+
+def test_previous_sighting_ignores_trip_cuts(sightings):
+    df = sightings([(1, 1, 1, "2024-01-01 00:00:00", "I"), (1, 2, 1, "2024-01-01 05:00:00", "I"),
+                    (2, 3, 1, "2024-01-01 01:00:00", "I")])
+    out = {(r.plate, r.gate): (r.prev_gate, r.step) for r in tr.previous_sighting(df).collect()}
+    assert out == {(1, 1): (None, 1), (1, 2): (1, 2), (2, 3): (None, 1)}

@@ -78,3 +78,10 @@ def test_model_store_and_anomaly_sink(spark, vec, tmp_path):
     cl.save_anomalies(pred, str(tmp_path / "anom.parquet"), str(tmp_path / "anom_csv"))
     assert spark.read.parquet(str(tmp_path / "anom.parquet")).count() == 60
     assert "features" not in spark.read.option("header", True).csv(str(tmp_path / "anom_csv")).columns
+
+
+def test_apply_pipeline_stages(spark):
+    from pyspark.ml.feature import StringIndexer
+    df = spark.createDataFrame([("I",), ("HR",), ("I",)], "nationality string")
+    out = cl.apply_pipeline_stages(df, [StringIndexer(inputCol="nationality", outputCol="idx")])
+    assert {r.nationality: r.idx for r in out.collect()} == {"I": 0.0, "HR": 1.0}
