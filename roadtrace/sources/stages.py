@@ -24,7 +24,7 @@ from pyspark.sql.utils import AnalysisException
 
 from roadtrace.session import checkpoint_dir
 
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,8 +54,8 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
     the same key is read instead of recomputed.
     """
     memo_key = (spark.sparkContext.applicationId, name, key)
-    path = _WRITTEN.get(memo_key)
-    if path is None:
+    df = _WRITTEN.get(memo_key)
+    if df is None:
         if reuse_existing:
             path = stage_path(spark, name, key, scope_to_app=False)
             if not _exists(spark, path):
@@ -65,8 +65,9 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
             # never leaves a half-written folder where readers look
             path = f"{stage_path(spark, name, key)}-{uuid.uuid4().hex[:8]}"
             build().write.mode("error").parquet(path)
-        _WRITTEN[memo_key] = path
-    return spark.read.parquet(path)
+        # the frame is kept, so later queries skip listing the folder again
+        df = _WRITTEN[memo_key] = spark.read.parquet(path)
+    return df
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
