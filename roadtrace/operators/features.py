@@ -109,22 +109,23 @@ def plate_features(global_features: DataFrame, trip_summary: DataFrame) -> DataF
 
 
 def avg_gaps(sightings: DataFrame, units: tuple[str, ...] = ("DAY", "HOUR", "MINUTE", "SECOND"),
-             **hot) -> DataFrame:
+             sequence: DataFrame | None = None, **hot) -> DataFrame:
     """per plate, the mean truncated gap between consecutive sightings in
     each unit (0.0 with fewer than two sightings), one aggregate for all units.
 
     Consecutive pairs come from ``previous_sighting`` (skew-safe for hot
-    plates); ``hot`` passes its ``hot_threshold`` / ``hot_chunk_minutes``.
+    plates), or from ``sequence`` when the caller already has them; ``hot``
+    passes ``hot_threshold`` / ``hot_chunk_minutes``.
     """
     from roadtrace.operators.trips import previous_sighting
-    p = previous_sighting(sightings, **hot)
+    p = sequence if sequence is not None else previous_sighting(sightings, **hot)
     return p.groupBy("plate").agg(*[
         F.coalesce(F.avg(duration_between(F.col("prev_ts"), F.col("ts"), u)), F.lit(0.0))
         .alias(f"avg_{u.lower()}_gap") for u in units])
 
 
 def window_analysis(df: DataFrame, timespan: str = "1 hour", gate_col: str = "gate",
-                    ts_col: str = "ts", **hot) -> DataFrame:
+                    ts_col: str = "ts", sequence: DataFrame | None = None, **hot) -> DataFrame:
     """Per plate, averages over its tumbling windows of
 
     * ``hourly_gates``: distinct gates in the window, and
@@ -134,12 +135,14 @@ def window_analysis(df: DataFrame, timespan: str = "1 hour", gate_col: str = "ga
     Consecutive pairs come from ``previous_sighting`` (skew-safe); a pair
     belongs to a window when both instants fall in it.  The per-window figures
     are then a map-side-combined aggregate, no window partition per group.
+    ``sequence`` is ``previous_sighting(df)`` when the caller already has it
+    (sighting columns only).
     """
     from roadtrace.operators.trips import previous_sighting
     x = df.select("plate", F.col(gate_col).alias("gate"), F.col(ts_col).alias("ts"),
                   *(["lane"] if "lane" in df.columns else [F.lit(0.0).alias("lane")]),
                   *(["nationality"] if "nationality" in df.columns else [F.lit("").alias("nationality")]))
-    p = previous_sighting(x, **hot)
+    p = sequence if sequence is not None else previous_sighting(x, **hot)
     # one window() per projection (Spark's rule), hence two steps; window()
     # drops rows whose time is null, so the first sighting uses its own ts
     # (its gap is null anyway)

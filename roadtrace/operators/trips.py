@@ -98,24 +98,31 @@ def _sequence(x: DataFrame, w, pairs: DataFrame | None, policy: str, cut_minutes
             .withColumn("_lastsplit", F.max(F.when(F.col("_isplit"), F.col("_rn"))).over(upto)))
 
 
+def hot_plates(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
+    """Plates with more than ``hot_threshold`` sightings (at most rows / threshold of them)."""
+    return (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > hot_threshold)
+            .select("plate"))
+
+
 def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_coded",
                cut_minutes: int = CUT_MINUTES, hot_threshold: int = HOT_PLATE_ROWS,
-               hot_chunk_minutes: int = HOT_CHUNK_MINUTES) -> DataFrame:
+               hot_chunk_minutes: int = HOT_CHUNK_MINUTES, hot: DataFrame | None = None) -> DataFrame:
     """Add ``tripid, step, prev_gate, prev_ts`` to every sighting.
 
     ``df`` holds ``plate, gate, lane, ts, nationality`` without nulls (drop
     them first, P6).  ``pairs`` is ``closure_pairs(...)`` (not needed for the
     ``gap`` policy).  Ordinary plates take one window per plate; hot plates
     take the chunked path; every row goes through exactly one of the two.
+    ``hot`` is ``hot_plates(df, hot_threshold)`` when the caller already has it.
     """
     if policy not in (*POLICIES, "none"):
         raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
     cols = df.columns
     order = SEQUENCE_ORDER
 
-    hot = (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_threshold)
-           .select("plate", F.lit(True).alias("_hot")))
+    hot = (hot if hot is not None else hot_plates(df, hot_threshold)).select(
+        "plate", F.lit(True).alias("_hot"))
     # at most rows / hot_threshold plates: bounded by construction
     base = df.join(F.broadcast(hot), "plate", "left")
 
@@ -175,14 +182,15 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
 
 
 def previous_sighting(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS,
-                      hot_chunk_minutes: int = HOT_CHUNK_MINUTES) -> DataFrame:
+                      hot_chunk_minutes: int = HOT_CHUNK_MINUTES,
+                      hot: DataFrame | None = None) -> DataFrame:
     """Every sighting with the plate's previous one (``prev_gate``, ``prev_ts``).
 
     Sessionization with a rule that never splits: the same skew-safe plan
     (hot plates chunked by time), so consecutive pairs of a plate never need
     the whole plate in one task.  The plate's first sighting has no previous.
     """
-    return sessionize(df, None, "none", 0, hot_threshold, hot_chunk_minutes)
+    return sessionize(df, None, "none", 0, hot_threshold, hot_chunk_minutes, hot)
 
 
 def segments(trips: DataFrame) -> DataFrame:

@@ -363,7 +363,8 @@ _GAP_UNITS = {"day": 86400000000, "hour": 3600000000, "minute": 60000000, "secon
     + " FROM (SELECT plate, ts, lag(ts) OVER (PARTITION BY plate ORDER BY ts, gate, lane, nationality) AS pt"
       " FROM nonnull) GROUP BY plate"))
 def _avg_gaps(spark, d):
-    return rounded(feat.avg_gaps(_p(spark, d).nonnull))
+    p = _p(spark, d)
+    return rounded(feat.avg_gaps(p.nonnull, sequence=p.sequence))
 
 
 @register("window_analysis", "W1", with_ctes(f"""
@@ -377,7 +378,8 @@ FROM (
   GROUP BY plate, w)
 GROUP BY plate"""))
 def _window_analysis(spark, d):
-    return rounded(feat.window_analysis(_p(spark, d).nonnull))
+    p = _p(spark, d)
+    return rounded(feat.window_analysis(p.nonnull, sequence=p.sequence))
 
 
 # ============================================================ clustering

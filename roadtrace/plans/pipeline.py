@@ -101,12 +101,26 @@ class Pipeline:
         return self._network
 
     # ----------------------------------------------------------------- trips
+    @cached_property
+    def hot_plates(self) -> DataFrame:
+        """Plates split by time in sessionization, found once for every policy."""
+        return self._stage("hot_plates", (self.hot_threshold,),
+                           lambda: tr.hot_plates(self.nonnull, self.hot_threshold))
+
     def trips_for(self, policy: str) -> DataFrame:
         pairs = None if policy == "gap" else self.network.pairs
         return self._stage(
             f"trips_{policy}", (self.cut_minutes, self.hot_threshold, self.hot_chunk_minutes),
             lambda: tr.sessionize(self.nonnull, pairs, policy, self.cut_minutes,
-                                  self.hot_threshold, self.hot_chunk_minutes))
+                                  self.hot_threshold, self.hot_chunk_minutes, self.hot_plates))
+
+    @cached_property
+    def sequence(self) -> DataFrame:
+        """Every sighting with the plate's previous one (W1 and F2 read it)."""
+        return self._stage(
+            "sequence", (self.hot_threshold, self.hot_chunk_minutes),
+            lambda: tr.previous_sighting(self.nonnull, self.hot_threshold, self.hot_chunk_minutes,
+                                         self.hot_plates))
 
     @cached_property
     def trips(self) -> DataFrame:
