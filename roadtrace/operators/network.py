@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtrace.plans.joins import bounded_broadcast
+from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import ARC_FLAGS
 from roadtrace.session import checkpoint_dir
 
@@ -42,7 +42,7 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
     count and again for the write).
     """
     spark = arcs.sparkSession
-    known = write_round(spark, arcs.select(*ARC_COLS).distinct())
+    known = arcs.select(*ARC_COLS).distinct()      # round 0 stays lazy (tiny lineage)
     n = known.count()
     for _ in range(max_rounds):
         # paths of up to 4x the length covered so far: R u R^2 u R^3 u R^4
@@ -52,7 +52,7 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
         grown = write_round(spark, grown)
         m = grown.count()
         if m == n:
-            return grown
+            return record_bound(grown, m)
         known, n = grown, m
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
 
@@ -133,15 +133,19 @@ class Network:
 def build_network(gates: DataFrame, arcs: DataFrame, check_routes: bool = True) -> Network:
     closure = arc_closure(arcs)
     spark = arcs.sparkSession
-    pairs = write_round(spark, closure_pairs(closure))
-    oriented = write_round(spark, oriented_arcs(enrich_arcs(closure, gates)))
+    n_closure = closure.count()
+    # bounds follow from the closure: one pair per closure row at most, and
+    # both directions of each enriched closure row
+    pairs = record_bound(write_round(spark, closure_pairs(closure)), n_closure)
+    oriented = record_bound(write_round(spark, oriented_arcs(enrich_arcs(closure, gates))),
+                            2 * n_closure)
     network = Network(gates=gates, arcs=arcs, closure=closure, pairs=pairs, oriented=oriented)
     if check_routes:
-        n = network.check_unique_pairs()
+        n = n_closure - pairs.count()
         if n:
             # Q16: two routes with different flags give two closure rows for
             # one pair, and each matching segment is enriched once per row
-            warnings.warn(f"{n} gate pairs have alternative routes with different flags; "
+            warnings.warn(f"{n} extra closure rows from alternative routes with different flags; "
                           "segments on them are enriched once per route", stacklevel=2)
     return network
 

@@ -68,10 +68,10 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
         return df.withColumn(out, split_rule(policy, gap, F.lit(False), F.lit(False), cut_minutes))
     if pairs is None:
         raise ValueError(f"policy {policy!r} needs the network closure pairs")
-    lookup = pairs.select(F.col("gatefrom").alias("_lk_from"), F.col("gateto").alias("_lk_to"),
-                          F.col("is_cut").alias("_lk_cut"))
-    j = df.join(bounded_broadcast(lookup), (prev_gate == F.col("_lk_from")) & (gate == F.col("_lk_to")),
-                "left")
+    lookup = bounded_broadcast(pairs).select(F.col("gatefrom").alias("_lk_from"),
+                                             F.col("gateto").alias("_lk_to"),
+                                             F.col("is_cut").alias("_lk_cut"))
+    j = df.join(lookup, (prev_gate == F.col("_lk_from")) & (gate == F.col("_lk_to")), "left")
     legal = F.col("_lk_from").isNotNull()
     cut_ok = F.coalesce(F.col("_lk_cut"), F.lit(False))
     rule = F.when(prev_gate.isNull(), F.lit(None).cast("boolean")).otherwise(

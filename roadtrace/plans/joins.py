@@ -14,6 +14,14 @@ DIM_BROADCAST_MAX_ROWS = 4_000_000
 _COUNTS: dict[tuple[str, int], int] = {}
 
 
+def record_bound(df: DataFrame, max_rows_of_df: int) -> DataFrame:
+    """Register a proven upper bound on ``df``'s rows (e.g. derived from the
+    table it was computed from), so ``bounded_broadcast`` need not count it."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    _COUNTS[key] = max_rows_of_df
+    return df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
                       known_rows: int | None = None) -> DataFrame:
     """Hint ``df`` for broadcast only when its row count is at most ``max_rows``.
