@@ -27,5 +27,9 @@ def read_sightings_csv(spark: SparkSession, path: str, distinct: bool = True) ->
 
 
 def export_plate_trace(trace: DataFrame, path: str) -> None:
-    """Write one plate's ordered trace as a single CSV file (small report)."""
-    save_report_csv(trace, path)
+    """Write a plate's ordered trace as CSV.
+
+    A single plate can hold a large share of all sightings, so the rows keep
+    their (range-sorted) partitions instead of being funnelled into one file.
+    """
+    save_report_csv(trace, path, single_file=False)

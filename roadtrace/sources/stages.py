@@ -75,7 +75,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def save_report_csv(df: DataFrame, path: str) -> None:
-    """A small report as one CSV part file with a header (reports only:
-    ``coalesce(1)`` funnels the rows through one task)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def save_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
+    """A report as CSV with a header.
+
+    ``single_file`` (one part file) funnels the rows through one task, so it is
+    only for reports with a size bound that does not grow with the data (gate
+    pairs, k values); data-sized exports pass False and keep their partitions
+    (a sorted frame still writes its part files in order).
+    """
+    out = df.coalesce(1) if single_file else df
+    out.write.mode("overwrite").option("header", True).csv(path)
