@@ -32,7 +32,7 @@ class Pipeline:
                  policy: str = "as_coded", cut_minutes: int = tr.CUT_MINUTES,
                  hot_threshold: int = tr.HOT_PLATE_ROWS,
                  hot_chunk_minutes: int = tr.HOT_CHUNK_MINUTES,
-                 materialize_stages: bool = False):
+                 materialize_stages: bool = False, reuse_existing: bool = False):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw")
         self.spark = spark
@@ -47,11 +47,14 @@ class Pipeline:
         # and each policy's trips once per application (as the original's
         # Parquet stages; only when the input is identified by sf_dir)
         self.materialize_stages = materialize_stages and sf_dir is not None
+        # read completed stages of an earlier application with the same key
+        # (the original's "read the stage folder if it exists"), off by default
+        self.reuse_existing = reuse_existing
 
     def _stage(self, name: str, params: tuple, build) -> DataFrame:
         if not self.materialize_stages:
             return build()
-        return materialize(self.spark, name, (self.sf_dir, *params), build)
+        return materialize(self.spark, name, (self.sf_dir, *params), build, self.reuse_existing)
 
     # ------------------------------------------------------------- cleaning
     @cached_property
