@@ -66,3 +66,19 @@ def test_streaming_ingest_dedups(spark):
     qy = start_ingest(spark, src, table, ckpt)
     qy.awaitTermination(120)
     assert spark.read.parquet(table).count() == 3
+
+
+def test_stage_reuse_across_applications(spark):
+    import uuid
+
+    from roadtrace.sources import stages
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(7)
+    key = (uuid.uuid4().hex,)
+    assert stages.materialize(spark, "reuse", key, build, reuse_existing=True).count() == 7
+    stages._WRITTEN.clear()               # as a new application would start
+    assert stages.materialize(spark, "reuse", key, build, reuse_existing=True).count() == 7
+    assert len(calls) == 1
