@@ -65,7 +65,9 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
     """
     gap = minutes_between(prev_ts, ts)
     if policy in ("gap", "none"):
-        return df.withColumn(out, split_rule(policy, gap, F.lit(False), F.lit(False), cut_minutes))
+        rule = split_rule(policy, gap, F.lit(False), F.lit(False), cut_minutes)
+        return df.withColumn(out, F.when(prev_gate.isNull(), F.lit(None).cast("boolean"))
+                             .otherwise(rule))
     if pairs is None:
         raise ValueError(f"policy {policy!r} needs the network closure pairs")
     lookup = bounded_broadcast(pairs).select(F.col("gatefrom").alias("_lk_from"),

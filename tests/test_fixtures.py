@@ -206,3 +206,12 @@ def test_previous_sighting_ignores_trip_cuts(sightings):
                     (2, 3, 1, "2024-01-01 01:00:00", "I")])
     out = {(r.plate, r.gate): (r.prev_gate, r.step) for r in tr.previous_sighting(df).collect()}
     assert out == {(1, 1): (None, 1), (1, 2): (1, 2), (2, 3): (None, 1)}
+
+
+def test_previous_sighting_hot_path(sightings):
+    rows = [(1, g, 1, f"2024-01-01 0{h}:00:00", "I") for h, g in enumerate([1, 2, 3, 4])]
+    df = sightings(rows)
+    plain = {r.gate: (r.tripid, r.step, r.prev_gate) for r in tr.previous_sighting(df).collect()}
+    hot = {r.gate: (r.tripid, r.step, r.prev_gate)
+           for r in tr.previous_sighting(df, hot_threshold=0, hot_chunk_minutes=60).collect()}
+    assert plain == hot == {1: (1, 1, None), 2: (1, 2, 1), 3: (1, 3, 2), 4: (1, 4, 3)}
