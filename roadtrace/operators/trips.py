@@ -17,8 +17,9 @@ T = whole minutes between the two sightings > ``cut_minutes``:
 
 Distribution.  Ordinary plates take one window partition each.  Plates with
 more than ``hot_threshold`` sightings (at most rows / hot_threshold of them,
-so that list is broadcast) are split into ``hot_chunk_minutes`` time chunks,
-each its own window partition, so no task holds a whole hot plate.  What
+so that list is broadcast) are split into time chunks sized per plate to
+about ``hot_threshold`` rows, each its own window partition, so no task holds
+a whole hot plate.  What
 crosses a chunk border -- the previous chunk's last sighting, the number of
 rows and trips before the chunk, where the open trip started -- comes from a
 per-chunk summary (one row per hot chunk) with prefix sums over the chunks of
@@ -37,7 +38,7 @@ from roadtrace.schema import SEQUENCE_ORDER
 POLICIES = ("as_coded", "documented", "gap")
 CUT_MINUTES = 30                 # fixed value: trip cut time of the original analysis
 HOT_PLATE_ROWS = 2_000_000       # sightings above which a plate is split by time
-HOT_CHUNK_MINUTES = 60
+HOT_CHUNK_MINUTES = None         # None: chunk width sized per hot plate (see hot_plates)
 
 
 def split_rule(policy: str, gap_minutes: Column, legal: Column, cut_ok: Column,
@@ -101,15 +102,22 @@ def _sequence(x: DataFrame, w, pairs: DataFrame | None, policy: str, cut_minutes
 
 
 def hot_plates(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
-    """Plates with more than ``hot_threshold`` sightings (at most rows / threshold of them)."""
-    return (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > hot_threshold)
-            .select("plate"))
+    """Plates with more than ``hot_threshold`` sightings (at most rows / threshold of them).
+
+    With each plate its count ``_n`` and time span ``_span_s`` (seconds), from
+    which the chunk width is sized: ``span * threshold / n`` seconds gives
+    about ``hot_threshold`` rows per chunk when sightings spread over time.
+    """
+    return (df.groupBy("plate")
+            .agg(F.count(F.lit(1)).alias("_n"),
+                 (F.max(epoch_seconds("ts")) - F.min(epoch_seconds("ts"))).alias("_span_s"))
+            .filter(F.col("_n") > hot_threshold))
 
 
 def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_coded",
                cut_minutes: int = CUT_MINUTES, hot_threshold: int = HOT_PLATE_ROWS,
-               hot_chunk_minutes: int = HOT_CHUNK_MINUTES, hot: DataFrame | None = None) -> DataFrame:
+               hot_chunk_minutes: int | None = HOT_CHUNK_MINUTES,
+               hot: DataFrame | None = None) -> DataFrame:
     """Add ``tripid, step, prev_gate, prev_ts`` to every sighting.
 
     ``df`` holds ``plate, gate, lane, ts, nationality`` without nulls (drop
@@ -117,19 +125,26 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
     ``gap`` policy).  Ordinary plates take one window per plate; hot plates
     take the chunked path; every row goes through exactly one of the two.
     ``hot`` is ``hot_plates(df, hot_threshold)`` when the caller already has it.
+    ``hot_chunk_minutes`` fixes the chunk width; by default it is sized per
+    hot plate from its count and time span.
     """
     if policy not in (*POLICIES, "none"):
         raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
     cols = df.columns
     order = SEQUENCE_ORDER
 
-    hot = (hot if hot is not None else hot_plates(df, hot_threshold)).select(
-        "plate", F.lit(True).alias("_hot"))
+    hot = hot if hot is not None else hot_plates(df, hot_threshold)
+    if hot_chunk_minutes:
+        width = F.lit(hot_chunk_minutes * 60)
+    else:
+        width = F.greatest(F.lit(1), F.ceil(F.col("_span_s") * F.lit(max(hot_threshold, 1))
+                                            / F.col("_n")))
+    hot = hot.select("plate", F.lit(True).alias("_hot"), width.cast("long").alias("_width"))
     # at most rows / hot_threshold plates: bounded by construction
     base = df.join(F.broadcast(hot), "plate", "left")
 
     # ---- ordinary plates: the window sees the whole plate
-    c = _sequence(base.filter(F.col("_hot").isNull()).drop("_hot"),
+    c = _sequence(base.filter(F.col("_hot").isNull()).drop("_hot", "_width"),
                   Window.partitionBy("plate").orderBy(*order), pairs, policy, cut_minutes)
     cont = (F.col("_rn") > 1) & ~F.col("_isplit")
     cold = c.select(
@@ -140,9 +155,9 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
         F.when(cont, F.col("_pt")).alias("prev_ts"))
 
     # ---- hot plates: one window partition per (plate, time chunk)
-    chunk = F.floor(epoch_seconds("ts") / F.lit(hot_chunk_minutes * 60)).cast("long")
-    x = (base.filter(F.col("_hot")).drop("_hot")
-         .withColumn("_chunk", chunk)
+    chunk = F.floor(epoch_seconds("ts") / F.col("_width")).cast("long")
+    x = (base.filter(F.col("_hot"))
+         .withColumn("_chunk", chunk).drop("_hot", "_width")
          .repartition("plate", "_chunk"))
     x = _sequence(x, Window.partitionBy("plate", "_chunk").orderBy(*order), pairs, policy, cut_minutes)
 
@@ -184,7 +199,7 @@ def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_
 
 
 def previous_sighting(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS,
-                      hot_chunk_minutes: int = HOT_CHUNK_MINUTES,
+                      hot_chunk_minutes: int | None = HOT_CHUNK_MINUTES,
                       hot: DataFrame | None = None) -> DataFrame:
     """Every sighting with the plate's previous one (``prev_gate``, ``prev_ts``).
 

@@ -31,7 +31,7 @@ class Pipeline:
                  raw: DataFrame | None = None, network: Network | None = None,
                  policy: str = "as_coded", cut_minutes: int = tr.CUT_MINUTES,
                  hot_threshold: int = tr.HOT_PLATE_ROWS,
-                 hot_chunk_minutes: int = tr.HOT_CHUNK_MINUTES,
+                 hot_chunk_minutes: int | None = tr.HOT_CHUNK_MINUTES,
                  materialize_stages: bool = False, reuse_existing: bool = False):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw")

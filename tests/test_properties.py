@@ -28,6 +28,16 @@ def test_chunked_path_equals_plain_path(pipe, policy):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_adaptive_chunks_equal_plain_path(pipe):
+    pairs = pipe.network.pairs
+    plain = tr.sessionize(pipe.nonnull, pairs, "documented", 720)
+    adaptive = tr.sessionize(pipe.nonnull, pairs, "documented", 720, hot_threshold=20)
+    hot = tr.hot_plates(pipe.nonnull, 20)
+    assert hot.count() > 0
+    a, b = plain.select(*COLS), adaptive.select(*COLS)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_chunk_size_does_not_matter(pipe):
     pairs = pipe.network.pairs
     a = tr.sessionize(pipe.nonnull, pairs, "as_coded", 720, hot_threshold=0, hot_chunk_minutes=45)

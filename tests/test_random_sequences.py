@@ -30,7 +30,7 @@ def pairs(spark):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows, policy=st.sampled_from((*tr.POLICIES, "none")), chunk=st.sampled_from([15, 30, 90]))
+@given(rows=rows, policy=st.sampled_from((*tr.POLICIES, "none")), chunk=st.sampled_from([15, 30, 90, None]))
 def test_chunked_equals_plain(spark, pairs, rows, policy, chunk):
     df = spark.createDataFrame(
         [(p, g, float(l), BASE + dt.timedelta(minutes=m), n) for p, g, l, m, n in rows], SIGHTING)
