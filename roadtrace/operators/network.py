@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import ARC_FLAGS
-from roadtrace.session import checkpoint_dir
+from roadtrace.session import app_id, checkpoint_dir
 
 ARC_COLS = ["gatefrom", "gateto", *ARC_FLAGS]
 
@@ -162,7 +162,7 @@ _NETWORKS: dict[tuple[str, str], Network] = {}
 def synthetic_network(spark: SparkSession) -> Network:
     """The test network, built once per session (its closure loop runs jobs)."""
     from roadtrace.sources.network import synthetic_arcs, synthetic_gates
-    key = (spark.sparkContext.applicationId, "synthetic")
+    key = (app_id(spark), "synthetic")
     if key not in _NETWORKS:
         _NETWORKS[key] = build_network(synthetic_gates(spark), synthetic_arcs(spark))
     return _NETWORKS[key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtrace.session import app_id
+
 # Dimension tables of a road network are bounded by (#gates)^2 pairs; a
 # highway system has at most a few thousand gates, so 4M rows is a generous
 # ceiling for a dimension to ride in a broadcast.
@@ -17,7 +19,7 @@ _COUNTS: dict[tuple[str, int], int] = {}
 def record_bound(df: DataFrame, max_rows_of_df: int) -> DataFrame:
     """Register a proven upper bound on ``df``'s rows (e.g. derived from the
     table it was computed from), so ``bounded_broadcast`` need not count it."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    key = (app_id(df.sparkSession), df.semanticHash())
     _COUNTS[key] = max_rows_of_df
     return df
 
@@ -33,7 +35,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
     statistics).
     """
     if known_rows is None:
-        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+        key = (app_id(df.sparkSession), df.semanticHash())
         if key not in _COUNTS:
             _COUNTS[key] = df.count()
         known_rows = _COUNTS[key]

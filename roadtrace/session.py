@@ -40,25 +40,30 @@ def build_session(master: str | None = None, app: str = "roadtrace",
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (also on sessions without a SparkContext handle)."""
+    try:
+        return spark.conf.get("spark.app.id")
+    except Exception:  # noqa: BLE001 - fall back to the context
+        return spark.sparkContext.applicationId
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Reliable checkpoint folder for lineage cuts.
+    """Folder for this application's intermediate tables (stages, closure rounds).
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``.  Only when
-    nothing is configured (tests, a laptop) a private folder is created.
+    It is ``<spark.checkpoint.dir>/<application id>``: the shared folder the
+    cluster names.  Only when nothing is configured (tests, a laptop) a
+    private folder is created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key raises on some versions
-            configured = None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="roadtrace-ckpt-",
-                                      dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    base = None
+    try:
+        base = spark.conf.get("spark.checkpoint.dir")
+    except Exception:  # noqa: BLE001 - unset key
+        base = None
+    if not base:
+        base = _LOCAL_FALLBACK.setdefault(
+            "dir", tempfile.mkdtemp(prefix="roadtrace-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return f"{base.rstrip('/')}/{app_id(spark)}"
+
 
+_LOCAL_FALLBACK: dict[str, str] = {}

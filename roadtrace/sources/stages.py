@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from roadtrace.session import checkpoint_dir
+from roadtrace.session import app_id, checkpoint_dir
 
 _WRITTEN: dict[tuple, DataFrame] = {}
 
@@ -53,7 +53,7 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
     ``reuse_existing`` a completed stage left by an earlier application with
     the same key is read instead of recomputed.
     """
-    memo_key = (spark.sparkContext.applicationId, name, key)
+    memo_key = (app_id(spark), name, key)
     df = _WRITTEN.get(memo_key)
     if df is None:
         if reuse_existing:
