@@ -3,7 +3,7 @@
 The oracle is written the plain way -- one window per plate, the network
 closure as a recursive CTE with set ``UNION``, the segment enrichment as the
 original two-direction ``OR`` join -- so it checks the Spark rewrites
-(chunked sessionization, union-of-directions equi join, path doubling)
+(chunked sessionization, union-of-directions equi join, closure by powering)
 rather than repeating them.  Doubles are rounded to 6 places on both sides.
 """
 
