@@ -61,8 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - unset key
         base = None
     if not base:
-        base = _LOCAL_FALLBACK.setdefault(
-            "dir", tempfile.mkdtemp(prefix="roadtrace-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        if "dir" not in _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="roadtrace-ckpt-",
+                                                      dir=os.environ.get("TMPDIR", "/tmp"))
+        base = _LOCAL_FALLBACK["dir"]
     return f"{base.rstrip('/')}/{app_id(spark)}"
 
 
