@@ -409,6 +409,15 @@ def _vectors(spark, d):
     return _p(spark, d).vectorized
 
 
+def _model_dir(spark, d) -> str:
+    """S7 model store for this application and input: the sweep is fitted once
+    and later queries load it."""
+    import hashlib
+
+    from roadtrace.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/models-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+
+
 @register("vectorize_features", "M2 F11", None)
 def _vectorize(spark, d):
     from pyspark.ml.functions import vector_to_array
@@ -418,14 +427,14 @@ def _vectorize(spark, d):
 @register("kmeans_wcss", "M3 M4 M7", None)
 def _kmeans(spark, d):
     from roadtrace.operators import clustering as cl
-    _, elbow = cl.cluster_sweep(_vectors(spark, d), "kmeans")
+    _, elbow = cl.cluster_sweep(_vectors(spark, d), "kmeans", model_dir=_model_dir(spark, d))
     return elbow
 
 
 @register("gmm_sweep", "M5 M7", None)
 def _gmm(spark, d):
     from roadtrace.operators import clustering as cl
-    _, fits = cl.cluster_sweep(_vectors(spark, d), "gmm")
+    _, fits = cl.cluster_sweep(_vectors(spark, d), "gmm", model_dir=_model_dir(spark, d))
     return fits
 
 
@@ -433,7 +442,7 @@ def _gmm(spark, d):
 def _anomalies(spark, d):
     from roadtrace.operators import clustering as cl
     vec = _vectors(spark, d)
-    models, _ = cl.cluster_sweep(vec, "kmeans")
+    models, _ = cl.cluster_sweep(vec, "kmeans", model_dir=_model_dir(spark, d))
     out = None
     for k, model in models:
         one = (cl.anomalies(model.transform(vec).select("plate", "prediction"))
