@@ -451,6 +451,20 @@ def _anomalies(spark, d):
     return out
 
 
+@register("gmm_anomalies", "M5 M6 A9 P14", None)
+def _gmm_anomalies(spark, d):
+    """The original's main run: anomalies of every Gaussian-mixture model."""
+    from roadtrace.operators import clustering as cl
+    vec = _vectors(spark, d)
+    models, _ = cl.cluster_sweep(vec, "gmm", model_dir=_model_dir(spark, d))
+    out = None
+    for k, model in models:
+        one = (cl.anomalies(model.transform(vec).select("plate", "prediction"))
+               .select(F.lit("gmm").alias("algo"), F.lit(k).alias("k"), "plate", "prediction"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
