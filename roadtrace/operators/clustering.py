@@ -9,6 +9,8 @@ selection is a semi join with the small set of outlier clusters.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
@@ -112,8 +114,16 @@ def kmeans_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX
     """
     ks = ks or KMEANS_KS
     train, test = df.randomSplit([0.7, 0.3], seed=seed)
+    # k clusters need k distinct points; a k above that is undefined (and
+    # Spark's fit fails), so it stays in the report with no WCSS and no model
+    n_points = train.select(vector_to_array(features_col).alias("_v")).distinct().count()
     models, rows = [], []
     for k in ks:
+        if k > n_points:
+            warnings.warn(f"k={k} exceeds the {n_points} distinct training points; not fitted",
+                          stacklevel=2)
+            rows.append(("kmeans", k, None))
+            continue
         model = _load_or_fit(
             model_dir, "kmeans", k, KMeansModel,
             lambda k=k: KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(train))

@@ -85,3 +85,14 @@ def test_apply_pipeline_stages(spark):
     df = spark.createDataFrame([("I",), ("HR",), ("I",)], "nationality string")
     out = cl.apply_pipeline_stages(df, [StringIndexer(inputCol="nationality", outputCol="idx")])
     assert {r.nationality: r.idx for r in out.collect()} == {"I": 0.0, "HR": 1.0}
+
+
+def test_kmeans_sweep_reports_unfittable_k(spark, vec):
+    import warnings
+    small = vec.limit(5)
+    with warnings.catch_warnings(record=True):
+        warnings.simplefilter("always")
+        models, elbow = cl.kmeans_sweep(small, ks=[2, 8])
+    rows = {r.k: r.wcss for r in elbow.collect()}
+    assert set(rows) == {2, 8} and rows[8] is None and rows[2] is not None
+    assert [k for k, _ in models] == [2]
