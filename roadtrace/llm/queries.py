@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table
+from roadtrace.llm.simhash import near_duplicates
 from roadtrace.llm.substring_dedup import cut_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,13 @@ def query(name: str, sql: str | None = None):
 WHITE_WORDS = "[w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF w <> '']"
 
 
+@query("op8_simhash_dedup")
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                      F.col("component").alias("component_id"))
+
+
 @query("op9_substring_dedup", f"""
 WITH d AS (SELECT doc_id, {WHITE_WORDS} AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS w
