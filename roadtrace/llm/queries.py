@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table
 from roadtrace.llm.decontaminate import contaminated_words
+from roadtrace.llm.mixing import mix
 from roadtrace.llm.simhash import near_duplicates
 from roadtrace.llm.substring_dedup import cut_repeats
 
@@ -58,6 +59,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2, keep=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op8_simhash_dedup")
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
