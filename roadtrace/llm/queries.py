@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table
 from roadtrace.llm.decontaminate import contaminated_words
+from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
 from roadtrace.llm.simhash import near_duplicates
 from roadtrace.llm.substring_dedup import cut_repeats
@@ -88,3 +89,41 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _license_sql() -> str:
+    def words_of(x: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in x.split()) + "]"
+
+    rows = ", ".join(f"('{t.label}', {t.base}, {words_of(t.text)}, {words_of(t.key)}, {t.key_at})" for t in TEMPLATES)
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) AS v(label, base, body, key, key_at)),
+spot AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM d),
+p AS (SELECT doc_id, label, base, i - 1 AS start,
+             len([j FOR j IN generate_series(1, len(body)) IF i - key_at + j - 1 > 0 AND ws[i - key_at + j - 1] = body[j]]) / len(body) AS score
+      FROM spot JOIN t ON ws[i] = key[1] AND list_slice(ws, i, i + len(key) - 1) = key),
+r AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+             max(start) FILTER (base) AS last_word, max(score) AS score,
+             array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+             array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op10_license_scan", _license_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_places(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p.base)
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p.label))), ",")
+
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p.start)).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p.start)).cast("long").alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p.score)), F.lit(0.0)).alias("score"))
