@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table
+from roadtrace.llm import chat
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -60,6 +61,51 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _chat_sql() -> str:
+    def esc(x: str) -> str:
+        out = f"replace(coalesce({x}, ''), '\\', '\\\\')"
+        for c in chat.CONTROL:
+            out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+        return out
+
+    marks = len(chat.START + chat.SEP + chat.END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+             sum({marks} + length({esc("role")}) + length({esc("text")})) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@query("op4_chat_format", _chat_sql())
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(ok).alias("text"))
+        for i, role in enumerate(("user", "assistant"))])).alias("t")).select("t.*")
+    out = chat.expand(turns.unionByName(more))
+    turn = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    read = out.select("conv_id", F.col("target").alias("at"), F.length("formatted").alias("chars"),
+                      F.when(F.col("last"), F.size(chat.read_turns(F.col("formatted")))).alias("n_turns"),
+                      F.when(F.col("last"), F.sha2(F.array_join(turn, ""), 256)).alias("turns_sha256"),
+                      chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("loss"))
+    read = read.groupBy("conv_id").agg(
+        F.max("n_turns").cast("long").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "loss")))).alias("losses"),
+        F.sum("chars").cast("long").alias("formatted_chars"))
+    loss = F.array_join(F.transform("losses", lambda x: x.loss), "")
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"),
+                       F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
 @query("op7_mix_sources")
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2, keep=["doc_id"])
