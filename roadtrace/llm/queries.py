@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtrace.llm.common import table
-from roadtrace.llm import chat
+from roadtrace.llm.common import table, training_fold
+from roadtrace.llm import chat, langid
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -106,6 +106,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs), keep=["doc_id"])
+    return out.select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_mix_sources")
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2, keep=["doc_id"])
