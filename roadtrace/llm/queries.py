@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table, training_fold
-from roadtrace.llm import chat, langid
+from roadtrace.llm import chat, langid, quality
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -35,6 +35,15 @@ def query(name: str, sql: str | None = None):
 WHITE_WORDS = "[w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF w <> '']"
 
 
+@query("op1_quality_pu")
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 WORDS = ("[w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
          "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF w <> '']")
 
