@@ -18,6 +18,7 @@ from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
 from roadtrace.llm.simhash import near_duplicates
 from roadtrace.llm.substring_dedup import cut_repeats
+from roadtrace.llm.topk import exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +45,19 @@ def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@query("op2_exact_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""")
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 WORDS = ("[w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
          "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF w <> '']")
 

@@ -1,0 +1,64 @@
+"""Exact top-k search against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from roadtrace.llm import topk
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def brute(rows, k):
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
+          if v is not None and all(x is not None and math.isfinite(x) and abs(x) < 60_000 for x in v)]
+    out = []
+    for a, (q, qv) in enumerate(ok):
+        if q is None or q % 50:
+            continue
+        found = sorted(((-sum(x * y for x, y in zip(qv, cv)), c is None, c or 0, c) for b, (c, cv) in enumerate(ok)
+                        if a != b and len(qv) == len(cv)))
+        out += [(q, r + 1, f[3], -f[0]) for r, f in enumerate(found[:k])]
+    return sorted(out, key=repr)
+
+
+def found(df, k=5):
+    return sorted(((r.query_id, r["rank"], r.id, r.score) for r in topk.exact_topk(df, lambda i: i % 50 == 0, k).collect()), key=repr)
+
+
+@pytest.mark.parametrize("dim", [1, 3, 5, 64, 70])
+def test_against_brute_force(spark, monkeypatch, dim):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "PART", 60)
+    monkeypatch.setattr(topk, "STEP", 25)
+    rnd = random.Random(dim)
+    centres = [[rnd.gauss(0, 0.2) for _ in range(dim)] for _ in range(6)]
+    rows = [(i, [x + rnd.gauss(0, 0.03) for x in rnd.choice(centres)]) for i in range(400)]
+    rows += [(i, centres[0]) for i in range(400, 460)]  # ties
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert found(spark.createDataFrame(rows, VECTORS)) == brute(rows, 5)
+
+
+def test_defined_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [0.5, nan]), (100, None), (150, [inf, 1.0]), (200, [1.0, None]), (250, []),
+            (1, []), (300, [3.0]), (2, [2.0, 2.0]), (None, [2.0, 2.0]), (None, [9.0, 9.0]), (350, [1e30, 1.0]), (3, [-1.0, -1.0]),
+            (400, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 AS row", "2 AS v", "3 AS dim", "4 AS rank", "5 AS score")
+    assert found(df) == brute(rows, 5)
+    assert found(spark.createDataFrame([], VECTORS)) == []
+
+
+def test_caps_hold_and_prune():
+    rnd = np.random.default_rng(1)
+    x = np.floor(rnd.normal(0, 40, (300, 64)) + 60 * rnd.normal(0, 1, (300, 1)))
+    s = topk.Segments(x)
+    exact = x @ x.T
+    caps = [level @ level.T for level in s.levels]
+    for cap in caps:
+        assert (cap >= exact - 1e-6 * np.abs(exact) - 1e-6).all()
+    kth = np.sort(exact, axis=1)[:, -6]
+    left = [(cap >= kth[:, None]).mean() for cap in caps]
+    assert left == sorted(left, reverse=True) and left[-1] < 0.6
