@@ -170,13 +170,14 @@ def _signed(x: int) -> int:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, key, fp, component): each document's fingerprint and the least id that links reach from it."""
+    """(id, key, fp, root, component) of each document: its fingerprint, the least fingerprint and the least id that
+    links reach from it."""
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = component_roots(links(classes.select("fp"), radius))
     of_class = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
-    component = of_class.join(least, "root").select("fp", "component")
-    return prints.join(component, "fp").select("id", "key", "fp", "component")
+    component = of_class.join(least, "root").select("fp", "root", "component")
+    return prints.join(component, "fp").select("id", "key", "fp", "root", "component")
 
