@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table, training_fold
-from roadtrace.llm import chat, langid, quality
+from roadtrace.llm import chat, html_text, langid, quality
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -129,6 +129,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
