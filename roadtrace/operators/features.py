@@ -1,10 +1,10 @@
 """Per-trip and per-plate features.
 
-Skew: all aggregates are decomposable (sum/min/max/count, ``collect_set`` of
-bounded domains such as gates or hours, ``mode`` over bounded domains), so
-partial aggregation runs before the shuffle.  The one distinct count over an
-unbounded domain (timestamps) is planned with a first exchange on
-``(plate, ts)``, which spreads a hot plate.
+Skew: all aggregates are decomposable (sum/min/max/count, bit masks of
+calendar parts, ``collect_set`` and ``mode`` over bounded domains such as
+gates), so partial aggregation runs before the one shuffle on the plate.
+Distinct instants are counted from the consecutive pairs of sightings, not by
+a distinct aggregate.
 """
 
 from __future__ import annotations
@@ -72,31 +72,41 @@ def plate_trip_summary(trips: DataFrame) -> DataFrame:
     return trips.groupBy("plate").agg(*aggs, F.count(F.lit(1)).alias("numtrips"))
 
 
-def plate_global_features(df: DataFrame) -> DataFrame:
+def plate_global_features(df: DataFrame, sequence: DataFrame | None = None, **hot) -> DataFrame:
     """Behaviour of a plate over all its sightings.
 
     * ``nationality`` at the earliest sighting (ties: smallest value);
-    * distinct gates, lanes, gate+lane pairs, months, days of month, hours,
-      ISO weekdays (bounded domains: size of a set) and instants (distinct);
+    * distinct gates, lanes, gate+lane pairs (bounded domains: size of a set),
+      months, days of month, hours, ISO weekdays (bits of a mask) and instants;
     * most frequent hour, weekday, gate (F5: ties go to the smallest value).
+
+    Instants are counted in ``sequence`` (``previous_sighting(df)``, computed
+    here unless the caller has it): a sighting opens a new instant if the
+    plate's previous one, in time order, has another.  A distinct count would
+    shuffle every ``(plate, ts)`` instead.
     """
-    parts = calendar_parts("ts")
-    x = df.select("plate", "gate", "lane", "ts", "nationality",
-                  *[v.alias(k) for k, v in parts.items()])
+    from roadtrace.operators.trips import previous_sighting
+    p = sequence if sequence is not None else previous_sighting(df, **hot)
+    x = p.select("plate", "gate", "lane", "ts", "nationality", "prev_ts",
+                 *[v.alias(k) for k, v in calendar_parts("ts").items()])
 
     def nset(c):
         return F.size(F.collect_set(c)).cast("long")
 
+    def nbits(c):
+        # months, days of month, hours and weekdays are below 64
+        return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c)))).cast("long")
+
     return x.groupBy("plate").agg(
         F.min(F.struct("ts", "nationality")).getField("nationality").alias("nationality"),
         nset("gate").alias("num_gates"),
         nset("lane").alias("num_lanes"),
         nset(F.struct("gate", "lane")).alias("num_gatelane"),
-        nset("month").alias("num_months"),
-        nset("day").alias("num_days"),
-        nset("hour").alias("num_hours"),
-        nset("dayofweek").alias("num_daysofweek"),
-        F.count_distinct("ts").alias("num_seen"),
+        nbits("month").alias("num_months"),
+        nbits("day").alias("num_days"),
+        nbits("hour").alias("num_hours"),
+        nbits("dayofweek").alias("num_daysofweek"),
+        F.count_if(F.col("prev_ts").isNull() | (F.col("prev_ts") != F.col("ts"))).alias("num_seen"),
         F.mode("hour", deterministic=True).alias("mostFreqHour"),
         F.mode("dayofweek", deterministic=True).alias("mostFreqDayOfWeek"),
         F.mode("gate", deterministic=True).alias("mostFreqGate"),
@@ -115,7 +125,7 @@ def avg_gaps(sightings: DataFrame, units: tuple[str, ...] = ("DAY", "HOUR", "MIN
 
     Consecutive pairs come from ``previous_sighting`` (skew-safe for hot
     plates), or from ``sequence`` when the caller already has them; ``hot``
-    passes ``hot_threshold`` / ``hot_chunk_minutes``.
+    passes ``hot_threshold``.
     """
     from roadtrace.operators.trips import previous_sighting
     p = sequence if sequence is not None else previous_sighting(sightings, **hot)

@@ -7,16 +7,16 @@ may ride in a broadcast once that bound is checked (``bounded_broadcast``).
 
 from __future__ import annotations
 
-import uuid
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import ARC_FLAGS
-from roadtrace.session import app_id, checkpoint_dir
+from roadtrace.session import app_id
+from roadtrace.sources.stages import write_counted
 
 ARC_COLS = ["gatefrom", "gateto", *ARC_FLAGS]
 
@@ -56,15 +56,6 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
 
 
-def write_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
-    """Write a small intermediate table under the checkpoint folder, read it
-    back, and return its row count, observed during the write (one job)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/roadtrace-rounds/{uuid.uuid4().hex}"
-    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.parquet(path), int(obs.get["rows"])
-
-
 def cut_eligible_arcs(closure: DataFrame) -> DataFrame:
     """Arcs where a trip may be cut: an entry/exit and no service area."""
     return closure.filter(~F.col("hasServiceArea") & F.col("hasEntryExit"))

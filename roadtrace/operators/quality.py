@@ -172,8 +172,18 @@ def unmapped_gates(sightings: DataFrame, gates: DataFrame) -> DataFrame:
     return seen.join(gates.select(F.col("gateid").alias("gate")), "gate", "left_anti")
 
 
-def plate_day_counts(df: DataFrame, month: int | None = 1, max_count: int | None = 50) -> DataFrame:
-    """Sightings per (plate, day of month), optionally one month and ``count <= n``."""
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """Rows and plates of each stage, by name."""
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("rows"), F.count_distinct("plate").alias("plates"))
+        for name, df in stages.items()])
+
+
+def plate_day_counts(df: DataFrame, month: int | None = None, max_count: int | None = None,
+                     plate: int | None = None) -> DataFrame:
+    """Sightings per (plate, day of month); ``month``, ``plate`` and ``count <= max_count`` on request."""
+    if plate is not None:
+        df = df.filter(F.col("plate") == plate)
     if month is not None:
         df = df.filter(F.month("ts") == month)
     out = (df.groupBy("plate", F.dayofmonth("ts").alias("day"))

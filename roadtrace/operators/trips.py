@@ -15,15 +15,16 @@ T = whole minutes between the two sightings > ``cut_minutes``:
 * ``documented`` : not L or (C and T)   -- what its documentation describes
 * ``gap``        : T                    -- time only
 
-Distribution.  Ordinary plates take one window partition each.  Plates with
-more than ``hot_threshold`` sightings (at most rows / hot_threshold of them,
-so that list is broadcast) are split into time chunks sized per plate to
-about ``hot_threshold`` rows, each its own window partition, so no task holds
-a whole hot plate.  What
-crosses a chunk border -- the previous chunk's last sighting, the number of
-rows and trips before the chunk, where the open trip started -- comes from a
-per-chunk summary (one row per hot chunk) with prefix sums over the chunks of
-a plate, joined back on ``(plate, chunk)``.  Each row is shuffled once.
+Distribution.  Every row takes the same path: one shuffle on
+``(plate, chunk)``, one window per chunk (``windowed``), and the columns of
+all split rules side by side.  An ordinary plate is one chunk.  A plate with
+more than ``hot_threshold`` sightings is cut into chunks of about that many
+rows by cumulative row counts (``chunk_map``), so a burst gets as many chunks
+as its rows need; a single instant above the threshold is cut further by gate
+and lane.  What crosses a chunk border -- the previous sighting, the rows and
+trips before the chunk, where the open trip started -- comes from one summary
+row per chunk of a hot plate (``chunk_summary``), and ``stitched`` joins it
+back to the windowed rows.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.functions.time import epoch_seconds, minutes_between
+from roadtrace.functions.time import minutes_between
 from roadtrace.plans.joins import bounded_broadcast
 from roadtrace.schema import SEQUENCE_ORDER
+from roadtrace.sources.stages import write_counted
 
 POLICIES = ("as_coded", "documented", "gap")
 CUT_MINUTES = 30                 # fixed value: trip cut time of the original analysis
-HOT_PLATE_ROWS = 2_000_000       # sightings above which a plate is split by time
-HOT_CHUNK_MINUTES = None         # None: chunk width sized per hot plate (see hot_plates)
+HOT_PLATE_ROWS = 2_000_000       # sightings above which a plate is cut into chunks of about as many
 
 
 def split_rule(policy: str, gap_minutes: Column, legal: Column, cut_ok: Column,
@@ -82,132 +83,160 @@ def _with_split(df: DataFrame, prev_gate: Column, gate: Column, prev_ts: Column,
     return j.withColumn(out, rule).drop("_lk_from", "_lk_to", "_lk_cut")
 
 
-def _sequence(x: DataFrame, w, pairs: DataFrame | None, policy: str, cut_minutes: int) -> DataFrame:
-    """Within window partitions ``w``: position, previous sighting, inner split flags.
+def _day(ts: str = "ts") -> Column:
+    return F.to_date(ts)
 
-    ``_isplit`` is the split rule between a row and the previous row of the
-    same partition (false for the partition's first row); ``_cum`` counts
-    those splits up to the row and ``_lastsplit`` is the position of the
-    latest one.
+
+def hot_plates(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
+    """Plates with more than ``hot_threshold`` sightings (at most rows / threshold of them)."""
+    return (df.groupBy("plate").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > hot_threshold).select("plate"))
+
+
+def chunk_map(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame | None:
+    """Where hot plates are cut: ``(plate, _day, _starts, _huge)``, or None without hot plates.
+
+    ``_starts`` holds the day's chunks (first instant and number) and ``_huge``
+    the instants with more than ``hot_threshold`` rows.  Chunk numbers are
+    cumulative row counts over the plate's instants divided by the threshold:
+    prefix sums over days, then over the instants of a day (at most 86,400),
+    so no task sorts a whole hot plate.  Only ``plate`` and ``ts`` are read.
     """
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = (x.withColumn("_rn", F.row_number().over(w))
-         .withColumn("_pg", F.lag("gate").over(w))
-         .withColumn("_pt", F.lag("ts").over(w)))
-    x = _with_split(x, F.col("_pg"), F.col("gate"), F.col("_pt"), F.col("ts"),
-                    pairs, policy, cut_minutes, "_isplit")
-    x = x.withColumn("_isplit", F.coalesce(F.col("_isplit"), F.lit(False)))
-    return (x.withColumn("_cum", F.sum(F.col("_isplit").cast("long")).over(upto))
-            .withColumn("_lastsplit", F.max(F.when(F.col("_isplit"), F.col("_rn"))).over(upto)))
+    hot, n_hot = write_counted(df.sparkSession, hot_plates(df, hot_threshold))
+    if not n_hot:
+        return None
+    width = F.lit(max(hot_threshold, 1))
+    per = (df.select("plate", "ts").join(bounded_broadcast(hot, known_rows=n_hot), "plate", "left_semi")
+           .groupBy("plate", _day().alias("_day"), "ts").agg(F.count(F.lit(1)).alias("_c")))
+    days = per.groupBy("plate", "_day").agg(F.sum("_c").alias("_dc"))
+    earlier_days = Window.partitionBy("plate").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("plate", "_day", F.coalesce(F.sum("_dc").over(earlier_days), F.lit(0)).alias("_off"))
+    earlier = Window.partitionBy("plate", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    per = (per.join(days, ["plate", "_day"])
+           .withColumn("_chunk", F.floor((F.col("_off") + F.coalesce(F.sum("_c").over(earlier), F.lit(0))) / width)))
+    return (per.groupBy("plate", "_day", "_chunk")
+            .agg(F.min("ts").alias("_from"), F.collect_list(F.when(F.col("_c") > width, F.col("ts"))).alias("_huge"))
+            .groupBy("plate", "_day")
+            .agg(F.array_sort(F.collect_list(F.struct("_from", "_chunk"))).alias("_starts"),
+                 F.flatten(F.collect_list("_huge")).alias("_huge")))
+
+
+def with_chunk(df: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """Add ``_hot``, ``_chunk`` and ``_sub``; in their order, chunks follow the total order of a plate's rows."""
+    whole = F.struct(F.lit(False).alias("cut"), F.lit(0).alias("gate"), F.lit(0.0).alias("lane"))
+    if chunks is None:
+        return df.withColumns({"_hot": F.lit(False), "_chunk": F.lit(0).cast("long"), "_sub": whole})
+    cols = df.columns
+    j = df.withColumn("_day", _day()).join(bounded_broadcast(chunks), ["plate", "_day"], "left")
+    last = F.element_at(F.filter("_starts", lambda s: s["_from"] <= F.col("ts")), -1)
+    sub = F.when(F.array_contains("_huge", F.col("ts")),
+                 F.struct(F.lit(True).alias("cut"), F.col("gate").alias("gate"), F.col("lane").alias("lane")))
+    return j.select(*cols, F.col("_starts").isNotNull().alias("_hot"),
+                    F.coalesce(last["_chunk"], F.lit(0)).cast("long").alias("_chunk"),
+                    F.coalesce(sub, whole).alias("_sub"))
 
 
-def hot_plates(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
-    """Plates with more than ``hot_threshold`` sightings (at most rows / threshold of them).
+CHUNK = ["plate", "_chunk", "_sub"]
+
 
-    With each plate its count ``_n`` and time span ``_span_s`` (seconds), from
-    which the chunk width is sized: ``span * threshold / n`` seconds gives
-    about ``hot_threshold`` rows per chunk when sightings spread over time.
+def windowed(df: DataFrame, pairs: DataFrame | None, policies: tuple[str, ...], cut_minutes: int,
+             chunks: DataFrame | None) -> DataFrame:
+    """Every sighting with its place in its chunk and, per policy, the splits inside the chunk.
+
+    ``_rn`` is the position, ``_pg``/``_pt`` the previous sighting of the
+    chunk; ``_cum_p`` counts policy p's splits up to the row and ``_last_p``
+    is the position of the latest one.  One exchange, on the chunk.
     """
-    return (df.groupBy("plate")
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 (F.max(epoch_seconds("ts")) - F.min(epoch_seconds("ts"))).alias("_span_s"))
-            .filter(F.col("_n") > hot_threshold))
+    w = Window.partitionBy(*CHUNK).orderBy(*SEQUENCE_ORDER)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = (with_chunk(df, chunks)
+         .withColumn("_rn", F.row_number().over(w))
+         .withColumn("_pg", F.lag("gate").over(w))
+         .withColumn("_pt", F.lag("ts").over(w)))
+    for p in policies:
+        x = _with_split(x, F.col("_pg"), F.col("gate"), F.col("_pt"), F.col("ts"), pairs, p, cut_minutes, f"_is_{p}")
+    for p in policies:
+        inside = F.coalesce(F.col(f"_is_{p}"), F.lit(False))
+        x = (x.withColumn(f"_cum_{p}", F.sum(inside.cast("long")).over(upto))
+             .withColumn(f"_last_{p}", F.max(F.when(inside, F.col("_rn"))).over(upto)))
+    return x.drop(*[f"_is_{p}" for p in policies])
+
+
+def chunk_summary(x: DataFrame, pairs: DataFrame | None, policies: tuple[str, ...], cut_minutes: int) -> DataFrame:
+    """One row per chunk of a hot plate: what its rows need from the chunks before it."""
+    order = [*SEQUENCE_ORDER]
+    s = (x.filter("_hot").groupBy(*CHUNK)
+         .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(*order)).alias("_end"), F.min(F.struct(*order)).alias("_first"),
+              *[F.max(f"_cum_{p}").alias(f"_nis_{p}") for p in policies],
+              *[F.max(f"_last_{p}").alias(f"_lis_{p}") for p in policies]))
+    wp = Window.partitionBy("plate").orderBy("_chunk", "_sub")
+    before = wp.rowsBetween(Window.unboundedPreceding, -1)
+    s = (s.withColumn("_carry", F.lag("_end").over(wp))
+         .withColumn("_row_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")))
+    out = []
+    for p in policies:
+        s = _with_split(s, F.col("_carry.gate"), F.col("_first.gate"), F.col("_carry.ts"), F.col("_first.ts"),
+                        pairs, p, cut_minutes, f"_fs_{p}")
+        s = s.withColumn(f"_fs_{p}", F.coalesce(F.col(f"_fs_{p}"), F.col("_carry").isNull()))
+        s = s.withColumn(f"_to_{p}", F.coalesce(
+            F.sum(F.col(f"_fs_{p}").cast("long") + F.col(f"_nis_{p}")).over(before), F.lit(0)).cast("long"))
+        start = (F.when(F.col(f"_lis_{p}").isNotNull(), F.col("_row_off") + F.col(f"_lis_{p}"))
+                 .when(F.col(f"_fs_{p}"), F.col("_row_off") + 1))
+        s = s.withColumn(f"_cs_{p}", F.max(start).over(before))
+        out += [f"_fs_{p}", f"_to_{p}", f"_cs_{p}"]
+    return s.select(*CHUNK, F.col("_carry.gate").alias("_cg"), F.col("_carry.ts").alias("_ct"), "_row_off", *out)
+
+
+def stitched(x: DataFrame, summary: DataFrame | None, policy: str, cols: list[str]) -> DataFrame:
+    """W3 output of one policy: ``cols`` with ``tripid, step, prev_gate, prev_ts``; no shuffle of the rows."""
+    cum, inner = F.col(f"_cum_{policy}"), F.col(f"_last_{policy}")
+    if summary is None:
+        starts, row_off, trip_off = F.lit(True), F.lit(0), F.lit(0)
+        carry_start, cg, ct = F.lit(1), F.lit(None), F.lit(None)
+    else:
+        # a chunk without a summary row is a whole ordinary plate
+        x = x.join(bounded_broadcast(summary), CHUNK, "left")
+        starts = F.coalesce(F.col(f"_fs_{policy}"), F.lit(True))
+        row_off, trip_off = (F.coalesce(F.col(c), F.lit(0)) for c in ("_row_off", f"_to_{policy}"))
+        carry_start, cg, ct = F.col(f"_cs_{policy}"), F.col("_cg"), F.col("_ct")
+    first = F.col("_rn") == 1
+    split = F.when(first, starts).otherwise(F.coalesce(inner == F.col("_rn"), F.lit(False)))
+    start = (F.when(inner.isNotNull(), row_off + inner).when(starts, row_off + 1).otherwise(carry_start))
+    return x.select(
+        *cols,
+        (trip_off + starts.cast("long") + cum).cast("long").alias("tripid"),
+        (row_off + F.col("_rn") - start + 1).cast("long").alias("step"),
+        F.when(~split, F.when(first, cg).otherwise(F.col("_pg"))).cast("int").alias("prev_gate"),
+        F.when(~split, F.when(first, ct).otherwise(F.col("_pt"))).cast("timestamp_ntz").alias("prev_ts"))
 
 
 def sessionize(df: DataFrame, pairs: DataFrame | None = None, policy: str = "as_coded",
-               cut_minutes: int = CUT_MINUTES, hot_threshold: int = HOT_PLATE_ROWS,
-               hot_chunk_minutes: int | None = HOT_CHUNK_MINUTES,
-               hot: DataFrame | None = None) -> DataFrame:
+               cut_minutes: int = CUT_MINUTES, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
     """Add ``tripid, step, prev_gate, prev_ts`` to every sighting.
 
     ``df`` holds ``plate, gate, lane, ts, nationality`` without nulls (drop
     them first, P6).  ``pairs`` is ``closure_pairs(...)`` (not needed for the
-    ``gap`` policy).  Ordinary plates take one window per plate; hot plates
-    take the chunked path; every row goes through exactly one of the two.
-    ``hot`` is ``hot_plates(df, hot_threshold)`` when the caller already has it.
-    ``hot_chunk_minutes`` fixes the chunk width; by default it is sized per
-    hot plate from its count and time span.
+    ``gap`` policy).  ``hot_threshold`` sizes the chunks of hot plates; it
+    changes no result.  ``plans.pipeline`` writes the windowed rows once for
+    all policies; here, with hot plates, they are computed for the summary as
+    well.
     """
     if policy not in (*POLICIES, "none"):
         raise ValueError(f"unknown split policy {policy!r}; expected one of {POLICIES}")
-    cols = df.columns
-    order = SEQUENCE_ORDER
-
-    hot = hot if hot is not None else hot_plates(df, hot_threshold)
-    if hot_chunk_minutes:
-        width = F.lit(hot_chunk_minutes * 60)
-    else:
-        width = F.greatest(F.lit(1), F.ceil(F.col("_span_s") * F.lit(max(hot_threshold, 1))
-                                            / F.col("_n")))
-    hot = hot.select("plate", F.lit(True).alias("_hot"), width.cast("long").alias("_width"))
-    # at most rows / hot_threshold plates: bounded by construction
-    base = df.join(F.broadcast(hot), "plate", "left")
-
-    # ---- ordinary plates: the window sees the whole plate
-    c = _sequence(base.filter(F.col("_hot").isNull()).drop("_hot", "_width"),
-                  Window.partitionBy("plate").orderBy(*order), pairs, policy, cut_minutes)
-    cont = (F.col("_rn") > 1) & ~F.col("_isplit")
-    cold = c.select(
-        *cols,
-        (F.col("_cum") + 1).alias("tripid"),
-        (F.col("_rn") - F.coalesce(F.col("_lastsplit"), F.lit(1)) + 1).cast("long").alias("step"),
-        F.when(cont, F.col("_pg")).alias("prev_gate"),
-        F.when(cont, F.col("_pt")).alias("prev_ts"))
-
-    # ---- hot plates: one window partition per (plate, time chunk)
-    chunk = F.floor(epoch_seconds("ts") / F.col("_width")).cast("long")
-    x = (base.filter(F.col("_hot"))
-         .withColumn("_chunk", chunk).drop("_hot", "_width")
-         .repartition("plate", "_chunk"))
-    x = _sequence(x, Window.partitionBy("plate", "_chunk").orderBy(*order), pairs, policy, cut_minutes)
-
-    s = (x.groupBy("plate", "_chunk")
-         .agg(F.count(F.lit(1)).alias("_n"),
-              F.max(F.struct(*order)).alias("_last"),
-              F.min(F.struct(*order)).alias("_first"),
-              F.sum(F.col("_isplit").cast("long")).alias("_nis"),
-              F.max(F.when(F.col("_isplit"), F.col("_rn"))).alias("_lis")))
-    wp = Window.partitionBy("plate").orderBy("_chunk")
-    before = wp.rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.withColumn("_carry", F.lag("_last").over(wp))
-         .withColumn("_row_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")))
-    s = _with_split(s, F.col("_carry.gate"), F.col("_first.gate"), F.col("_carry.ts"),
-                    F.col("_first.ts"), pairs, policy, cut_minutes, "_fsplit")
-    s = s.withColumn("_fsplit", F.coalesce(F.col("_fsplit"), F.col("_carry").isNull()))
-    s = (s.withColumn("_trip_off", F.coalesce(
-            F.sum(F.col("_fsplit").cast("long") + F.col("_nis")).over(before), F.lit(0)).cast("long"))
-         .withColumn("_lsr", F.when(F.col("_lis").isNotNull(), F.col("_row_off") + F.col("_lis"))
-                     .when(F.col("_fsplit"), F.col("_row_off") + 1))
-         .withColumn("_carry_start", F.max("_lsr").over(before)))
-    s = s.select("plate", "_chunk",
-                 F.col("_carry.gate").alias("_cg"), F.col("_carry.ts").alias("_ct"),
-                 "_row_off", "_fsplit", "_trip_off", "_carry_start")
-
-    y = x.join(s, ["plate", "_chunk"])
-    first = F.col("_rn") == 1
-    split = F.when(first, F.col("_fsplit")).otherwise(F.col("_isplit"))
-    start = (F.when(F.col("_lastsplit").isNotNull(), F.col("_row_off") + F.col("_lastsplit"))
-             .when(F.col("_fsplit"), F.col("_row_off") + 1)
-             .otherwise(F.col("_carry_start")))
-    hot_out = y.select(
-        *cols,
-        (F.col("_trip_off") + F.col("_fsplit").cast("long") + F.col("_cum")).alias("tripid"),
-        (F.col("_row_off") + F.col("_rn") - start + 1).cast("long").alias("step"),
-        F.when(~split, F.when(first, F.col("_cg")).otherwise(F.col("_pg"))).alias("prev_gate"),
-        F.when(~split, F.when(first, F.col("_ct")).otherwise(F.col("_pt"))).alias("prev_ts"))
-    return cold.unionByName(hot_out)
+    chunks = chunk_map(df, hot_threshold)
+    x = windowed(df, pairs, (policy,), cut_minutes, chunks)
+    summary = None if chunks is None else chunk_summary(x, pairs, (policy,), cut_minutes)
+    return stitched(x, summary, policy, df.columns)
 
 
-def previous_sighting(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS,
-                      hot_chunk_minutes: int | None = HOT_CHUNK_MINUTES,
-                      hot: DataFrame | None = None) -> DataFrame:
+def previous_sighting(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame:
     """Every sighting with the plate's previous one (``prev_gate``, ``prev_ts``).
 
-    Sessionization with a rule that never splits: the same skew-safe plan
-    (hot plates chunked by time), so consecutive pairs of a plate never need
-    the whole plate in one task.  The plate's first sighting has no previous.
+    Sessionization with a rule that never splits: the same skew-safe plan, so
+    consecutive pairs of a plate never need the whole plate in one task.  The
+    plate's first sighting has no previous.
     """
-    return sessionize(df, None, "none", 0, hot_threshold, hot_chunk_minutes, hot)
+    return sessionize(df, None, "none", 0, hot_threshold)
 
 
 def segments(trips: DataFrame) -> DataFrame:

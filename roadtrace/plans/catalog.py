@@ -187,15 +187,7 @@ UNION ALL SELECT 'clean', count(*), count(DISTINCT plate) FROM clean
 UNION ALL SELECT 'fixed', count(*), count(DISTINCT plate) FROM fixed
 UNION ALL SELECT 'nonnull', count(*), count(DISTINCT plate) FROM nonnull"""))
 def _stage_counts(spark, d):
-    p = _p(spark, d)
-    frames = [("raw", p.raw), ("valid", p.valid), ("clean", p.clean), ("fixed", p.fixed),
-              ("nonnull", p.nonnull)]
-    out = None
-    for name, df in frames:
-        one = df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("rows"),
-                     F.count_distinct("plate").alias("plates"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _p(spark, d).quality_report()["stage_counts"]
 
 
 # ============================================================== trips

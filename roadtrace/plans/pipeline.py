@@ -9,6 +9,7 @@ reuse across jobs.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,35 +19,50 @@ from roadtrace.operators import quality as q
 from roadtrace.operators import segments as segm
 from roadtrace.operators import trips as tr
 from roadtrace.operators.network import Network, synthetic_network
+from roadtrace.plans.joins import record_bound
+from roadtrace.schema import SIGHTING_COLS
 from roadtrace.sources.adapter import load_sightings
-from roadtrace.sources.stages import materialize
+from roadtrace.sources.stages import materialize, write_counted
 
 # Cut time used with the synthetic test tables: their per-plate gaps are far
 # longer than a real highway's, so the 30-minute cut would end every trip.
 TEST_CUT_MINUTES = 720
+ALL_POLICIES = (*tr.POLICIES, "none")
 
 
 class Pipeline:
+    """The stages of one input: a test folder (``sf_dir``) or the caller's sightings (``raw``).
+
+    ``materialize_stages`` writes each stage once as Parquet (S5): under the
+    cluster's checkpoint folder, or under ``stage_dir`` when the stages are
+    results of their own (``plans.analysis``).  ``stage_key`` names the input
+    of ``raw``; without one its stages belong to this object alone.
+    ``raw_is_set`` says that ``raw`` has no repeated rows; otherwise they are
+    removed first, as the ingest does.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
                  raw: DataFrame | None = None, network: Network | None = None,
                  policy: str = "as_coded", cut_minutes: int = tr.CUT_MINUTES,
                  hot_threshold: int = tr.HOT_PLATE_ROWS,
-                 hot_chunk_minutes: int | None = tr.HOT_CHUNK_MINUTES,
-                 materialize_stages: bool = False, reuse_existing: bool = False):
+                 materialize_stages: bool = False, reuse_existing: bool = False,
+                 stage_key: str | None = None, stage_dir: str | None = None,
+                 raw_is_set: bool = False):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or raw")
+        if reuse_existing and raw is not None and stage_key is None:
+            raise ValueError("stages of raw are only reusable under a stage_key")
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw = raw
+        self._raw_is_set = raw_is_set
         self._network = network
         self.policy = policy
         self.cut_minutes = cut_minutes
         self.hot_threshold = hot_threshold
-        self.hot_chunk_minutes = hot_chunk_minutes
-        # Write the raw, conflict, multi-nationality and repaired tables
-        # and each policy's trips once per application (as the original's
-        # Parquet stages; only when the input is identified by sf_dir)
-        self.materialize_stages = materialize_stages and sf_dir is not None
+        self.materialize_stages = materialize_stages
+        self.stage_dir = stage_dir
+        self._key = sf_dir or stage_key or uuid.uuid4().hex
         # read completed stages of an earlier application with the same key
         # (the original's "read the stage folder if it exists"), off by default
         self.reuse_existing = reuse_existing
@@ -54,15 +70,16 @@ class Pipeline:
     def _stage(self, name: str, params: tuple, build) -> DataFrame:
         if not self.materialize_stages:
             return build()
-        return materialize(self.spark, name, (self.sf_dir, *params), build, self.reuse_existing)
+        return materialize(self.spark, name, (self._key, *params), build, self.reuse_existing,
+                           None if self.stage_dir is None else f"{self.stage_dir.rstrip('/')}/{name}.parquet")
 
     # ------------------------------------------------------------- cleaning
     @cached_property
     def raw(self) -> DataFrame:
-        if self._raw is not None:
-            return self._raw
         # S1 + S5: the de-duplicated sightings, written once (the original's raw stage)
-        return self._stage("raw", (), lambda: load_sightings(self.spark, self.sf_dir))
+        if self._raw is None:
+            return self._stage("raw", (), lambda: load_sightings(self.spark, self.sf_dir))
+        return self._stage("raw", (), lambda: self._raw if self._raw_is_set else self._raw.distinct())
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -105,25 +122,31 @@ class Pipeline:
 
     # ----------------------------------------------------------------- trips
     @cached_property
-    def hot_plates(self) -> DataFrame:
-        """Plates split by time in sessionization, found once for every policy."""
-        return self._stage("hot_plates", (self.hot_threshold,),
-                           lambda: tr.hot_plates(self.nonnull, self.hot_threshold))
+    def _chunks(self) -> DataFrame | None:
+        """Where hot plates are cut, found once for every policy (None without hot plates)."""
+        return tr.chunk_map(self.nonnull, self.hot_threshold)
+
+    @cached_property
+    def windowed(self) -> DataFrame:
+        """The sightings in their windows with the splits of every policy: the one
+        full-width copy behind all trips and the consecutive pairs."""
+        return self._stage("windowed", (self.cut_minutes, self.hot_threshold), lambda: tr.windowed(
+            self.nonnull, self.network.pairs, ALL_POLICIES, self.cut_minutes, self._chunks))
+
+    @cached_property
+    def _summary(self) -> DataFrame | None:
+        if self._chunks is None:
+            return None
+        s = tr.chunk_summary(self.windowed, self.network.pairs, ALL_POLICIES, self.cut_minutes)
+        return record_bound(*write_counted(self.spark, s))
 
     def trips_for(self, policy: str) -> DataFrame:
-        pairs = None if policy == "gap" else self.network.pairs
-        return self._stage(
-            f"trips_{policy}", (self.cut_minutes, self.hot_threshold, self.hot_chunk_minutes),
-            lambda: tr.sessionize(self.nonnull, pairs, policy, self.cut_minutes,
-                                  self.hot_threshold, self.hot_chunk_minutes, self.hot_plates))
+        return tr.stitched(self.windowed, self._summary, policy, SIGHTING_COLS)
 
     @cached_property
     def sequence(self) -> DataFrame:
-        """Every sighting with the plate's previous one (W1 and F2 read it)."""
-        return self._stage(
-            "sequence", (self.hot_threshold, self.hot_chunk_minutes),
-            lambda: tr.previous_sighting(self.nonnull, self.hot_threshold, self.hot_chunk_minutes,
-                                         self.hot_plates))
+        """Every sighting with the plate's previous one (W1, F2 and A7 read it)."""
+        return self.trips_for("none")
 
     @cached_property
     def trips(self) -> DataFrame:
@@ -144,7 +167,7 @@ class Pipeline:
     # --------------------------------------------------------------- features
     @cached_property
     def global_features(self) -> DataFrame:
-        return feat.plate_global_features(self.nonnull)
+        return feat.plate_global_features(self.nonnull, sequence=self.sequence)
 
     @cached_property
     def trip_summary(self) -> DataFrame:
@@ -152,7 +175,9 @@ class Pipeline:
 
     @cached_property
     def plate_features(self) -> DataFrame:
-        return feat.plate_features(self.global_features, self.trip_summary)
+        """A stage: scaling, the vector fit and the report each read it."""
+        return self._stage(f"plate_features_{self.policy}", (self.cut_minutes, self.hot_threshold),
+                           lambda: feat.plate_features(self.global_features, self.trip_summary))
 
     # ------------------------------------------------------------- clustering
     @cached_property
@@ -160,6 +185,18 @@ class Pipeline:
         """M1 + M2 output, a stage (as the original's vectorized table): the
         clustering fits iterate over it many times."""
         from roadtrace.operators.clustering import plate_vectors
-        return self._stage(f"vectorized_{self.policy}",
-                           (self.cut_minutes, self.hot_threshold, self.hot_chunk_minutes),
+        return self._stage(f"vectorized_{self.policy}", (self.cut_minutes, self.hot_threshold),
                            lambda: plate_vectors(self.plate_features))
+
+    # ----------------------------------------------------------------- report
+    def quality_report(self) -> dict[str, DataFrame]:
+        """The counts that the original prints along its run."""
+        return {
+            "stage_counts": q.stage_counts({"raw": self.raw, "valid": self.valid, "clean": self.clean,
+                                            "fixed": self.fixed, "nonnull": self.nonnull}),
+            "unknown_before_after": q.unknown_before_after(self.clean, self.fixed),
+            "nationality_counts": q.nationality_counts(self.fixed),
+            "multinat_by_num": q.multinat_by_num(self.multinat),
+            "multinat_by_set": q.multinat_by_set(self.multinat),
+            "conflicts_by_month": q.conflicts_by_month(self.conflicts),
+        }

@@ -19,7 +19,8 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from roadtrace.session import app_id, checkpoint_dir
@@ -46,19 +47,19 @@ def stage_path(spark: SparkSession, name: str, key: tuple, scope_to_app: bool =
 
 
 def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
-                reuse_existing: bool = False) -> DataFrame:
-    """Write ``build()`` once as Parquet under the stage folder and read it back.
+                reuse_existing: bool = False, path: str | None = None) -> DataFrame:
+    """Write ``build()`` once as Parquet under the stage folder (or to ``path``) and read it back.
 
     Within one application the same ``(name, key)`` is written once.  With
     ``reuse_existing`` a completed stage left by an earlier application with
     the same key is read instead of recomputed.
     """
-    memo_key = (app_id(spark), name, key)
+    memo_key = (app_id(spark), name, key, path)
     df = _WRITTEN.get(memo_key)
     if df is None:
-        if reuse_existing:
-            path = stage_path(spark, name, key, scope_to_app=False)
-            if not _exists(spark, path):
+        if path is not None or reuse_existing:
+            path = path or stage_path(spark, name, key, scope_to_app=False)
+            if not (reuse_existing and _exists(spark, path)):
                 build().write.mode("overwrite").parquet(path)
         else:
             # a unique folder per attempt: a failed or concurrent attempt
@@ -70,6 +71,28 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
     return df
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stages and small intermediate tables from the checkpoint folder.
+
+    For the end of a run: frames that read them are gone with it.  Stages kept
+    for other applications (``reuse_existing``) lie elsewhere and stay.
+    """
+    app = app_id(spark)
+    for key in [k for k in _WRITTEN if k[0] == app]:
+        del _WRITTEN[key]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+    """Write a small intermediate table under the checkpoint folder, read it
+    back, and return its row count, observed during the write (one job)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/roadtrace-rounds/{uuid.uuid4().hex}"
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(obs.get["rows"])
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3 sink."""
     df.write.mode(mode).parquet(path)

@@ -213,5 +213,5 @@ def test_previous_sighting_hot_path(sightings):
     df = sightings(rows)
     plain = {r.gate: (r.tripid, r.step, r.prev_gate) for r in tr.previous_sighting(df).collect()}
     hot = {r.gate: (r.tripid, r.step, r.prev_gate)
-           for r in tr.previous_sighting(df, hot_threshold=0, hot_chunk_minutes=60).collect()}
+           for r in tr.previous_sighting(df, hot_threshold=0).collect()}
     assert plain == hot == {1: (1, 1, None), 2: (1, 2, 1), 3: (1, 3, 2), 4: (1, 4, 3)}

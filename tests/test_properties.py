@@ -21,8 +21,8 @@ def pipe(spark):
 def test_chunked_path_equals_plain_path(pipe, policy):
     pairs = None if policy == "gap" else pipe.network.pairs
     plain = tr.sessionize(pipe.nonnull, pairs, policy, 720)
-    # every plate is "hot", chunks of 6 hours: trips cross many chunk borders
-    chunked = tr.sessionize(pipe.nonnull, pairs, policy, 720, hot_threshold=0, hot_chunk_minutes=360)
+    # every plate is hot, chunks of about 7 rows: trips cross many chunk borders
+    chunked = tr.sessionize(pipe.nonnull, pairs, policy, 720, hot_threshold=7)
     a, b = plain.select(*COLS), chunked.select(*COLS)
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -40,8 +40,8 @@ def test_adaptive_chunks_equal_plain_path(pipe):
 
 def test_chunk_size_does_not_matter(pipe):
     pairs = pipe.network.pairs
-    a = tr.sessionize(pipe.nonnull, pairs, "as_coded", 720, hot_threshold=0, hot_chunk_minutes=45)
-    b = tr.sessionize(pipe.nonnull, pairs, "as_coded", 720, hot_threshold=0, hot_chunk_minutes=24 * 60)
+    a = tr.sessionize(pipe.nonnull, pairs, "as_coded", 720, hot_threshold=1)
+    b = tr.sessionize(pipe.nonnull, pairs, "as_coded", 720, hot_threshold=40)
     assert a.select(*COLS).exceptAll(b.select(*COLS)).count() == 0
 
 

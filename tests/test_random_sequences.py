@@ -30,14 +30,13 @@ def pairs(spark):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows, policy=st.sampled_from((*tr.POLICIES, "none")), chunk=st.sampled_from([15, 30, 90, None]))
+@given(rows=rows, policy=st.sampled_from((*tr.POLICIES, "none")), chunk=st.sampled_from([1, 2, 5, 13]))
 def test_chunked_equals_plain(spark, pairs, rows, policy, chunk):
     df = spark.createDataFrame(
         [(p, g, float(l), BASE + dt.timedelta(minutes=m), n) for p, g, l, m, n in rows], SIGHTING)
     # "none" is the never-splitting rule behind previous_sighting
     plain = tr.sessionize(df, pairs, policy, cut_minutes=30).select(*COLS)
-    chunked = tr.sessionize(df, pairs, policy, cut_minutes=30, hot_threshold=0,
-                            hot_chunk_minutes=chunk).select(*COLS)
+    chunked = tr.sessionize(df, pairs, policy, cut_minutes=30, hot_threshold=chunk).select(*COLS)
     a = sorted(map(tuple, plain.collect()), key=repr)
     b = sorted(map(tuple, chunked.collect()), key=repr)
     assert a == b

@@ -31,8 +31,8 @@ def test_trip_counts(spark, policy, expected):
 
 
 def test_hot_plates_take_the_chunked_path_with_equal_results(spark, pipe):
-    hot = Pipeline(spark, SF, cut_minutes=720, hot_threshold=60, hot_chunk_minutes=240,
+    hot = Pipeline(spark, SF, cut_minutes=720, hot_threshold=60,
                    materialize_stages=True)
-    assert hot.hot_plates.count() > 0
+    assert hot.windowed.filter("_hot").count() > 0
     a, b = pipe.trips_for("as_coded"), hot.trips_for("as_coded")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
