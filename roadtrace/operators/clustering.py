@@ -3,23 +3,27 @@
 Spark ML does the distributed work (fits iterate over the partitioned
 feature table; only model parameters -- k centres, k Gaussians -- live on the
 driver).  Everything around the fits is DataFrame code: scaling is one
-aggregate, WCSS is an aggregate over a join with the k centres, anomaly
+aggregate, WCSS is an aggregate over distances to the k centres, anomaly
 selection is a semi join with the small set of outlier clusters.
 """
 
 from __future__ import annotations
 
-import warnings
+import hashlib
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadtrace.sources.stages import exists
+
 FEATURES = "features"
 SEED = 42
 # fixed values: the k sweeps and iteration count of the original analysis
@@ -27,6 +31,7 @@ KMEANS_KS = [2, 4, 6, 8, 10, 12, 15, 20, 30, 45]
 GMM_KS = [2, 4, 6, 8, 10, 12, 15, 20, 30, 40]
 MAX_ITER = 20
 OUTLIER_SHARE = 0.05
+TRAIN_SHARE = 0.7
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -83,69 +88,129 @@ def plate_vectors(features: DataFrame) -> DataFrame:
     return vectorize(scaled)
 
 
+# ----------------------------------------------------------------- split
+def in_training(id_col: str = "plate", seed: int = SEED, share: float = TRAIN_SHARE) -> Column:
+    """Which rows train: a bucket of md5(id, seed), so neither the partitioning nor the cluster changes the split."""
+    head = F.substring(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8)
+    return F.conv(head, 16, 10).cast("long") % 100 < round(share * 100)
+
+
 # ------------------------------------------------------------------ fits
+def squared_distance_cost(df: DataFrame, centres: list[list[float]], features_col: str = FEATURES) -> DataFrame:
+    """M4: the sum of squared distances of the rows to their nearest centre, as one row ``wcss``.
+
+    ``centres`` are model parameters: k vectors, whatever the data's size.
+    """
+    v = F.col("_v")
+    nearest = F.least(*[_squared_distance(v, c) for c in centres]) if len(centres) > 1 else _squared_distance(v, centres[0])
+    return (df.select(vector_to_array(features_col).alias("_v"))
+            .agg(F.coalesce(F.sum(nearest), F.lit(0.0)).alias("wcss")))
+
+
+def _squared_distance(v: Column, centre: list[float]) -> Column:
+    d = F.zip_with(v, F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def wcss(model: KMeansModel, df: DataFrame, features_col: str = FEATURES) -> float:
-    """M4: sum of squared distances of ``df`` rows to their assigned centre.
+    """M4 for a fitted model.
 
     ``KMeansModel.computeCost`` no longer exists; this is the same quantity
-    (equal to ``summary.trainingCost`` on the training rows), computed as an
-    aggregate over a join with the k centres (broadcast, k rows).
+    (equal to ``summary.trainingCost`` on the training rows).
     """
-    spark = df.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "prediction int, centre array<double>")
-    pred = model.transform(df).select(vector_to_array(features_col).alias("_v"), "prediction")
-    d2 = F.aggregate(F.zip_with("_v", "centre", lambda a, b: (a - b) * (a - b)),
-                     F.lit(0.0), lambda acc, x: acc + x)
-    # k centres: bounded by the model, not by the data
-    row = pred.join(F.broadcast(centres), "prediction").agg(F.sum(d2).alias("w")).first()
-    return float(row.w or 0.0)
+    return float(squared_distance_cost(df, [list(c) for c in model.clusterCenters()], features_col).first().wcss)
+
+
+def _distinct_up_to(df: DataFrame, most: int, features_col: str) -> int:
+    """min(distinct vectors, ``most``); the first rows nearly always settle it."""
+    def count(rows: DataFrame) -> int:
+        return rows.select(vector_to_array(features_col).alias("_v")).distinct().limit(most).count()
+
+    few = count(df.limit(10 * most))
+    return few if few >= most else count(df)
+
+
+def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter: int = MAX_ITER, seed: int = SEED,
+               features_col: str = FEATURES, model_dir: str | None = None, id_col: str = "plate"):
+    """M3 / M5 + S7: ``(k, model, score)`` for each k; K-means on the training share, mixtures on all rows.
+
+    Every k gets a model: where the rows have fewer distinct points than k,
+    a model of as many clusters as there are points, reported under k.  The
+    score is the mixture's log-likelihood (None for K-means).  With
+    ``model_dir`` models and scores are kept under a digest of the rows, the
+    parameters, the seed and the vector's width, and fitted only if absent.
+    """
+    if algo not in ("kmeans", "gmm"):
+        raise ValueError(f"unknown clustering algorithm {algo!r}; expected 'kmeans' or 'gmm'")
+    ks = ks or (KMEANS_KS if algo == "kmeans" else GMM_KS)
+    rows = df.filter(in_training(id_col, seed)) if algo == "kmeans" else df
+    if not rows.take(1):
+        raise ValueError("no rows to fit")
+    points = None
+    digest = _digest(rows, features_col) if model_dir else ""
+    out = []
+    for k in ks:
+        def fit(k=k):
+            nonlocal points
+            if points is None:
+                points = _distinct_up_to(rows, max(ks), features_col)
+            n = max(min(k, points), 1 if algo == "kmeans" else 2)
+            if algo == "gmm":
+                model = GaussianMixture(k=n, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows)
+                return model, float(model.summary.logLikelihood)
+            if n == 1:  # Spark's K-means asks for two clusters; two equal centres are one
+                return KMeans(k=2, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
+            return KMeans(k=n, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
+
+        name = "_".join(map(str, (algo, k, max_iter, seed, digest)))
+        model, score = _load_or_fit(df.sparkSession, model_dir, name,
+                                    KMeansModel if algo == "kmeans" else GaussianMixtureModel, fit)
+        out.append((k, model, score))
+    return out
+
+
+def _digest(df: DataFrame, features_col: str) -> str:
+    """Digest of the rows (their multiset) and of the vector's width, in one aggregate."""
+    row = F.xxhash64(*[vector_to_array(c.name) if c.name == features_col else F.col(c.name) for c in df.schema.fields
+                       if c.name == features_col or not isinstance(c.dataType, VectorUDT)])
+    found = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row),
+                   F.max(F.size(vector_to_array(features_col)))).first()
+    return hashlib.sha1(repr(tuple(found)).encode()).hexdigest()[:16]
+
+
+def _load_or_fit(spark: SparkSession, model_dir: str | None, name: str, model_cls, fit):
+    """Model store, one folder per digest; the score is written last and marks a complete entry."""
+    if model_dir is None:
+        return fit()
+    path = f"{model_dir.rstrip('/')}/{name}"
+    if exists(spark, f"{path}.score"):
+        return model_cls.load(path), spark.read.schema("score double").parquet(f"{path}.score").first().score
+    model, score = fit()
+    model.write().overwrite().save(path)
+    spark.createDataFrame([(score,)], "score double").write.mode("overwrite").parquet(f"{path}.score")
+    return model, score
 
 
 def kmeans_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX_ITER,
-                 seed: int = SEED, features_col: str = FEATURES,
-                 model_dir: str | None = None) -> tuple[list[tuple[int, KMeansModel]], DataFrame]:
-    """M3 + M4: fit K-means on a seeded 70 % split for each k, WCSS on the other 30 %.
+                 seed: int = SEED, features_col: str = FEATURES, model_dir: str | None = None,
+                 id_col: str = "plate") -> tuple[list[tuple[int, KMeansModel]], DataFrame]:
+    """M3 + M4: fit K-means on the training share for each k, WCSS on the other rows.
 
     Returns the models and a ``(algo, k, wcss)`` frame (the elbow data).
-    With ``model_dir`` each model is loaded if saved before, else fitted and
-    saved (S7).
     """
-    ks = ks or KMEANS_KS
-    train, test = df.randomSplit([0.7, 0.3], seed=seed)
-    # k clusters need k distinct points; a k above that is undefined (and
-    # Spark's fit fails), so it stays in the report with no WCSS and no model
-    n_points = train.select(vector_to_array(features_col).alias("_v")).distinct().count()
-    models, rows = [], []
-    for k in ks:
-        if k > n_points:
-            warnings.warn(f"k={k} exceeds the {n_points} distinct training points; not fitted",
-                          stacklevel=2)
-            rows.append(("kmeans", k, None))
-            continue
-        model = _load_or_fit(
-            model_dir, "kmeans", k, KMeansModel,
-            lambda k=k: KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(train))
-        models.append((k, model))
-        rows.append(("kmeans", k, wcss(model, test, features_col)))
-    return models, df.sparkSession.createDataFrame(rows, "algo string, k int, wcss double")
+    fits = fit_models(df, "kmeans", ks, max_iter, seed, features_col, model_dir, id_col)
+    test = df.filter(~in_training(id_col, seed))
+    rows = [("kmeans", k, wcss(model, test, features_col)) for k, model, _ in fits]
+    return [(k, m) for k, m, _ in fits], df.sparkSession.createDataFrame(rows, "algo string, k int, wcss double")
 
 
 def gmm_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX_ITER,
-              seed: int = SEED, features_col: str = FEATURES,
-              model_dir: str | None = None) -> tuple[list[tuple[int, GaussianMixtureModel]], DataFrame]:
+              seed: int = SEED, features_col: str = FEATURES, model_dir: str | None = None,
+              id_col: str = "plate") -> tuple[list[tuple[int, GaussianMixtureModel]], DataFrame]:
     """M5: Gaussian mixtures on all rows for each k; ``(algo, k, log_likelihood)``."""
-    ks = ks or GMM_KS
-    models, rows = [], []
-    for k in ks:
-        model = _load_or_fit(
-            model_dir, "gmm", k, GaussianMixtureModel,
-            lambda k=k: GaussianMixture(k=k, maxIter=max_iter, seed=seed,
-                                        featuresCol=features_col).fit(df))
-        models.append((k, model))
-        rows.append(("gmm", k, float(model.summary.logLikelihood) if model.hasSummary else None))
-    return models, df.sparkSession.createDataFrame(rows, "algo string, k int, log_likelihood double")
+    fits = fit_models(df, "gmm", ks, max_iter, seed, features_col, model_dir, id_col)
+    rows = [("gmm", k, score) for k, _, score in fits]
+    return [(k, m) for k, m, _ in fits], df.sparkSession.createDataFrame(rows, "algo string, k int, log_likelihood double")
 
 
 def cluster_sweep(df: DataFrame, algo: str, ks: list[int] | None = None, **kw):
@@ -157,47 +222,39 @@ def cluster_sweep(df: DataFrame, algo: str, ks: list[int] | None = None, **kw):
     raise ValueError(f"unknown clustering algorithm {algo!r}; expected 'kmeans' or 'gmm'")
 
 
-def _load_or_fit(model_dir, algo, k, model_cls, fit):
-    """Model store, one folder per (algo, k)."""
-    if model_dir is None:
-        return fit()
-    path = f"{model_dir.rstrip('/')}/{algo}_{k}.model"
-    try:
-        return model_cls.load(path)
-    except Exception:  # noqa: BLE001 - missing or unreadable model: refit
-        model = fit()
-        model.write().overwrite().save(path)
-        return model
-
-
 # -------------------------------------------------------------- anomalies
-def anomalies(predictions: DataFrame, share: float = OUTLIER_SHARE,
-              prediction_col: str = "prediction") -> DataFrame:
-    """M6 + A9 + P14: rows in clusters holding less than ``share`` of all rows.
+def anomalies(predictions: DataFrame, share: float = OUTLIER_SHARE, prediction_col: str = "prediction",
+              id_col: str = "plate", ordered: bool = True) -> DataFrame:
+    """M6 + A9 + P14: rows in clusters holding less than ``share`` of all rows, by cluster and id.
 
-    Cluster sizes are one aggregate (k rows); the share uses their total
-    through a window over those k rows; the outlier clusters (at most k) are
-    applied as a broadcast semi join -- no ids travel through the driver.
+    Cluster sizes are one aggregate (k rows); the outlier clusters (at most k)
+    are applied as a broadcast semi join -- no ids travel through the driver.
+    The order includes the id, so a large cluster is sorted by many tasks.
     """
-    sizes = predictions.groupBy(prediction_col).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.withColumn("_share", F.col("_size") / F.sum("_size").over(Window.partitionBy()))
-    outliers = sizes.filter(F.col("_share") < share).select(prediction_col)
+    outliers = cluster_sizes(predictions, prediction_col).filter(F.col("share") < share).select(prediction_col)
     # at most k outlier clusters
-    return (predictions.join(F.broadcast(outliers), prediction_col, "left_semi")
-            .orderBy(prediction_col))
+    found = predictions.join(F.broadcast(outliers), prediction_col, "left_semi")
+    return found.orderBy(prediction_col, id_col) if ordered else found
+
+
+def sweep_anomalies(df: DataFrame, algo: str, models: list[tuple[int, KMeansModel | GaussianMixtureModel]],
+                    id_col: str = "plate") -> DataFrame:
+    """M6 for every model of a sweep: ``(algo, k, plate, prediction)``, ordered once over the whole result."""
+    parts = [anomalies(m.transform(df).select(id_col, "prediction"), id_col=id_col, ordered=False)
+             .select(F.lit(algo).alias("algo"), F.lit(k).alias("k"), id_col, "prediction") for k, m in models]
+    return reduce(DataFrame.unionByName, parts).orderBy("algo", "k", "prediction", id_col)
 
 
 def cluster_sizes(predictions: DataFrame, prediction_col: str = "prediction") -> DataFrame:
-    """Size and share of each cluster."""
+    """Size and share of each cluster (k rows; the window over them is as small)."""
     sizes = predictions.groupBy(prediction_col).agg(F.count(F.lit(1)).alias("count"))
     return sizes.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
 def save_anomalies(anoms: DataFrame, parquet_path: str, csv_path: str) -> None:
-    """Full rows as Parquet; a CSV report without vector columns (Q10)."""
-    from pyspark.ml.linalg import VectorUDT
+    """Full rows as Parquet; a CSV report without vector columns (Q10), read back from it."""
     anoms.write.mode("overwrite").parquet(parquet_path)
+    anoms = anoms.sparkSession.read.schema(anoms.schema).parquet(parquet_path)
     flat = anoms.select(*[c.name for c in anoms.schema.fields if not isinstance(c.dataType, VectorUDT)])
     # anomalies grow with the number of plates: no single-file funnel
     flat.write.mode("overwrite").option("header", True).csv(csv_path)
-

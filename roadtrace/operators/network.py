@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import ARC_FLAGS
 from roadtrace.session import app_id
-from roadtrace.sources.stages import write_counted
+from roadtrace.sources.stages import materialize, write_counted
 
 ARC_COLS = ["gatefrom", "gateto", *ARC_FLAGS]
 
@@ -29,30 +29,40 @@ def compose_arcs(left: DataFrame, right: DataFrame) -> DataFrame:
                     *[(F.col(f"a.{f}") | F.col(f"b.{f}")).alias(f) for f in ARC_FLAGS]))
 
 
-def arc_closure(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def arc_closure(arcs: DataFrame, max_rounds: int = 64, store: bool = False) -> DataFrame:
     """G1: transitive closure of the arcs, flags OR-ed along each path.
 
     The result is the set of ``(from, to, flags)`` over all paths (walks) of
     one or more arcs, so two routes with different flags give two rows.  It is
-    reached by repeated powering, ``R <- R u R^2 u R^3 u R^4``, which needs
-    log4(longest path) + 1 rounds and terminates on cyclic maps (the set of
-    flag combinations is finite).  Each round is written as a table in the reliable checkpoint
-    folder and read back, so the lineage stays one round deep and a round is
-    computed once (a DataFrame checkpoint would compute it for the eager
-    count and again for the write).
+    reached semi-naively: each round composes only the rows that the last one
+    found with all rows known, on either side, which doubles the path length;
+    it needs log2(longest path) + 1 rounds and terminates on cyclic maps (the
+    set of flag combinations is finite).  Each round's new rows are written to
+    the reliable checkpoint folder and read back, so a lost executor costs no
+    earlier round.
+
+    ``store`` keeps the result between applications, under a digest of the
+    arcs in the shared folder (the original's closure file).
     """
     spark = arcs.sparkSession
-    known = arcs.select(*ARC_COLS).distinct()      # round 0 stays lazy (tiny lineage)
-    n = known.count()
+    arcs = arcs.select(*ARC_COLS).distinct()
+    if store:
+        row = F.xxhash64(*ARC_COLS)
+        found = arcs.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(38,0)"))).first()
+        closure = materialize(spark, "closure", tuple(str(x) for x in found),
+                              lambda: arc_closure(arcs, max_rounds), reuse_existing=True)
+        return record_bound(closure, closure.count())
+    known, n = write_counted(spark, arcs)
+    delta, m = known, n
     for _ in range(max_rounds):
-        # paths of up to 4x the length covered so far: R u R^2 u R^3 u R^4
-        r2 = compose_arcs(known, known)
-        grown = (known.unionByName(r2).unionByName(compose_arcs(r2, known))
-                 .unionByName(compose_arcs(r2, r2)).distinct())
-        grown, m = write_counted(spark, grown)
-        if m == n:
-            return record_bound(grown, m)
-        known, n = grown, m
+        if not m:
+            return record_bound(known, n)
+        everything, news = bounded_broadcast(known, known_rows=n), bounded_broadcast(delta, known_rows=m)
+        grown = compose_arcs(delta, everything)
+        if m < n:
+            grown = grown.unionByName(compose_arcs(known, news))
+        delta, m = write_counted(spark, grown.subtract(everything))
+        known, n = known.unionByName(delta), n + m
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
 
 
@@ -123,7 +133,7 @@ class Network:
 
 
 def build_network(gates: DataFrame, arcs: DataFrame, check_routes: bool = True) -> Network:
-    closure = arc_closure(arcs)
+    closure = arc_closure(arcs, store=True)
     spark = arcs.sparkSession
     n_closure = closure.count()       # answered from the written files' metadata
     pairs, n_pairs = write_counted(spark, closure_pairs(closure))

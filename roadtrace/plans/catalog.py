@@ -146,16 +146,18 @@ def _nat_counts(spark, d):
     return q.nationality_counts(_p(spark, d).fixed)
 
 
-@register("null_rows", "P6", with_ctes("""
-SELECT * FROM fixed WHERE plate IS NULL OR gate IS NULL OR lane IS NULL OR ts IS NULL
-  OR nationality IS NULL"""))
+# on the raw sightings: cleaning already removes rows without a nationality
+_ANY_NULL = "plate IS NULL OR gate IS NULL OR lane IS NULL OR ts IS NULL OR nationality IS NULL"
+
+
+@register("null_rows", "P6", with_ctes(f"SELECT * FROM sightings WHERE {_ANY_NULL}"))
 def _null_rows(spark, d):
-    return q.null_rows(_p(spark, d).fixed)
+    return q.null_rows(_p(spark, d).raw)
 
 
-@register("drop_null_rows", "P6", with_ctes("SELECT * FROM nonnull"))
+@register("drop_null_rows", "P6", with_ctes(f"SELECT * FROM sightings WHERE NOT ({_ANY_NULL})"))
 def _nonnull(spark, d):
-    return _p(spark, d).nonnull
+    return q.drop_null_rows(_p(spark, d).raw)
 
 
 @register("plate_day_counts", "A14 P12", with_ctes("""
@@ -173,11 +175,12 @@ def _plate_trace(spark, d):
     return q.plate_trace(fixed, q.busiest_plate(fixed))
 
 
+# against a map without some of the gates that are read
 @register("unmapped_gates", "A19", with_ctes(
-    "SELECT DISTINCT gate FROM fixed ANTI JOIN gates ON gate = gateid"))
+    "SELECT DISTINCT gate FROM fixed ANTI JOIN (SELECT * FROM gates WHERE gateid % 9 <> 4) ON gate = gateid"))
 def _unmapped(spark, d):
     p = _p(spark, d)
-    return q.unmapped_gates(p.fixed, p.network.gates)
+    return q.unmapped_gates(p.fixed, p.network.gates.filter("gateid % 9 <> 4"))
 
 
 @register("stage_counts", "A17", with_ctes("""
@@ -380,15 +383,32 @@ _GLOBAL_NUM = ["num_gates", "num_lanes", "num_gatelane", "num_months", "num_days
 _FEATURE_NUM = _GLOBAL_NUM + _SUMMARY_COLS + ["numtrips"]
 
 
-def _scaled_sql() -> str:
-    cols = ", ".join(
-        f"round(CASE WHEN coalesce(stddev_samp({c}) OVER (), 0) = 0 THEN 0.0 "
-        f"ELSE {c} / stddev_samp({c}) OVER () END, {ROUND}) AS {c}" for c in _FEATURE_NUM)
+def _scaled_sql(digits: int | None = ROUND) -> str:
+    scaled = ("CASE WHEN coalesce(stddev_samp({c}) OVER (), 0) = 0 THEN 0.0 "
+              "ELSE {c} / stddev_samp({c}) OVER () END")
+    one = scaled if digits is None else f"round({scaled}, {digits})"
+    cols = ", ".join(f"{one.format(c=c)} AS {c}" for c in _FEATURE_NUM)
     filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _FEATURE_NUM)
     return (f"SELECT plate, nationality, {cols} FROM (SELECT plate, nationality, {filled} FROM ("
             f"{_GLOBAL_SELECT}) g JOIN tsummary t USING (plate))")
 
 
+def _slots_sql(select: str, more: str = "") -> str:
+    """``select`` over slots(plate, slot, value): one-hot nationality (by frequency, then name; the last
+    dropped), then the scaled numeric columns in order."""
+    values = ", ".join(_FEATURE_NUM)
+    return f"""SELECT * FROM (WITH scaled AS ({_scaled_sql(None)}),
+idx AS (SELECT nationality, row_number() OVER (ORDER BY count(*) DESC, nationality) - 1 AS i, count(*) OVER () AS n
+        FROM scaled GROUP BY nationality),
+slots AS (
+  SELECT s.plate, CAST(i AS INTEGER) AS slot, CASE WHEN s.nationality = idx.nationality THEN 1.0 ELSE 0.0 END AS value
+  FROM scaled s, idx WHERE i < n - 1
+  UNION ALL
+  SELECT plate, CAST((SELECT max(n) FROM idx) - 1 + j AS INTEGER), vs[j + 1]
+  FROM (SELECT plate, [{values}] AS vs, unnest(range(0, {len(_FEATURE_NUM)})) AS j FROM scaled)){more}
+{select})"""
+
+
 @register("normalize_features", "M1 P11", with_ctes(_scaled_sql(), policy="as_coded", global_features=True))
 def _normalize(spark, d):
     from roadtrace.operators import clustering as cl
@@ -401,60 +421,104 @@ def _vectors(spark, d):
     return _p(spark, d).vectorized
 
 
-def _model_dir(spark, d) -> str:
-    """S7 model store for this application and input: the sweep is fitted once
-    and later queries load it."""
-    import hashlib
-
+def _model_dir(spark) -> str:
+    """S7 model store of this application: a sweep is fitted once and later queries load it."""
     from roadtrace.session import checkpoint_dir
-    return f"{checkpoint_dir(spark)}/models-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    return f"{checkpoint_dir(spark)}/models"
 
 
-@register("vectorize_features", "M2 F11", None)
+@register("vectorize_features", "M2 F11", with_ctes(
+    _slots_sql(f"SELECT plate, slot, round(value, {ROUND}) AS value FROM slots"), policy="as_coded",
+    global_features=True))
 def _vectorize(spark, d):
     from pyspark.ml.functions import vector_to_array
-    return _vectors(spark, d).select("plate", vector_to_array("features").alias("features"))
+    return rounded(_vectors(spark, d).select("plate", F.posexplode(vector_to_array("features")).alias("slot", "value")))
+
+
+_TRAINS = "CAST('0x' || substr(md5(plate || '-42'), 1, 8) AS BIGINT) % 100 < 70"
+
+
+@register("training_split", "M3", with_ctes(
+    f"SELECT plate, {_TRAINS} AS trains FROM tsummary", policy="as_coded"))
+def _split(spark, d):
+    from roadtrace.operators import clustering as cl
+    return _vectors(spark, d).select("plate", cl.in_training().alias("trains"))
+
+
+_CENTRES = 4
+
+
+@register("wcss_of_centres", "M4", with_ctes(_slots_sql(f"""
+SELECT round(coalesce(sum(best), 0), 3) AS wcss FROM (
+  SELECT plate, min(cost) AS best FROM (
+    SELECT a.plate, c.plate AS centre, sum((a.value - c.value) * (a.value - c.value)) AS cost
+    FROM slots a JOIN slots c USING (slot) JOIN ranked k ON k.plate = c.plate AND k.r <= {_CENTRES}
+    GROUP BY a.plate, c.plate) GROUP BY plate)""",
+    more=", ranked AS (SELECT plate, row_number() OVER (ORDER BY plate) AS r FROM scaled)"),
+    policy="as_coded", global_features=True))
+def _wcss(spark, d):
+    """M4 on centres that no fit chooses: the vectors of the plates with the least ids."""
+    from pyspark.ml.functions import vector_to_array
+
+    from roadtrace.operators import clustering as cl
+    vec = _vectors(spark, d)
+    centres = [r.v for r in vec.orderBy("plate").limit(_CENTRES).select(vector_to_array("features").alias("v")).collect()]
+    return cl.squared_distance_cost(vec, centres).select(F.round("wcss", 3).alias("wcss"))
+
+
+_BY_HOUR = "SELECT plate, CAST(mostFreqHour AS INTEGER) AS prediction FROM global_features"
+
+
+@register("cluster_sizes", "A9", with_ctes(f"""
+SELECT prediction, count(*) AS count, round(count(*) / sum(count(*)) OVER (), {ROUND}) AS share
+FROM ({_BY_HOUR}) GROUP BY prediction""", global_features=True))
+def _sizes(spark, d):
+    from roadtrace.operators import clustering as cl
+    hours = _p(spark, d).global_features.select("plate", F.col("mostFreqHour").alias("prediction"))
+    return rounded(cl.cluster_sizes(hours))
+
+
+@register("small_cluster_plates", "M6 P14", with_ctes(f"""
+SELECT plate, prediction FROM (
+  SELECT *, count(*) OVER (PARTITION BY prediction) / count(*) OVER () AS share FROM ({_BY_HOUR}))
+WHERE share < 0.05""", global_features=True))
+def _small(spark, d):
+    """M6 on clusters that no fit chooses: a plate's most frequent hour."""
+    from roadtrace.operators import clustering as cl
+    hours = _p(spark, d).global_features.select("plate", F.col("mostFreqHour").alias("prediction"))
+    return cl.anomalies(hours).select("plate", "prediction")
 
 
 @register("kmeans_wcss", "M3 M4 M7", None)
 def _kmeans(spark, d):
     from roadtrace.operators import clustering as cl
-    _, elbow = cl.cluster_sweep(_vectors(spark, d), "kmeans", model_dir=_model_dir(spark, d))
+    _, elbow = cl.cluster_sweep(_vectors(spark, d), "kmeans", model_dir=_model_dir(spark))
     return elbow
 
 
 @register("gmm_sweep", "M5 M7", None)
 def _gmm(spark, d):
     from roadtrace.operators import clustering as cl
-    _, fits = cl.cluster_sweep(_vectors(spark, d), "gmm", model_dir=_model_dir(spark, d))
+    _, fits = cl.cluster_sweep(_vectors(spark, d), "gmm", model_dir=_model_dir(spark))
     return fits
 
 
-@register("anomalies", "M6 A9 P14 O4", None)
-def _anomalies(spark, d):
+def _sweep_anomalies(spark, d, algo: str) -> DataFrame:
     from roadtrace.operators import clustering as cl
     vec = _vectors(spark, d)
-    models, _ = cl.cluster_sweep(vec, "kmeans", model_dir=_model_dir(spark, d))
-    out = None
-    for k, model in models:
-        one = (cl.anomalies(model.transform(vec).select("plate", "prediction"))
-               .select(F.lit("kmeans").alias("algo"), F.lit(k).alias("k"), "plate", "prediction"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    fits = cl.fit_models(vec, algo, model_dir=_model_dir(spark))
+    return cl.sweep_anomalies(vec, algo, [(k, m) for k, m, _ in fits])
+
+
+@register("anomalies", "M6 A9 P14 O4", None)
+def _anomalies(spark, d):
+    return _sweep_anomalies(spark, d, "kmeans")
 
 
 @register("gmm_anomalies", "M5 M6 A9 P14", None)
 def _gmm_anomalies(spark, d):
     """The original's main run: anomalies of every Gaussian-mixture model."""
-    from roadtrace.operators import clustering as cl
-    vec = _vectors(spark, d)
-    models, _ = cl.cluster_sweep(vec, "gmm", model_dir=_model_dir(spark, d))
-    out = None
-    for k, model in models:
-        one = (cl.anomalies(model.transform(vec).select("plate", "prediction"))
-               .select(F.lit("gmm").alias("algo"), F.lit(k).alias("k"), "plate", "prediction"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _sweep_anomalies(spark, d, "gmm")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

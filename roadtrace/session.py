@@ -51,16 +51,16 @@ def app_id(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables (stages, closure rounds).
 
-    It is ``<spark.checkpoint.dir>/<application id>``: the shared folder the
-    cluster names.  Only when nothing is configured (tests, a laptop) a
-    private folder is created.
+    It is ``<folder>/<application id>`` under the shared folder the cluster
+    names: ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir``
+    was given.  Only a local session without either gets a private folder; on
+    a cluster that is an error, since a folder of one machine is none of the
+    others'.
     """
-    base = None
-    try:
-        base = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - unset key
-        base = None
+    base = spark.conf.get("spark.checkpoint.dir", None) or _context_checkpoint_dir(spark)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="roadtrace-ckpt-",
                                                       dir=os.environ.get("TMPDIR", "/tmp"))
@@ -68,4 +68,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app_id(spark)}"
 
 
+def _context_checkpoint_dir(spark: SparkSession) -> str | None:
+    """``SparkContext.getCheckpointDir`` without the folder it adds per context."""
+    found = spark.sparkContext.getCheckpointDir()
+    return found.rsplit("/", 1)[0] if found else None
+
+
 _LOCAL_FALLBACK: dict[str, str] = {}

@@ -26,10 +26,11 @@ def read_sightings_csv(spark: SparkSession, path: str, distinct: bool = True) ->
     return df.distinct() if distinct else df
 
 
-def export_plate_trace(trace: DataFrame, path: str) -> None:
+def export_plate_trace(trace: DataFrame, path: str, single_file: bool = False) -> None:
     """Write a plate's ordered trace as CSV.
 
     A single plate can hold a large share of all sightings, so the rows keep
-    their (range-sorted) partitions instead of being funnelled into one file.
+    their (range-sorted) partitions unless ``single_file`` asks for one file
+    (for a trace known to be small, e.g. one plate in one month).
     """
-    save_report_csv(trace, path, single_file=False)
+    save_report_csv(trace, path, single_file=single_file)

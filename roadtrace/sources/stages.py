@@ -28,8 +28,8 @@ from roadtrace.session import app_id, checkpoint_dir
 _WRITTEN: dict[tuple, DataFrame] = {}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """A completed Parquet write leaves ``_SUCCESS`` behind."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a completed Parquet write is there (it leaves ``_SUCCESS`` behind); other errors are raised."""
     try:
         spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
         return True
@@ -59,7 +59,7 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
     if df is None:
         if path is not None or reuse_existing:
             path = path or stage_path(spark, name, key, scope_to_app=False)
-            if not (reuse_existing and _exists(spark, path)):
+            if not (reuse_existing and exists(spark, path)):
                 build().write.mode("overwrite").parquet(path)
         else:
             # a unique folder per attempt: a failed or concurrent attempt
@@ -72,15 +72,16 @@ def materialize(spark: SparkSession, name: str, key: tuple, build: Callable[[],
 
 
 def drop_stages(spark: SparkSession) -> None:
-    """Delete this application's stages and small intermediate tables from the checkpoint folder.
+    """Delete this application's stages from the checkpoint folder.
 
-    For the end of a run: frames that read them are gone with it.  Stages kept
-    for other applications (``reuse_existing``) lie elsewhere and stay.
+    For the end of a run: frames that read them are gone with them.  Stages
+    kept for other applications (``reuse_existing``) or written to a folder of
+    the caller's lie elsewhere and stay.
     """
     app = app_id(spark)
     for key in [k for k in _WRITTEN if k[0] == app]:
         del _WRITTEN[key]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/roadtrace-stages")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

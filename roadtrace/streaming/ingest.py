@@ -1,23 +1,31 @@
 """S1 as a Structured Streaming job: sighting files arriving in a folder.
 
-New headerless ``;`` CSV files are parsed with the fixed schema, de-duplicated
-on all columns and appended to a Parquet table.  De-duplication keeps state
-per distinct row only until the event-time watermark passes its instant, so
-state stays bounded; a duplicate arriving later than ``dedup_delay`` after
-the newest instant seen is no longer recognised (the batch ingest is exact).
-Progress lives in ``checkpoint`` (reliable storage), so a restarted query
-resumes where it stopped.
+New headerless ``;`` CSV files are parsed with the fixed schema and added to a
+Parquet table, exactly de-duplicated on all columns however late a row
+arrives.  Each micro-batch is reduced to its distinct rows, the days it
+touches are read from the table (partitioned by day), and only rows that are
+not there yet are written.
+
+A batch goes to files of its own, ``batch=<id>`` inside the table, which a
+repeated batch (after a failure) overwrites, and it compares itself with the
+other batches only, so it may be run again.  Progress lives in ``checkpoint``
+(reliable storage), so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roadtrace.schema import SIGHTING, SIGHTING_COLS
 from roadtrace.sources.files import csv_options
 
+#: Table layout: the sighting, then the partition columns.
+TABLE = T.StructType([*SIGHTING.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
+
 
 def sighting_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(SIGHTING).options(**csv_options())
@@ -26,20 +34,34 @@ def sighting_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return reader.csv(folder)
 
 
-def deduplicated(stream: DataFrame, dedup_delay: str = "1 day") -> DataFrame:
-    # watermarks need a TIMESTAMP column; ``_et`` is a monotonic function of
-    # ``ts`` (so de-duplicating with it changes nothing) used only for event time
-    return (stream.withColumn("_et", F.col("ts").cast("timestamp"))
-            .withWatermark("_et", dedup_delay)
-            .dropDuplicates([*SIGHTING_COLS, "_et"])
-            .drop("_et"))
+def read_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The ingested sightings (a set)."""
+    return spark.read.schema(TABLE).parquet(table_path).select(*SIGHTING_COLS)
+
+
+def append_new(batch: DataFrame, batch_id: int, table_path: str) -> None:
+    """Add the rows of a micro-batch that the table's other batches don't hold."""
+    spark = batch.sparkSession
+    fresh = batch.distinct().withColumn("day", F.to_date("ts"))
+    try:
+        table = spark.read.schema(TABLE).parquet(table_path).where(F.col("batch") != batch_id)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        # the touched days prune the table's partitions (dynamically, from the batch's own days)
+        days = fresh.select("day").distinct()
+        there = table.join(days, table["day"].eqNullSafe(days["day"]), "left_semi").alias("there")
+        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"there.{c}")) for c in ("day", *SIGHTING_COLS)]
+        fresh = fresh.alias("new").join(there, same, "left_anti")
+    fresh.write.mode("overwrite").partitionBy("day").parquet(f"{table_path.rstrip('/')}/batch={batch_id}")
 
 
 def start_ingest(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
-                 dedup_delay: str = "1 day", available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the ingest; ``available_now`` processes what is there and stops."""
-    out = deduplicated(sighting_stream(spark, folder), dedup_delay)
-    writer = (out.writeStream.format("parquet").outputMode("append")
-              .option("path", table_path).option("checkpointLocation", checkpoint))
+    writer = (sighting_stream(spark, folder, max_files_per_trigger).writeStream
+              .foreachBatch(lambda df, batch_id: append_new(df, batch_id, table_path))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -80,6 +80,42 @@ def test_model_store_and_anomaly_sink(spark, vec, tmp_path):
     assert "features" not in spark.read.option("header", True).csv(str(tmp_path / "anom_csv")).columns
 
 
+def test_loaded_mixtures_keep_their_score(spark, vec, tmp_path):
+    store = str(tmp_path / "models")
+    cl.fit_models(vec, "gmm", [2, 3], model_dir=store)        # as the anomalies query does, before the sweep
+    first = {r.k: r.log_likelihood for r in cl.gmm_sweep(vec, ks=[2, 3], model_dir=store)[1].collect()}
+    again = {r.k: r.log_likelihood for r in cl.gmm_sweep(vec, ks=[2, 3], model_dir=store)[1].collect()}
+    assert first == again and all(x is not None for x in first.values())
+
+
+def test_store_tells_data_seed_and_parameters_apart(spark, vec, tmp_path, monkeypatch):
+    store = str(tmp_path / "models")
+    fits = []
+    real = cl.KMeans
+    monkeypatch.setattr(cl, "KMeans", lambda **kw: fits.append(kw) or real(**kw))
+    for df, kw in ((vec, {}), (vec, {}), (vec.filter("plate < 50"), {}), (vec, {"seed": 7}), (vec, {"max_iter": 3})):
+        cl.kmeans_sweep(df, ks=[2], model_dir=store, **kw)
+    assert len(fits) == 4                                     # only the second call found its model
+
+
+def test_a_broken_model_is_an_error(spark, vec, tmp_path):
+    import os
+    store = str(tmp_path / "models")
+    cl.kmeans_sweep(vec, ks=[2], model_dir=store)
+    model = next(d for d in os.listdir(store) if not d.endswith(".score"))
+    os.rename(f"{store}/{model}/data", f"{store}/{model}/elsewhere")
+    with pytest.raises(Exception):
+        cl.kmeans_sweep(vec, ks=[2], model_dir=store)
+
+
+def test_split_does_not_depend_on_the_partitioning(vec):
+    def trained(df):
+        return sorted(r.plate for r in df.filter(cl.in_training()).collect())
+    assert trained(vec.repartition(3)) == trained(vec.repartition(7)) == trained(vec)
+    assert 0.5 < len(trained(vec)) / 60 < 0.9
+    assert trained(vec.withColumn("plate", F.col("plate") + 1000)) != [x + 1000 for x in trained(vec)]
+
+
 def test_apply_pipeline_stages(spark):
     from pyspark.ml.feature import StringIndexer
     df = spark.createDataFrame([("I",), ("HR",), ("I",)], "nationality string")
@@ -87,12 +123,16 @@ def test_apply_pipeline_stages(spark):
     assert {r.nationality: r.idx for r in out.collect()} == {"I": 0.0, "HR": 1.0}
 
 
-def test_kmeans_sweep_reports_unfittable_k(spark, vec):
-    import warnings
+def test_every_k_gets_a_model_and_a_number(spark, vec):
     small = vec.limit(5)
-    with warnings.catch_warnings(record=True):
-        warnings.simplefilter("always")
-        models, elbow = cl.kmeans_sweep(small, ks=[2, 8])
-    rows = {r.k: r.wcss for r in elbow.collect()}
-    assert set(rows) == {2, 8} and rows[8] is None and rows[2] is not None
-    assert [k for k, _ in models] == [2]
+    for algo in ("kmeans", "gmm"):
+        models, report = cl.cluster_sweep(small, algo, ks=[2, 8, 45])
+        assert [k for k, _ in models] == [2, 8, 45]
+        assert all(r[2] is not None for r in report.collect()) and report.count() == 3
+
+
+def test_sweep_anomalies_are_ordered_by_cluster_and_plate(spark, vec):
+    models, _ = cl.kmeans_sweep(vec, ks=[6, 12, 20])
+    found = cl.sweep_anomalies(vec, "kmeans", models).collect()
+    keys = [(r.algo, r.k, r.prediction, r.plate) for r in found]
+    assert keys == sorted(keys) and keys

@@ -70,3 +70,21 @@ def test_repair_never_adds_unknowns(pipe):
     before = pipe.clean.filter("nationality = '?'").count()
     after = pipe.fixed.filter("nationality = '?'").count()
     assert after <= before
+
+
+def _burst(sightings, n, instants):
+    """One sighting, then n - 1 of the same plate within ``instants`` seconds."""
+    rows = [(1, 1, 1.0, "2024-01-01T00:00:00", "I")]
+    rows += [(1, 1 + i % 50, 1.0 + i // 50 % 25, f"2024-06-01T10:{i % instants // 60:02d}:{i % instants % 60:02d}", "I")
+             for i in range(n - 1)]
+    return sightings(rows)
+
+
+@pytest.mark.parametrize("instants", [999, 7, 1])
+def test_a_burst_is_cut_into_chunks_of_the_threshold(spark, sightings, instants):
+    df = _burst(sightings, 1000, instants)
+    x = tr.windowed(df, None, ("gap",), 30, tr.chunk_map(df, 100))
+    sizes = [r["count"] for r in x.groupBy("_chunk", "_sub").count().collect()]
+    assert sum(sizes) == df.count() and max(sizes) <= 200
+    plain, cut = (tr.sessionize(df, None, "gap", 30, hot_threshold=h).select(*COLS) for h in (10_000, 100))
+    assert plain.exceptAll(cut).count() == 0 and plain.count() == cut.count()

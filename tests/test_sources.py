@@ -4,9 +4,10 @@ import os
 import tempfile
 
 from roadtrace.operators import quality as q
-from roadtrace.sources.files import export_plate_trace, read_sightings_csv
-from roadtrace.sources.stages import materialize
-from roadtrace.streaming.ingest import start_ingest
+from roadtrace.schema import SIGHTING
+from roadtrace.sources.files import csv_options, export_plate_trace, read_sightings_csv
+from roadtrace.sources.stages import materialize, write_parquet
+from roadtrace.streaming.ingest import append_new, read_table, start_ingest
 
 CSV = """1;5;1.0;2016-01-01 10:00:00;I
 1;5;1.0;2016-01-01 10:00:00;I
@@ -42,6 +43,17 @@ def test_plate_trace_export(spark):
     assert back.count() == 1
 
 
+def test_plate_trace_is_in_time_order_in_one_file(spark):
+    rows = "".join(f"1;{g};1.0;2016-01-{d:02d} 10:00:00;I\n" for d, g in ((9, 3), (2, 7), (30, 1), (2, 4)))
+    out = os.path.join(tempfile.mkdtemp(prefix="roadtrace-test-"), "trace")
+    trace = q.plate_trace(read_sightings_csv(spark, _folder(rows)), 1)
+    assert [(r.ts.day, r.gate) for r in trace.collect()] == [(2, 4), (2, 7), (9, 3), (30, 1)]
+    export_plate_trace(trace, out, single_file=True)
+    parts = [f for f in os.listdir(out) if f.endswith(".csv")]
+    with open(os.path.join(out, parts[0])) as f:
+        assert len(parts) == 1 and [x.split(",")[1] for x in f.read().split()[1:] if "," in x] == ["4", "7", "3", "1"]
+
+
 def test_stage_written_once(spark):
     calls = []
 
@@ -59,13 +71,50 @@ def test_streaming_ingest_dedups(spark):
     table, ckpt = os.path.join(base, "table"), os.path.join(base, "ckpt")
     qy = start_ingest(spark, src, table, ckpt)
     qy.awaitTermination(120)
-    assert spark.read.parquet(table).count() == 2
+    assert read_table(spark, table).count() == 2
     # a second file with a duplicate and a new row: only the new row is added
     with open(os.path.join(src, "part-1.csv"), "w") as f:
         f.write("1;5;1.0;2016-01-01 10:00:00;I\n3;7;1.0;2016-01-01 10:10:00;CH\n")
     qy = start_ingest(spark, src, table, ckpt)
     qy.awaitTermination(120)
-    assert spark.read.parquet(table).count() == 3
+    assert read_table(spark, table).count() == 3
+
+
+def test_streaming_ingest_keeps_late_rows_and_repeated_batches(spark):
+    src, base = tempfile.mkdtemp(prefix="roadtrace-test-"), tempfile.mkdtemp(prefix="roadtrace-test-")
+    table, ckpt = os.path.join(base, "table"), os.path.join(base, "ckpt")
+    # days 10, 12, 2: the last row is older than anything before it, and new
+    for i, day in enumerate(("10", "12", "02")):
+        with open(os.path.join(src, f"part-{i}.csv"), "w") as f:
+            f.write(f"1;5;1.0;2016-01-{day} 10:00:00;I\n1;5;;2016-01-{day} 10:00:00;\n")
+        start_ingest(spark, src, table, ckpt).awaitTermination(120)
+    batch = spark.read.schema(SIGHTING).options(**csv_options()).csv(src)
+    assert read_table(spark, table).count() == batch.distinct().count() == 6
+    assert read_table(spark, table).exceptAll(batch.distinct()).count() == 0
+    # a batch that runs again (or comes again under a new id) adds nothing
+    append_new(batch, 2, table)
+    append_new(batch, 7, table)
+    assert read_table(spark, table).count() == 6
+
+
+def test_parquet_sink(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="roadtrace-test-"), "t")
+    write_parquet(spark.range(5), path)
+    write_parquet(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_drop_stages(spark):
+    from roadtrace.session import app_id
+    from roadtrace.sources import stages
+
+    materialize(spark, "dropped", ("k",), lambda: spark.range(3))
+    path = materialize(spark, "dropped", ("k",), None).inputFiles()[0].rsplit("/", 1)[0]
+    assert app_id(spark) in path and stages.exists(spark, path)
+    stages.drop_stages(spark)
+    assert not stages.exists(spark, path)
+    # a stage asked for again is built again
+    assert materialize(spark, "dropped", ("k",), lambda: spark.range(3)).count() == 3
 
 
 def test_stage_reuse_across_applications(spark):
