@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.common import stored, text_key, white_words, with_columns
 
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2048
 SEED = 20240917
 
 

@@ -43,7 +43,7 @@ def check(rows, got):
         assert taken[s] == int(want[s] + 0.5)
 
 
-@pytest.mark.parametrize("range_rows", [50_000, 7])
+@pytest.mark.parametrize("range_rows", [2048, 7])
 def test_documents_of_the_test_table(spark, monkeypatch, range_rows):
     monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
     sf = "/root/testdata/sf0.01"
