@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
@@ -21,6 +22,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from roadtrace.sources.stages import exists
 
@@ -32,6 +34,7 @@ GMM_KS = [2, 4, 6, 8, 10, 12, 15, 20, 30, 40]
 MAX_ITER = 20
 OUTLIER_SHARE = 0.05
 TRAIN_SHARE = 0.7
+PARALLELISM = 4   # fits that run at a time
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -146,27 +149,37 @@ def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter:
     rows = df.filter(in_training(id_col, seed)) if algo == "kmeans" else df
     if not rows.take(1):
         raise ValueError("no rows to fit")
-    points = None
+    spark = df.sparkSession
     digest = _digest(rows, features_col) if model_dir else ""
-    out = []
-    for k in ks:
-        def fit(k=k):
-            nonlocal points
-            if points is None:
-                points = _distinct_up_to(rows, max(ks), features_col)
-            n = max(min(k, points), 1 if algo == "kmeans" else 2)
-            if algo == "gmm":
-                model = GaussianMixture(k=n, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows)
-                return model, float(model.summary.logLikelihood)
-            if n == 1:  # Spark's K-means asks for two clusters; two equal centres are one
-                return KMeans(k=2, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
-            return KMeans(k=n, maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
-
-        name = "_".join(map(str, (algo, k, max_iter, seed, digest)))
-        model, score = _load_or_fit(df.sparkSession, model_dir, name,
-                                    KMeansModel if algo == "kmeans" else GaussianMixtureModel, fit)
-        out.append((k, model, score))
-    return out
+    cls = KMeansModel if algo == "kmeans" else GaussianMixtureModel
+    paths = {k: f"{model_dir.rstrip('/')}/{'_'.join(map(str, (algo, k, max_iter, seed, digest)))}" if model_dir else None
+             for k in ks}
+    missing = [k for k in ks if not (paths[k] and exists(spark, f"{paths[k]}.score"))]
+    points = _distinct_up_to(rows, max(missing), features_col) if missing else 0
+
+    def fit(k: int):
+        if algo == "gmm":
+            model = GaussianMixture(k=max(2, min(k, points)), maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows)
+            return model, float(model.summary.logLikelihood)
+        # Spark's K-means asks for two clusters; over one point its two centres are equal
+        return KMeans(k=max(2, min(k, points)), maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
+
+    def load_or_fit(k: int):
+        if k not in missing:
+            return k, cls.load(paths[k]), spark.read.schema("score double").parquet(f"{paths[k]}.score").first().score
+        model, score = fit(k)
+        if paths[k]:  # S7: the score is written last and marks a complete entry
+            model.write().overwrite().save(paths[k])
+            spark.createDataFrame([(score,)], "score double").write.mode("overwrite").parquet(f"{paths[k]}.score")
+        return k, model, score
+
+    return _side_by_side(spark, load_or_fit, ks)
+
+
+def _side_by_side(spark: SparkSession, f, xs: list) -> list:
+    """[f(x) ...] with a few calls at a time: the jobs of small fits leave executors idle."""
+    with ThreadPool(PARALLELISM) as pool:
+        return pool.map(inheritable_thread_target(spark)(f), xs, chunksize=1)
 
 
 def _digest(df: DataFrame, features_col: str) -> str:
@@ -178,19 +191,6 @@ def _digest(df: DataFrame, features_col: str) -> str:
     return hashlib.sha1(repr(tuple(found)).encode()).hexdigest()[:16]
 
 
-def _load_or_fit(spark: SparkSession, model_dir: str | None, name: str, model_cls, fit):
-    """Model store, one folder per digest; the score is written last and marks a complete entry."""
-    if model_dir is None:
-        return fit()
-    path = f"{model_dir.rstrip('/')}/{name}"
-    if exists(spark, f"{path}.score"):
-        return model_cls.load(path), spark.read.schema("score double").parquet(f"{path}.score").first().score
-    model, score = fit()
-    model.write().overwrite().save(path)
-    spark.createDataFrame([(score,)], "score double").write.mode("overwrite").parquet(f"{path}.score")
-    return model, score
-
-
 def kmeans_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX_ITER,
                  seed: int = SEED, features_col: str = FEATURES, model_dir: str | None = None,
                  id_col: str = "plate") -> tuple[list[tuple[int, KMeansModel]], DataFrame]:
@@ -200,7 +200,7 @@ def kmeans_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX
     """
     fits = fit_models(df, "kmeans", ks, max_iter, seed, features_col, model_dir, id_col)
     test = df.filter(~in_training(id_col, seed))
-    rows = [("kmeans", k, wcss(model, test, features_col)) for k, model, _ in fits]
+    rows = _side_by_side(df.sparkSession, lambda f: ("kmeans", f[0], wcss(f[1], test, features_col)), fits)
     return [(k, m) for k, m, _ in fits], df.sparkSession.createDataFrame(rows, "algo string, k int, wcss double")
 
 
