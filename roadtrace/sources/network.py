@@ -54,5 +54,6 @@ def synthetic_arcs(spark: SparkSession) -> DataFrame:
                      (g % 4 != 0).alias("hasEntryExit"),
                      (g % 7 == 0).alias("hasTollbooth"),
                      (g % 5 == 0).alias("hasServiceArea")))
-    extra = spark.createDataFrame(SYN_EXTRA_ARCS, ARC)
+    extra = spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(arc, ARC.fields)]) for arc in SYN_EXTRA_ARCS])))
     return chain.unionByName(extra)
