@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtrace.functions.time import minutes_between
-from roadtrace.plans.joins import bounded_broadcast
+from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import SEQUENCE_ORDER
 from roadtrace.sources.stages import write_counted
 
@@ -101,6 +101,7 @@ def chunk_map(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame |
     cumulative row counts over the plate's instants divided by the threshold:
     prefix sums over days, then over the instants of a day (at most 86,400),
     so no task sorts a whole hot plate.  Only ``plate`` and ``ts`` are read.
+    The map is a written table; its broadcast bound counts the arrays' elements.
     """
     hot, n_hot = write_counted(df.sparkSession, hot_plates(df, hot_threshold))
     if not n_hot:
@@ -114,11 +115,14 @@ def chunk_map(df: DataFrame, hot_threshold: int = HOT_PLATE_ROWS) -> DataFrame |
     earlier = Window.partitionBy("plate", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.join(days, ["plate", "_day"])
            .withColumn("_chunk", F.floor((F.col("_off") + F.coalesce(F.sum("_c").over(earlier), F.lit(0))) / width)))
-    return (per.groupBy("plate", "_day", "_chunk")
-            .agg(F.min("ts").alias("_from"), F.collect_list(F.when(F.col("_c") > width, F.col("ts"))).alias("_huge"))
-            .groupBy("plate", "_day")
-            .agg(F.array_sort(F.collect_list(F.struct("_from", "_chunk"))).alias("_starts"),
-                 F.flatten(F.collect_list("_huge")).alias("_huge")))
+    found = (per.groupBy("plate", "_day", "_chunk")
+             .agg(F.min("ts").alias("_from"), F.collect_list(F.when(F.col("_c") > width, F.col("ts"))).alias("_huge"))
+             .groupBy("plate", "_day")
+             .agg(F.array_sort(F.collect_list(F.struct("_from", "_chunk"))).alias("_starts"),
+                  F.flatten(F.collect_list("_huge")).alias("_huge")))
+    found, _ = write_counted(df.sparkSession, found)
+    elements = found.agg(F.sum(F.size("_starts") + F.size("_huge"))).first()[0]
+    return record_bound(found, elements)
 
 
 def with_chunk(df: DataFrame, chunks: DataFrame | None) -> DataFrame:

@@ -12,7 +12,6 @@ from roadtrace.operators import quality as q
 from roadtrace.operators import trips as tr
 from roadtrace.plans.catalog import REGISTRY
 from roadtrace.plans.pipeline import Pipeline
-from roadtrace.sources.stages import write_counted
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -70,8 +69,6 @@ def test_windowed_rows_are_read_and_shuffled_once(spark, hot_threshold):
     p = Pipeline(spark, SF, cut_minutes=720, hot_threshold=hot_threshold, materialize_stages=True)
     if hot_threshold == 20:
         assert p._chunks is not None
-        # the map of the hot plates' chunks is built before the pass over the rows
-        p.__dict__["_chunks"] = write_counted(spark, p._chunks)[0]
     x = simple_plan(tr.windowed(p.nonnull, p.network.pairs, tr.POLICIES, 720, p._chunks))
     assert x.count("fixed-") == 1                                    # one scan of the sightings
     assert x.count("Exchange hashpartitioning") == 1                 # one shuffle
@@ -100,3 +97,16 @@ def test_closure_is_idempotent(spark):
     cc = net.arc_closure(c)
     assert c.count() == cc.count() == 168
     assert c.exceptAll(cc).count() == 0
+
+
+def test_broadcast_bounds_tell_frames_apart(spark):
+    from roadtrace.plans import joins
+    small, large = spark.range(3), spark.range(50)
+    joins.record_bound(small, 3)
+    assert joins._bound(small) == 3 and joins._bound(spark.range(50)) is None
+
+    def hinted(df, **kw):
+        return "ResolvedHint (strategy=broadcast)" in joins.bounded_broadcast(df, **kw)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(small, max_rows=10) and not hinted(large, max_rows=10) and hinted(large, max_rows=50)
+    assert joins._bound(large) == 50
