@@ -58,6 +58,13 @@ def training_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches in runs of a few rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def bytes_of(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts: one pass that reads only the text column."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

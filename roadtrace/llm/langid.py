@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import training_fold, with_columns
+from roadtrace.llm.common import pieces, training_fold, with_columns
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -119,7 +119,7 @@ def train(docs: DataFrame, max_docs: int = 5000, id_col: str = "doc_id", text_co
 
     def count(batches):
         held = np.zeros((n_lang, buckets), np.int64)
-        for b in batches:
+        for b in pieces(batches):
             code = np.asarray(b.column(0))
             for first, run in _batches(b.column(1).to_pylist()):
                 for doc, bucket in gram_buckets(run, buckets):
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     def score(batches):
         m = Model(*shared.value)
-        for b in batches:
+        for b in pieces(batches):
             ok = np.asarray(b.column(1)) & bool(m.languages)
             lang, p = np.full(len(ok), UNKNOWN, object), np.zeros(len(ok))
             if ok.any():

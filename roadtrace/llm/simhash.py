@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import stored, text_key
+from roadtrace.llm.common import pieces, stored, text_key
 from roadtrace.llm.components import component_roots
 
 #: Fingerprints of one BK-tree, and of one block of look-ups.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(2).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], schema=arrow)
