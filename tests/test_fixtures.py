@@ -215,3 +215,12 @@ def test_previous_sighting_hot_path(sightings):
     hot = {r.gate: (r.tripid, r.step, r.prev_gate)
            for r in tr.previous_sighting(df, hot_threshold=0).collect()}
     assert plain == hot == {1: (1, 1, None), 2: (1, 2, 1), 3: (1, 3, 2), 4: (1, 4, 3)}
+
+
+def test_plate_day_counts_drops_nothing_by_itself(sightings):
+    df = sightings([(p, 1, 1.0, f"2024-{m:02d}-03T{h:02d}:{n:02d}:00", "I")
+                    for p in (1, 2) for m in (1, 7) for h in range(2) for n in range(40)])
+    assert sum(r["count"] for r in q.plate_day_counts(df).collect()) == df.count() == 320
+    assert {r.plate for r in q.plate_day_counts(df, plate=2).collect()} == {2}
+    assert [r["count"] for r in q.plate_day_counts(df, month=7, plate=1).collect()] == [80]
+    assert q.plate_day_counts(df, max_count=50).count() == 0
