@@ -111,6 +111,16 @@ def window_hashes(texts: list[list[bytes]], window: int):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers as byte planes of their differences: ascending ids leave mostly zero planes to compress."""
+    d = np.diff(x.astype(np.int64), prepend=np.int64(0))
+    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
 def later(h: np.ndarray, ids: np.ndarray, row: np.ndarray):
     """Which entries start earlier elsewhere.
 
@@ -182,8 +192,8 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
             d, n = np.unique(doc[at], return_counts=True)
             out["g"].append(key[0].as_py())
             out["hashes"].append(h[at].tobytes())
-            out["ids"].append(ids[d].tobytes())
-            out["counts"].append(n.astype(np.uint32).tobytes())
+            out["ids"].append(packed(ids[d]))
+            out["counts"].append(packed(np.cumsum(n)))
         return pa.table(out, schema=to_arrow_schema(blocks))
 
     blocks = T.StructType.fromDDL("g long, b long, hashes binary, ids binary, counts binary")
@@ -191,8 +201,8 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
 
     def judged(key, data):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in data.column("hashes").to_pylist()])
-        per_doc = [np.frombuffer(x, np.uint32) for x in data.column("counts").to_pylist()]
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in data.column("ids").to_pylist()])
+        per_doc = [np.diff(unpacked(x), prepend=0) for x in data.column("counts").to_pylist()]
+        ids = np.concatenate([unpacked(x) for x in data.column("ids").to_pylist()])
         counts = np.concatenate(per_doc)
         row = np.repeat(np.arange(len(ids)), counts)
         removed, _ = later(h, ids[row], row)

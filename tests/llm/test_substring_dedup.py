@@ -101,3 +101,9 @@ def test_entries_that_start_later():
     # equal ids in two rows: neither is earlier, both share one verdict
     removed, rep = sub.later(np.array([7, 7], np.uint64), np.array([1, 1]), np.array([0, 1]))
     assert removed.tolist() == [False, False] and rep.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("values", [[], [0], [-(2**63), -5, 0, 7, 7, 2**40, 2**63 - 1], list(range(1000, 3000, 7))])
+def test_byte_planes_round_trip(values):
+    x = np.array(values, np.int64)
+    assert sub.unpacked(sub.packed(x)).tolist() == values and len(sub.packed(x)) == 8 * len(values)
