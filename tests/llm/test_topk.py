@@ -51,6 +51,38 @@ def test_defined_cases(spark):
     assert found(spark.createDataFrame([], VECTORS)) == []
 
 
+@pytest.mark.parametrize("top", [3e5, 2e6, 5e6])
+def test_large_components_take_part(spark, monkeypatch, top):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "PART", 60)
+    monkeypatch.setattr(topk, "STEP", 25)
+    rnd = random.Random(int(top))
+    # mostly small vectors, which meet the large ones in the same cells; scores need up to 63 bits
+    rows = [(i, [float(np.float32(rnd.gauss(0, 0.2) * (top if i % 7 == 0 else 1))) for _ in range(5)]) for i in range(300)]
+    v = {i: [math.floor(256 * x) for x in xs] for i, xs in rows}
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-sum(x * y for x, y in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert max(abs(x) for xs in v.values() for x in xs) >= 1 << 24
+    assert found(spark.createDataFrame(rows, VECTORS)) == sorted(want, key=repr)
+
+
+def test_a_score_beyond_a_long_fails_loudly(spark):
+    rows = [(0, [1e9, 1.0]), (1, [2.0**50, 0.0]), (2, [-(2.0**50), 0.0]), (3, [1.0, 1.0])]
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        found(spark.createDataFrame(rows, VECTORS))
+    # out of range, but not among the k best: no error
+    assert [r[2] for r in found(spark.createDataFrame(rows[:1] + rows[2:], VECTORS), k=1)] == [3]
+
+
+def test_wide_products_are_exact():
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(-(2**63) + 1, 2**63 - 1, (2, 50, 7))
+    want = [sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a, b)]
+    assert topk._wide_products(a, b).tolist() == want
+
+
 def test_caps_hold_and_prune():
     rnd = np.random.default_rng(1)
     x = np.floor(rnd.normal(0, 40, (300, 64)) + 60 * rnd.normal(0, 1, (300, 1)))
