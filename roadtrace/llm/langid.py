@@ -2,10 +2,11 @@
 
 Fit: the labelled rows of the training fold give, per language, a hash-chosen sample of about ``max_docs``
 documents (the documented bound of the fit); tasks count their hashed n-grams in numpy and Spark adds up the
-partial counts in blocks of buckets.  The model is a matrix of log-probabilities (buckets x languages) of at
-most ``MODEL_BYTES``; with very many languages the buckets are halved until it fits.
+partial counts in blocks of buckets.  The model is a matrix of log-probabilities (buckets x languages) in parts of
+at most ``MODEL_BYTES`` (one language at least), fitted one after the other; the buckets are the same for any number
+of languages.
 
-Score: the matrix is broadcast.  Every whole text is scored in numpy batches that gather only the rows of the
+Score: each part is broadcast; a text's best language and sum of posteriors are merged over the parts.  Every whole text is scored in numpy batches that gather only the rows of the
 buckets a text holds; a long text goes in pieces whose sums add up, so memory is bounded by the piece.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import pieces, training_fold, with_columns
+from roadtrace.llm.common import pieces, stored, training_fold, with_columns
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -37,13 +38,31 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 
 
+#: Log-probabilities gathered at a time.
+GATHERED = 16 * PIECE
+
+
 @dataclass
-class Model:
+class Part:
     languages: list[str]
     log_p: np.ndarray  # buckets x languages
     prior: np.ndarray
 
 
+@dataclass
+class Model:
+    languages: list[str]
+    parts: list  # broadcast (languages, log_p, prior) of parts
+
+
+def _loaded(part, only: bool) -> Part:
+    """The part of a broadcast; one of several isn't kept in memory."""
+    out = Part(*part.value)
+    if not only:
+        vars(part).pop("_value", None)
+    return out
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters, lower-cased, and the text that each belongs to."""
     parts = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -82,12 +101,16 @@ def _batches(texts):
         yield at, run
 
 
-def posteriors(texts: list[str], model: Model) -> np.ndarray:
+def posteriors(texts: list[str], model: Model | Part) -> np.ndarray:
     """Log posterior (up to a constant) of every language for every text."""
+    if isinstance(model, Model):
+        return np.concatenate([posteriors(texts, _loaded(p, len(model.parts) == 1)) for p in model.parts], axis=1)
     out = np.tile(model.prior, (len(texts), 1))
+    step = max(1, GATHERED // len(model.prior))
     for first, run in _batches(texts):
-        for doc, bucket in gram_buckets(run, len(model.log_p)):
-            if len(doc):
+        for docs, buckets in gram_buckets(run, len(model.log_p)):
+            for lo in range(0, len(docs), step):
+                doc, bucket = docs[lo: lo + step], buckets[lo: lo + step]
                 starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 out[first + doc[starts]] += np.add.reduceat(model.log_p[bucket], starts, axis=0)
     return out
@@ -101,21 +124,31 @@ def train(docs: DataFrame, max_docs: int = 5000, id_col: str = "doc_id", text_co
         F.xxhash64(F.lit("sample"), F.col(id_col), F.length(F.col(text_col))).alias("u"))
     n_of = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(n_of, key=lambda x: x.encode())
-    buckets = BUCKETS
-    while buckets * max(1, len(languages)) * 8 > MODEL_BYTES and buckets > BLOCK:
-        buckets //= 2
-    if buckets * len(languages) * 8 > MODEL_BYTES:
-        raise ValueError(f"{len(languages)} values of {lang_col} are too many for a model of {MODEL_BYTES} bytes")
-    if not languages:
-        return Model([], np.zeros((buckets, 0)), np.zeros(0))
     spark = docs.sparkSession
+    if not languages:
+        return Model([], [])
     known = spark.createDataFrame([(x, i, min(1.0, max_docs / n_of[x])) for i, x in enumerate(languages)],
                                   "lang string, code int, share double")
     sample = labelled.join(F.broadcast(known), "lang").where(
         F.shiftrightunsigned("u", 11) / F.lit(2.0**53) < F.col("share")).select("code", "text")
+    width = max(1, MODEL_BYTES // (BUCKETS * 8))
+    if len(languages) > width:
+        sample = stored(sample, "language-sample")
+    prior = np.log(np.array([n_of[x] for x in languages]) / sum(n_of.values()))
+    parts = []
+    for lo in range(0, len(languages), width):
+        hi = min(lo + width, len(languages))
+        of_part = sample if len(languages) <= width else sample.where(F.col("code").between(lo, hi - 1))
+        log_p = _log_probabilities(of_part.select((F.col("code") - lo).alias("code"), "text"), hi - lo)
+        parts.append(spark.sparkContext.broadcast((languages[lo:hi], log_p, prior[lo:hi])))
+    return Model(languages, parts)
+
+
+def _log_probabilities(sample: DataFrame, n_lang: int) -> np.ndarray:
+    """Buckets x languages, from rows (code below ``n_lang``, text)."""
+    buckets = BUCKETS
     partial = T.StructType.fromDDL("code int, block int, counts binary")
     arrow = to_arrow_schema(partial)
-    n_lang = len(languages)
 
     def count(batches):
         held = np.zeros((n_lang, buckets), np.int64)
@@ -141,8 +174,7 @@ def train(docs: DataFrame, max_docs: int = 5000, id_col: str = "doc_id", text_co
     for r in sample.mapInArrow(count, partial).groupBy("code", "block").applyInArrow(add, partial).collect():
         counts[r.code, r.block * BLOCK: (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
     log_p = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * buckets))
-    prior = np.log(np.array([n_of[x] for x in languages]) / sum(n_of.values()))
-    return Model(languages, np.ascontiguousarray(log_p.T), prior)
+    return np.ascontiguousarray(log_p.T)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -154,19 +186,26 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     result = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(result)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.prior))
+    parts = model.parts
 
     def score(batches):
-        m = Model(*shared.value)
         for b in pieces(batches):
-            ok = np.asarray(b.column(1)) & bool(m.languages)
+            ok = np.asarray(b.column(1)) & bool(parts)
             lang, p = np.full(len(ok), UNKNOWN, object), np.zeros(len(ok))
             if ok.any():
                 at = np.flatnonzero(ok)
-                post = posteriors(b.column(2).take(pa.array(at)).to_pylist(), m)
-                best = post.argmax(axis=1)
-                lang[at] = np.array(m.languages, object)[best]
-                p[at] = 1 / np.exp(post - post.max(axis=1, keepdims=True)).sum(axis=1)
+                texts = b.column(2).take(pa.array(at)).to_pylist()
+                top, total = np.full(len(at), -np.inf), np.zeros(len(at))
+                for part in parts:
+                    m = _loaded(part, len(parts) == 1)
+                    post = posteriors(texts, m)
+                    here = post.max(axis=1)
+                    better = here > top  # ties stay with the earlier language
+                    lang[at[better]] = np.array(m.languages, object)[post.argmax(axis=1)[better]]
+                    above = np.maximum(top, here)
+                    total = total * np.exp(top - above) + np.exp(post - above[:, None]).sum(axis=1)
+                    top = above
+                p[at] = 1 / total
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(lang, pa.string()), pa.array(p)], schema=arrow)
 
     out = rows.mapInArrow(score, result)

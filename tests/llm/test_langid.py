@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from roadtrace.llm import langid, queries
 
@@ -48,6 +49,24 @@ def test_model_and_posteriors_against_brute_force(spark):
         assert np.allclose(langid.posteriors([text], model)[0], want)
 
 
+@pytest.mark.parametrize("part_bytes", [16 * langid.BUCKETS, 16 * langid.BLOCK])
+def test_many_languages_score_as_in_one_part(spark, monkeypatch, part_bytes):
+    rows = [(i, f"{chr(97 + i % 7) * 3} {chr(98 + i % 7)}{i % 3} common {chr(99 + i % 5)}", f"l{i % 7}") for i in range(140)]
+    rows += [(500, "common", None), (501, "qqq", None)]
+    df = spark.createDataFrame(rows, DOCS)
+
+    def found():
+        model = langid.train(df)
+        return model.languages, {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model, keep=["doc_id"]).collect()}
+
+    names, want = found()
+    monkeypatch.setattr(langid, "MODEL_BYTES", part_bytes)
+    got_names, got = found()
+    assert got_names == names and len(names) == 7 and got.keys() == want.keys()
+    for i, (lang, p) in want.items():
+        assert got[i][0] == lang and math.isclose(got[i][1], p, rel_tol=1e-9)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
