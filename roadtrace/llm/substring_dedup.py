@@ -12,6 +12,9 @@
 4. Each group hashes its texts again (cheap, and it needs no stored windows), reads its bits, and merges
    the covered words into maximal removal intervals.
 
+Rows that repeat both id and text meet in one group.  Where they hold more than ``GROUP_BYTES``, one row stands for
+them in the groups and its result is joined back to the rows, dealt by row numbers.
+
 The 64-bit hash and the bucket of the second hash must both agree, so two different windows are confused
 with probability 2**-64 / buckets per pair.
 
@@ -29,12 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import bytes_of, text_key, with_columns
+from roadtrace.llm.common import bytes_of, stored, text_key, with_columns
 
 #: Text bytes of one group, the unit held in a task's memory.
 GROUP_BYTES = 6 << 20
+#: What a row weighs besides its text.
+ROW_BYTES = 64
 #: Windows of one bucket.
 BUCKET_WINDOWS = 1 << 20
+#: Repeated pairs of id and text that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1 << 20
 #: Bytes hashed at a time inside a group.
 PIECE_BYTES = 1 << 20
 
@@ -180,7 +187,24 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"),
         F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
-    ).withColumn("g", F.pmod(F.xxhash64("id", "key"), F.lit(groups)))
+    )
+    weight = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
+    heavy = stored(base.groupBy("id", "key").agg(weight.alias("weight"), F.count("*").alias("n"))
+                   .where((F.col("n") > 1) & (F.col("weight") > GROUP_BYTES))
+                   .select(F.col("id").alias("_id"), F.col("key").alias("_key"),
+                           F.ceil(F.col("weight") / GROUP_BYTES).cast("long").alias("shares")), "repeated-rows")
+    alike = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    copies = None
+    if n_heavy := heavy.count():
+        near = F.broadcast(heavy) if n_heavy <= MAX_BROADCAST_ROWS else heavy
+        copies = base.join(near, alike)
+        # one row stands for each pair; combined before the shuffle
+        pairs = copies.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("row").alias("row"))
+        base = base.join(near, alike, "left_anti").withColumn("stands", F.lit(False)).unionByName(
+            pairs.withColumn("stands", F.lit(True)))
+    else:
+        base = base.withColumn("stands", F.lit(False))
+    base = base.withColumn("g", F.pmod(F.xxhash64("id", "key"), F.lit(groups)))
 
     def hashed(key, data):
         _, ids, _, doc, h, h2, removed, rep = _read(data, window)
@@ -249,15 +273,27 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
             rest += ws[last:]
             kept.append(b" ".join(rest))
         return pa.table({
-            "row": data.column("row"), "n_words": pa.array([len(w) for w in texts], pa.int64()),
+            "row": data.column("row"), "id": data.column("id"), "key": data.column("key"),
+            "stands": data.column("stands"), "n_words": pa.array([len(w) for w in texts], pa.int64()),
             "spans": pa.array(spans, arrow_out.field("spans").type), "text": pa.array(kept, pa.binary()),
         }).cast(arrow_out)
 
     result = T.StructType([
-        T.StructField("row", base.schema["row"].dataType), T.StructField("n_words", T.LongType()),
+        T.StructField("row", base.schema["row"].dataType), T.StructField("id", T.LongType()),
+        T.StructField("key", T.LongType()), T.StructField("stands", T.BooleanType()), T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType.fromDDL("start long, end long"))),
         T.StructField("text", T.BinaryType())])
     arrow_out = to_arrow_schema(result)
     out = base.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(cut, result)
+    if copies is not None:
+        out = stored(out, "cut-texts")
+        dealt = copies.select("id", "key", "row", F.pmod(F.monotonically_increasing_id(), F.col("shares")).alias("share"))
+        theirs = out.where("stands").drop("row").join(near, alike).select(
+            F.col("id").alias("its_id"), F.col("key").alias("its_key"), "n_words", "spans", "text",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("its_share"))
+        same = (F.col("id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key"))
+                & (F.col("share") == F.col("its_share")))
+        out = out.where("NOT stands").select("row", "n_words", "spans", "text").unionByName(
+            dealt.join(theirs.hint("shuffle_hash"), same).select("row", "n_words", "spans", "text"))
     return out.select(*with_columns(out, {
         text_col: F.col("text").cast("string"), "n_words": F.col("n_words"), "spans": F.col("spans")}))

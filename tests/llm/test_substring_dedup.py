@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadtrace.llm import substring_dedup as sub
 
@@ -73,6 +74,24 @@ def test_against_brute_force(spark, monkeypatch, window, small):
     assert {"id", "key", "g", "row", "b"} <= set(out.columns) and out.select("row").distinct().collect()[0].row == "r"
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_rows_that_repeat_id_and_text_spread(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sub, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(sub, "MAX_BROADCAST_ROWS", broadcast, raising=False)
+    text = " ".join(f"w{i % 40}" for i in range(60))
+    rows = corpus() + [(70, text)] * 300 + [(None, "a  b c")] * 200 + [(71, None)] * 150
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS id", "2 AS key", "3 AS g", "'r' AS row", "4 AS share")
+    assert found(df, 3) == brute(rows, 3)
+    assert found(df, 3, leave_clean=True) == brute(rows, 3, leave_clean=True)
+    monkeypatch.setattr(sub, "bytes_of", lambda *_: 100_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = sub.cut_repeats(df, 3).where("doc_id = 70").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in out) >= 300 and max(r["count"] for r in out) < 200
+
+
 def test_empty_table(spark):
     assert sub.cut_repeats(spark.createDataFrame([], DOCS)).collect() == []
 
