@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import pieces, training_fold, with_columns
+from roadtrace.llm.common import pieces, text_key, training_fold, with_columns
 
 SLICE = 4 << 20
 BINS = 16
@@ -190,18 +190,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model | None:
-    """Fit on about ``max_rows`` trusted positives and ``max_rows`` unlabelled texts of the training fold."""
+    """Fit on about ``max_rows`` trusted positives and ``max_rows`` unlabelled texts of the training fold; rows that
+    repeat id and text count once."""
     trusted = (labels.where(training_fold(F.col(id_col))).groupBy(F.col(id_col).alias("id"))
                .agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = 1 AND hi = 1").select("id"))
 
-    def thinned(df, salt: str, n: int):
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "id"), 11) / F.lit(2.0**53)
+    def thinned(df, salt: str, n: int, *by: str):
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *by), 11) / F.lit(2.0**53)
         return df.where(u < min(1.0, max_rows / max(1, n)))
 
-    n_trusted = trusted.count()
-    fold = docs.where(training_fold(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    positive = fold.join(F.broadcast(thinned(trusted, "positive", n_trusted)), "id")
-    unlabelled = thinned(fold, "unlabelled", fold.count())
+    def sampled(df, salt: str):
+        """About ``max_rows`` pairs of id and text; copies are combined before the shuffle."""
+        n = df.select("id", "key").distinct().count()
+        return thinned(df, salt, n, "id", "key").groupBy("id", "key").agg(F.first("text").alias("text"))
+
+    fold = docs.where(training_fold(F.col(id_col))).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    # few trusted ids, so that they can be broadcast; their texts are thinned again, as an id may have many
+    of_trusted = fold.join(F.broadcast(thinned(trusted, "positive", trusted.count(), "id")), "id")
+    positive = sampled(of_trusted, "positive text")
+    unlabelled = sampled(fold, "unlabelled")
 
     def rows(df) -> np.ndarray:
         # the samples' features (a few MB at the default bound) in an order that doesn't depend on the partitioning

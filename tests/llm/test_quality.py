@@ -44,6 +44,17 @@ def test_held_out_quality(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_the_fit_keeps_its_bound_when_ids_repeat(spark, monkeypatch):
+    one, other = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 5][:2]
+    rows = [(i, f"text of {i}") for i in range(100, 400)]
+    rows += [(one, "the same text")] * 2000 + [(other, f"text {i} of one id") for i in range(2000)]
+    labels = spark.createDataFrame([(one, 1, 0), (other, 1, 0), (100, 1, 0)], LABELS)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u: seen.extend((len(p), len(u))))
+    quality.train(spark.createDataFrame(rows, DOCS), labels, max_rows=100)
+    assert len(seen) == 2 and all(50 < n < 150 for n in seen)
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "a word " * 300_000), (None, "no id"), (4, "same"), (4, "same"), (6, "x"), (7, "y z")]
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS score", "2 AS x", "3 AS row")
