@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table, training_fold
-from roadtrace.llm import chat, html_text, langid, quality
+from roadtrace.llm import alignment, chat, html_text, langid, quality
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -209,3 +209,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform(base, lambda p: p.start)).cast("long").alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p.score)), F.lit(0.0)).alias("score"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", *alignment.NUMBERS,
+                      F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
