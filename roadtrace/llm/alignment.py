@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -51,11 +52,12 @@ FAN = 16
 MAX_BROADCAST_PAIRS = 1 << 22
 #: Characters of units kept in a task before the store is emptied.
 HELD = 1 << 24
-#: Units of one call of the tokenizers.
-CALL = 4096
+#: Units that are encoded and aligned at a time, and of one run.
+CALL, RUN = 16_384, 256
 
 #: Where a text may be cut: single spaces between visible characters (ASCII, or letters and digits of any script).
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_VISIBLE_ENDS = re.compile(r"[!-~\w](?:.*[!-~\w])?\Z", re.S)
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -97,15 +99,38 @@ class Tokenizers:
     def units(self, text: str) -> list[str]:
         return CUT.split(text) if self.cuts else [text]
 
-    def encode(self, units: list[str]):
-        """Ids of A for space + unit, and of B for the unit."""
-        a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        return [x.ids for x in a], self.b.encode(units, num_threads=1)
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A for space + text."""
+        return [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def b_ids(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
 
     def valid(self, raw: bytes, a: list[int], b: list[int]) -> bool:
         return (b"".join(map(self.a_bytes.__getitem__, a)) == raw
                 and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
 
+    def a_ids_of_units(self, units: list[str]) -> list[int]:
+        """Ids of A for all units, one after the other.  Units that begin and end with a visible character are units
+        of their run joined by spaces as well, so the tokenizer is called for a run of them."""
+        runs, at = [], 0
+        while at < len(units):
+            end = at + 1
+            if self.cuts and _VISIBLE_ENDS.match(units[at]):
+                while end < len(units) and end - at < RUN and _VISIBLE_ENDS.match(units[end]):
+                    end += 1
+            runs.append(" ".join(units[at:end]))
+            at = end
+        return [i for ids in self.a_ids(runs) for i in ids]
+
+
+def loaded(*files: str) -> Tokenizers:
+    """The tokenizers, read once per Python worker: tasks get this module by value, so it is kept beside it."""
+    held = sys.__dict__.setdefault("_loaded_tokenizers", {})
+    if files not in held:
+        held[files] = Tokenizers(*files)
+    return held[files]
+
 
 def pair_of(a, b):
     """One 64-bit key of an id pair."""
@@ -174,18 +199,22 @@ class Counts:
 
 
 def decimals(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """(rows x 11) ASCII digits of the ids, each row ended by its byte of ``after``; leading zeros are 0 bytes."""
-    powers = 10 ** np.arange(9, -1, -1, dtype=np.int64)
-    digits = (ids[:, None] // powers) % 10
-    shown = np.cumsum(digits, axis=1) > 0
-    shown[:, -1] = True
-    return np.concatenate((np.where(shown, digits + 48, 0), after[:, None]), axis=1).astype(np.uint8)
+    """ASCII digits of the ids, each row ended by its byte of ``after``; leading zeros are 0 bytes."""
+    width = len(str(int(ids.max(initial=0))))
+    out = np.empty((len(ids), width + 1), np.uint8)
+    rest = ids.astype(np.uint32)
+    for i in range(width - 1, -1, -1):
+        out[:, i] = np.where((rest > 0) | (i == width - 1), 48 + rest % 10, 0)
+        rest //= 10
+    out[:, width] = after
+    return out
 
 
 class Units:
     """The groups of every unit a task has met."""
 
     def __init__(self, tok: Tokenizers, counts: Counts | None):
+        """Without ``counts`` only links are wanted: no numbers and no rendered groups are kept."""
         self.tok, self.counts = tok, counts
         self.clear()
 
@@ -200,56 +229,59 @@ class Units:
         self.rare = np.zeros(0, bool)
 
     def add(self, docs: list[list[str]]):
-        index = self.index
-        new = list({u for units in docs for u in units if u not in index})
+        new = list(set().union(*docs).difference(self.index))
         for lo in range(0, len(new), CALL):
             self._add(new[lo: lo + CALL])
-        if new:
-            self.held += sum(map(len, new)) + 64 * len(new)
+        self.held += sum(map(len, new)) + 64 * len(new)
 
     def _add(self, units: list[str]):
         tok = self.tok
+        first = len(self.valid)
         raw = [b" " + u.encode() for u in units]
-        a_ids, b_ids = tok.encode(units)
-        a, b = (np.array([i for ids in x for i in ids], np.int64) for x in (a_ids, b_ids))
         ok = np.ones(len(units), bool)
-        if not tok.valid(b"".join(raw), a.tolist(), b.tolist()):
-            ok = np.array([tok.valid(*x) for x in zip(raw, a_ids, b_ids)])
-            raw, a_ids, b_ids = ([x if good else e for x, good in zip(y, ok)] for y, e in ((raw, b""), (a_ids, []), (b_ids, [])))
-            a, b = (np.array([i for ids in x for i in ids], np.int64) for x in (a_ids, b_ids))
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (a_ids, b_ids))
+        a_ids, b_lists = tok.a_ids_of_units(units), tok.b_ids(units)
+        b_ids = [i for ids in b_lists for i in ids]
+        if not tok.valid(b"".join(raw), a_ids, b_ids):
+            a_lists = tok.a_ids(units)
+            ok = np.array([tok.valid(*x) for x in zip(raw, a_lists, b_lists)])
+            raw = [x if good else b"" for x, good in zip(raw, ok)]
+            a_ids, b_ids = ([i for ids, good in zip(x, ok) if good for i in ids] for x in (a_lists, b_lists))
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         # every unit ends with a common end, so all units together are one text
-        ends, ia, ib = np.intersect1d(np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b]), assume_unique=True, return_indices=True)
+        a_end, b_end = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
+        ends, ia, ib = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
         pairs = pair_of(a[ia], b[ib])
-        unit_ends = np.cumsum([len(x) for x in raw])
-        bounds = np.searchsorted(ends, unit_ends, "right")
-        n_groups = np.diff(bounds, prepend=0)
+        unit_end = np.cumsum([len(x) for x in raw])
+        bounds = np.searchsorted(ends, unit_end, "right")
+        self.index.update(zip(units, range(first, first + len(units))))
+        self.valid = np.append(self.valid, ok)
+        self.bounds = np.append(self.bounds, len(self.pairs) + bounds)
+        self.pairs = np.append(self.pairs, pairs)
+        if self.counts is None:
+            return
+        self.shown += self._rendered(a, b, ia, ib, bounds)
+        n, best, known = self.counts.of(pairs)
+        upto = [np.searchsorted(x, unit_end, "right") for x in (a_end, b_end)]
+        upto += [bounds, bounds, *(np.concatenate(([0], np.cumsum(x)))[bounds] for x in (best, n))]
+        self.numbers = np.concatenate((self.numbers, np.stack([np.diff(x, prepend=0) for x in upto], axis=1)))
+        unknown = np.concatenate(([0], np.cumsum(~known)))[bounds]
+        self.rare = np.append(self.rare, np.diff(unknown, prepend=0) > 0)
+
+    @staticmethod
+    def _rendered(a, b, ia, ib, bounds) -> list[bytes]:
+        """Each unit's groups as text; ``ia`` and ``ib`` are the tokens that end groups, ``bounds`` the units' groups."""
         a_group, b_group = (np.searchsorted(i, np.arange(len(x))) for i, x in ((ia, a), (ib, b)))
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[ia], last_b[ib] = True, True
+        after_a, after_b = np.full(len(a), 44), np.full(len(b), 44)
+        after_a[ia], after_b[ib] = 124, 59
         order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
-        text = decimals(np.concatenate((a, b)), np.concatenate((np.where(last_a, 124, 44), np.where(last_b, 59, 44))))[order]
+        text = decimals(np.concatenate((a, b)), np.concatenate((after_a, after_b)))[order]
         group = np.concatenate((a_group, b_group))[order]
         seen = text != 0
         upto = np.concatenate(([0], np.cumsum(seen.sum(axis=1))))
         flat = text[seen].tobytes()
         # where each unit's groups end in the flat text; the last ';' goes
-        stop = upto[np.searchsorted(group, bounds)]
-        start = np.concatenate(([0], stop[:-1]))
-        first = len(self.shown)
-        self.shown += [flat[s:max(s, e - 1)] for s, e in zip(start.tolist(), stop.tolist())]
-        self.index.update(zip(units, range(first, first + len(units))))
-        n_best, count_sum, rare = (np.zeros(len(units), np.int64) for _ in range(3))
-        if self.counts is not None and len(pairs):
-            n, best, known = self.counts.of(pairs)
-            for into, x in ((n_best, best), (count_sum, n), (rare, ~known)):
-                sums = np.concatenate(([0], np.cumsum(x)))
-                into += sums[bounds] - sums[np.append(0, bounds[:-1])]
-        self.numbers = np.concatenate((self.numbers, np.stack((n_a, n_b, n_groups, n_groups, n_best, count_sum), axis=1)))
-        self.valid = np.append(self.valid, ok)
-        self.rare = np.append(self.rare, rare > 0)
-        self.bounds = np.append(self.bounds, len(self.pairs) + bounds)
-        self.pairs = np.append(self.pairs, pairs)
+        stop = upto[np.searchsorted(group, bounds)].tolist()
+        return [flat[s:max(s, e - 1)] for s, e in zip([0, *stop], stop)]
 
     def at(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
@@ -315,7 +347,7 @@ def chunk_fragment(units: Units, piece: str, lo: int, hi: int):
 
     def border(i):
         nonlocal valid, numbers
-        (a,), (b,) = tok.encode([parts[i]])
+        (a,), (b,) = tok.a_ids([parts[i]]), tok.b_ids([parts[i]])
         if not tok.valid(b" " + parts[i].encode(), a, b):
             valid = False
             return
@@ -325,7 +357,9 @@ def chunk_fragment(units: Units, piece: str, lo: int, hi: int):
         f, pairs = leaf(a[ina], a_end[ina], b[inb], b_end[inb])
         frags.append(f)
         extra.append(pairs)
-        n, best, _ = units.counts.of(pairs) if units.counts is not None else (np.zeros(1),) * 3
+        if units.counts is None:
+            return
+        n, best, _ = units.counts.of(pairs)
         numbers = numbers + np.array([ina.sum(), inb.sum(), len(pairs), len(pairs), best.sum(), n.sum()], np.int64)
 
     at = np.flatnonzero(inside)
@@ -334,8 +368,8 @@ def chunk_fragment(units: Units, piece: str, lo: int, hi: int):
     which = units.at([parts[i] for i in at])
     if len(at):
         valid &= bool(units.valid[which].all())
-        numbers = numbers + units.numbers[which].sum(axis=0)
-        if valid:
+        if valid and units.counts is not None:
+            numbers = numbers + units.numbers[which].sum(axis=0)
             body = b";".join(map(units.shown.__getitem__, which.tolist()))
             first, _, rest = body.partition(b";")
             a, b = ([int(x) for x in side.split(b",")] for side in first.split(b"|"))
@@ -397,7 +431,7 @@ def _chunks(long: DataFrame, *files: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        cuts = Tokenizers(*files).cuts
+        cuts = loaded(*files).cuts
         for b in pieces(batches, 1):
             row, text, doc = b.column("row"), b.column("text")[0].as_py(), b.column("doc")[0].as_py()
             for k, (piece, lo, hi) in enumerate(chunks_of(text, cuts)):
@@ -413,7 +447,7 @@ def _sound_chunks(chunks: DataFrame, *files: str) -> DataFrame:
     schema = T.StructType.fromDDL("doc long, valid boolean")
 
     def run(batches):
-        units = Units(Tokenizers(*files), None)
+        units = Units(loaded(*files), None)
         for b in pieces(batches, 16):
             cols = [b.column(c).to_pylist() for c in ("text", "lo", "hi")]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([chunk_fragment(units, *x)[0] for x in zip(*cols)])],
@@ -430,13 +464,13 @@ def _links(texts: DataFrame, chunked: bool | None, *files: str) -> DataFrame:
     arrow = to_arrow_schema(PAIRS)
 
     def run(batches):
-        units = Units(Tokenizers(*files), None)
+        units = Units(loaded(*files), None)
         seen = np.zeros(0, np.int64)
 
         def add(which):
             nonlocal seen
-            if len(seen) < len(units.shown):
-                seen = np.append(seen, np.zeros(len(units.shown) - len(seen), np.int64))
+            if len(seen) < len(units.valid):
+                seen = np.append(seen, np.zeros(len(units.valid) - len(seen), np.int64))
             seen += np.bincount(which, minlength=len(seen))
 
         def flush():
@@ -503,7 +537,7 @@ def _score(short: DataFrame, near, *files: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        units = Units(Tokenizers(*files), Counts(*near.value))
+        units = Units(loaded(*files), Counts(*near.value))
         for b in pieces(batches, 64):
             parts = [units.tok.units(t) if t else [] for t in _strings(b.column("text"))]
             units.add(parts)
@@ -541,7 +575,7 @@ def _score_long(chunks: DataFrame, near, *files: str) -> DataFrame:
                 *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[3:])]]
 
     def first(batches):
-        units = Units(Tokenizers(*files), Counts(*near.value))
+        units = Units(loaded(*files), Counts(*near.value))
         for b in pieces(batches, 16):
             found = []
             for x in zip(*(b.column(c).to_pylist() for c in ("text", "lo", "hi"))):
