@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm.common import table, training_fold
-from roadtrace.llm import alignment, chat, html_text, langid, quality
+from roadtrace.llm import alignment, chat, forest, html_text, langid, lexical, quality
 from roadtrace.llm.decontaminate import contaminated_words
 from roadtrace.llm.licenses import TEMPLATES, license_places
 from roadtrace.llm.mixing import mix
@@ -211,6 +211,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("places", lambda p: p.score)), F.lit(0.0)).alias("score"))
 
 
+@query("op11_nearest")
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = forest.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op12_lexical_search", f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+c AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, unnest(ws) AS term FROM (SELECT item_id, {WORDS} AS ws FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d)
+       WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, n_docs),
+m AS (SELECT doc_id, 75 + (25 * len(ws) * n_docs) // n_terms AS m FROM d, c),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return out.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
