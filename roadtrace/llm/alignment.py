@@ -7,9 +7,10 @@ A stretch of a document is a fragment: an open prefix (the tokens up to its firs
 begun earlier), closed groups, and an open suffix (the tokens after its last common end).  ``compose`` joins
 neighbouring fragments and is associative, so any bracketing gives the document's groups.
 
-1. Units.  No token of either tokenizer crosses a single space between two visible characters (the vocabulary is
-   checked for it; otherwise the whole text is one unit), so a document is the concatenation of its units, and a
-   unit's closed groups are computed once per task and looked up after that.
+1. Encoding, once.  No token of either tokenizer crosses a single space between two visible characters (the vocabulary
+   is checked for it; otherwise the whole text is one unit), so a document is the concatenation of its units; a task
+   encodes a unit once and looks it up after that.  The ids are written as a table in the checkpoint folder, in two bytes
+   each where the vocabularies allow, and everything after that is array work on them.
 2. Very long documents (over ``LONG_BYTES``) are cut into chunks of ``CHUNK`` characters' byte range wherever that
    falls, also inside a unit or a token.  A chunk is a row of its own with the units its borders cross whole; a token
    belongs to the chunk in which it ends.  Chunks are dealt over the cluster, each gives a fragment, and rounds of
@@ -17,7 +18,7 @@ neighbouring fragments and is associative, so any bracketing gives the document'
 3. Link counts.  Tasks add up the links of each pair of ids, Spark the partial sums.  The most frequent pairs, at most
    ``MAX_BROADCAST_PAIRS``, are broadcast; links of rarer pairs meet their counts in a shuffle join, in which no key
    is hot, as the frequent ones are not in it.
-4. A second pass over the texts scores every document with these counts.
+4. Another pass over the ids scores every document with these counts and renders its groups.
 
 Defined cases: null and empty texts, and texts whose tokens' bytes differ from space + text (such as texts that hold
 U+2581 themselves), have no tokens: all numbers are 0 and ``groups`` is ''; they add nothing to the counts.  A pair's
@@ -90,6 +91,8 @@ class Tokenizers:
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
                         for i, x in enumerate(names)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        #: what ids are kept in
+        self.kind = np.uint16 if max(len(self.a_len), len(self.b_len)) <= 1 << 16 else np.uint32
         with open(f"{folder}/{a_file}", encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -211,99 +214,103 @@ def decimals(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """The groups of every unit a task has met."""
+    """The ids of every unit a task has met."""
 
-    def __init__(self, tok: Tokenizers, counts: Counts | None):
-        """Without ``counts`` only links are wanted: no numbers and no rendered groups are kept."""
-        self.tok, self.counts = tok, counts
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
         self.clear()
 
     def clear(self):
         self.index: dict[str, int] = {}
         self.held = 0
-        self.shown: list[bytes] = []
-        self.numbers = np.zeros((0, 6), np.int64)     # as NUMBERS
         self.valid = np.zeros(0, bool)
-        self.pairs = np.zeros(0, np.int64)
-        self.bounds = np.zeros(1, np.int64)
-        self.rare = np.zeros(0, bool)
+        #: all ids of A and of B, and each unit's bounds in them
+        self.ids = [np.zeros(0, self.tok.kind)] * 2
+        self.bounds = [np.zeros(1, np.int64)] * 2
 
-    def add(self, docs: list[list[str]]):
-        new = list(set().union(*docs).difference(self.index))
+    def add(self, units: set[str]):
+        new = list(units.difference(self.index))
         for lo in range(0, len(new), CALL):
             self._add(new[lo: lo + CALL])
         self.held += sum(map(len, new)) + 64 * len(new)
 
     def _add(self, units: list[str]):
         tok = self.tok
-        first = len(self.valid)
+        self.index.update(zip(units, range(len(self.valid), len(self.valid) + len(units))))
         raw = [b" " + u.encode() for u in units]
         ok = np.ones(len(units), bool)
-        a_ids, b_lists = tok.a_ids_of_units(units), tok.b_ids(units)
-        b_ids = [i for ids in b_lists for i in ids]
-        if not tok.valid(b"".join(raw), a_ids, b_ids):
+        a, b_lists = tok.a_ids_of_units(units), tok.b_ids(units)
+        b = [i for ids in b_lists for i in ids]
+        if not tok.valid(b"".join(raw), a, b):
             a_lists = tok.a_ids(units)
             ok = np.array([tok.valid(*x) for x in zip(raw, a_lists, b_lists)])
             raw = [x if good else b"" for x, good in zip(raw, ok)]
-            a_ids, b_ids = ([i for ids, good in zip(x, ok) if good for i in ids] for x in (a_lists, b_lists))
-        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        # every unit ends with a common end, so all units together are one text
-        a_end, b_end = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
-        ends, ia, ib = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-        pairs = pair_of(a[ia], b[ib])
-        unit_end = np.cumsum([len(x) for x in raw])
-        bounds = np.searchsorted(ends, unit_end, "right")
-        self.index.update(zip(units, range(first, first + len(units))))
+            a, b = ([i for ids, good in zip(x, ok) if good for i in ids] for x in (a_lists, b_lists))
         self.valid = np.append(self.valid, ok)
-        self.bounds = np.append(self.bounds, len(self.pairs) + bounds)
-        self.pairs = np.append(self.pairs, pairs)
-        if self.counts is None:
-            return
-        self.shown += self._rendered(a, b, ia, ib, bounds)
-        n, best, known = self.counts.of(pairs)
-        upto = [np.searchsorted(x, unit_end, "right") for x in (a_end, b_end)]
-        upto += [bounds, bounds, *(np.concatenate(([0], np.cumsum(x)))[bounds] for x in (best, n))]
-        self.numbers = np.concatenate((self.numbers, np.stack([np.diff(x, prepend=0) for x in upto], axis=1)))
-        unknown = np.concatenate(([0], np.cumsum(~known)))[bounds]
-        self.rare = np.append(self.rare, np.diff(unknown, prepend=0) > 0)
+        # every unit ends with a token's end in both
+        ends = np.cumsum([len(x) for x in raw])
+        for side, (ids, size) in enumerate(((a, tok.a_len), (b, tok.b_len))):
+            ids = np.array(ids, tok.kind)
+            upto = np.searchsorted(np.cumsum(size[ids]), ends, "right")
+            self.bounds[side] = np.append(self.bounds[side], len(self.ids[side]) + upto)
+            self.ids[side] = np.append(self.ids[side], ids)
+
+    def at(self, units: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
+    def ids_of(self, side: int, which: np.ndarray) -> np.ndarray:
+        """The ids of the units ``which``, one after the other."""
+        bounds = self.bounds[side]
+        n = bounds[which + 1] - bounds[which]
+        return self.ids[side][np.repeat(bounds[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+class Aligned:
+    """Common ends of the tokens of several stretches, each with its ids and the byte where its first token starts."""
+
+    def __init__(self, tok: Tokenizers, a: list[np.ndarray], b: list[np.ndarray], a_from: np.ndarray, b_from: np.ndarray):
+        self.n = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+        self.ids = [np.concatenate([np.zeros(0, tok.kind), *side]).astype(np.int64) for side in (a, b)]
+        ends = [self._ends(ids, size, n, start) for ids, size, n, start in zip(
+            self.ids, (tok.a_len, tok.b_len), self.n, (a_from, b_from))]
+        # the stretches side by side, so that ends of two of them never meet
+        last = np.zeros(len(a), np.int64)
+        for n, e in zip(self.n, ends):
+            at = np.cumsum(n)[n > 0] - 1
+            last[n > 0] = np.maximum(last[n > 0], e[at])
+        base = np.cumsum(last + 1) - last
+        self.ends = [e + np.repeat(base, n) for e, n in zip(ends, self.n)]
+        common, ia, ib = np.intersect1d(*self.ends, assume_unique=True, return_indices=True)
+        #: the tokens that end groups, and the stretches' bounds in them
+        self.closing = ia, ib
+        self.bounds = np.concatenate(([0], np.searchsorted(common, base + last, "right")))
+        self.pairs = pair_of(self.ids[0][ia], self.ids[1][ib])
 
     @staticmethod
-    def _rendered(a, b, ia, ib, bounds) -> list[bytes]:
-        """Each unit's groups as text; ``ia`` and ``ib`` are the tokens that end groups, ``bounds`` the units' groups."""
-        a_group, b_group = (np.searchsorted(i, np.arange(len(x))) for i, x in ((ia, a), (ib, b)))
-        after_a, after_b = np.full(len(a), 44), np.full(len(b), 44)
-        after_a[ia], after_b[ib] = 124, 59
-        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
-        text = decimals(np.concatenate((a, b)), np.concatenate((after_a, after_b)))[order]
-        group = np.concatenate((a_group, b_group))[order]
+    def _ends(ids, size, n, start):
+        upto = np.cumsum(size[ids])
+        first = np.concatenate(([0], upto))[np.cumsum(n) - n]
+        return upto + np.repeat(start - first, n)
+
+    def per_stretch(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each stretch's links."""
+        return np.diff(np.concatenate(([0], np.cumsum(x)))[self.bounds])
+
+    def rendered(self) -> list[bytes]:
+        """Each stretch's groups as text, for stretches that are whole documents."""
+        group = [np.searchsorted(i, np.arange(len(x))) for i, x in zip(self.closing, self.ids)]
+        after = [np.full(len(x), 44) for x in self.ids]
+        for x, i, mark in zip(after, self.closing, (124, 59)):
+            x[i] = mark
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
+        text = decimals(np.concatenate(self.ids), np.concatenate(after))[order]
         seen = text != 0
         upto = np.concatenate(([0], np.cumsum(seen.sum(axis=1))))
         flat = text[seen].tobytes()
-        # where each unit's groups end in the flat text; the last ';' goes
-        stop = upto[np.searchsorted(group, bounds)].tolist()
+        # where each document's groups end in the flat text; the last ';' goes
+        stop = upto[np.cumsum(self.n[0] + self.n[1])].tolist()
         return [flat[s:max(s, e - 1)] for s, e in zip([0, *stop], stop)]
 
-    def at(self, units: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-
-    def pairs_of(self, which: np.ndarray, times: np.ndarray | None = None):
-        """(pair, how often) over the units ``which``, each counted ``times``."""
-        n = self.bounds[which + 1] - self.bounds[which]
-        at = np.repeat(self.bounds[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found, inverse = np.unique(self.pairs[at], return_inverse=True)
-        times = np.ones(len(which), np.int64) if times is None else times
-        out = np.zeros(len(found), np.int64)
-        np.add.at(out, inverse, np.repeat(times, n))
-        return found, out
-
-
-def unknown_pairs(units: Units, which: np.ndarray):
-    """(pair, how often) among the units' links whose counts aren't in ``units.counts``."""
-    which = which[units.rare[which]]
-    pairs, n = units.pairs_of(which)
-    known = units.counts.of(pairs)[2]
-    return pairs[~known], n[~known]
-
 
 # ------------------------------------------------------------------ chunks
 def borders(text: str, cuts: bool) -> list[tuple[int, int, int]]:
@@ -334,49 +341,21 @@ def chunks_of(text: str, cuts: bool):
         yield (text[start:end], 0 if at <= lo else 1 + len(text[start:at].encode()), 1 + len(text[start:stop].encode()))
 
 
-def chunk_fragment(units: Units, piece: str, lo: int, hi: int):
-    """(valid, fragment, numbers, unit indexes of whole units, pairs of border units) of a chunk."""
+def chunk_ids(units: Units, piece: str, lo: int, hi: int):
+    """(valid, ids of A and of B, where their first tokens start) of the tokens that end in a chunk's bytes."""
     tok = units.tok
     parts = tok.units(piece)
-    size = np.array([1 + len(u.encode()) for u in parts])
-    end = np.cumsum(size)
-    start = end - size
-    inside = (start >= lo) & (end <= hi)
-    units.add([[u for u, x in zip(parts, inside) if x]])
-    frags, numbers, extra, valid = [], np.zeros(6, np.int64), [np.zeros(0, np.int64)], True
-
-    def border(i):
-        nonlocal valid, numbers
-        (a,), (b,) = tok.a_ids([parts[i]]), tok.b_ids([parts[i]])
-        if not tok.valid(b" " + parts[i].encode(), a, b):
-            valid = False
-            return
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        a_end, b_end = start[i] + np.cumsum(tok.a_len[a]), start[i] + np.cumsum(tok.b_len[b])
-        ina, inb = (a_end > lo) & (a_end <= hi), (b_end > lo) & (b_end <= hi)
-        f, pairs = leaf(a[ina], a_end[ina], b[inb], b_end[inb])
-        frags.append(f)
-        extra.append(pairs)
-        if units.counts is None:
-            return
-        n, best, _ = units.counts.of(pairs)
-        numbers = numbers + np.array([ina.sum(), inb.sum(), len(pairs), len(pairs), best.sum(), n.sum()], np.int64)
-
-    at = np.flatnonzero(inside)
-    for i in range(0, at[0] if len(at) else len(parts)):
-        border(i)
-    which = units.at([parts[i] for i in at])
-    if len(at):
-        valid &= bool(units.valid[which].all())
-        if valid and units.counts is not None:
-            numbers = numbers + units.numbers[which].sum(axis=0)
-            body = b";".join(map(units.shown.__getitem__, which.tolist()))
-            first, _, rest = body.partition(b";")
-            a, b = ([int(x) for x in side.split(b",")] for side in first.split(b"|"))
-            frags.append(Fragment(True, a, b, rest))
-        for i in range(at[-1] + 1, len(parts)):
-            border(i)
-    return valid, reduce(compose, frags, Fragment()), numbers, which, np.concatenate(extra)
+    units.add(set(parts))
+    which = units.at(parts)
+    out: list = [bool(units.valid[which].all())]
+    starts = []
+    for side, size in enumerate((tok.a_len, tok.b_len)):
+        ids = units.ids_of(side, which) if out[0] else np.zeros(0, tok.kind)
+        end = np.cumsum(size[ids])
+        mine = (end > lo) & (end <= hi)
+        out.append(ids[mine])
+        starts.append(int(end[mine][0] - size[ids[mine][0]]) if mine.any() else 0)
+    return (*out, *starts)
 
 
 # --------------------------------------------------------------- operator
@@ -388,8 +367,21 @@ def _strings(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _rare_list(pairs, n) -> list[dict]:
-    return [{"pair": p, "n": c} for p, c in zip(pairs.tolist(), n.tolist())]
+def _arrays(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def _of_stretches(tok: Tokenizers, b: pa.RecordBatch) -> Aligned:
+    return Aligned(tok, *(_arrays(b.column(c), tok.kind) for c in "ab"), *(np.asarray(b.column(c)) for c in ("a_from", "b_from")))
+
+
+def _rare_lists(aligned: Aligned, known: np.ndarray) -> list[list[dict]]:
+    """Per stretch the links whose counts aren't known: {pair, n}."""
+    out = []
+    for lo, hi in zip(aligned.bounds, aligned.bounds[1:]):
+        pairs, n = np.unique(aligned.pairs[lo:hi][~known[lo:hi]], return_counts=True) if not known[lo:hi].all() else ((), ())
+        out.append([{"pair": int(p), "n": int(c)} for p, c in zip(pairs, n)])
+    return out
 
 
 def align(docs: DataFrame, folder: str = FOLDER, a_file: str = "byte_bpe_50k.json", b_file: str = "piece_bpe_32k.model",
@@ -400,105 +392,108 @@ def align(docs: DataFrame, folder: str = FOLDER, a_file: str = "byte_bpe_50k.jso
     A pair's count is the number of links corpus-wide that hold it; ``n_best`` counts the links whose count is the
     highest of their B id, ``count_sum`` adds up the links' counts.
     """
+    files = folder, a_file, b_file
     keep = docs.columns if keep is None else keep
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     base = docs.select(kept.alias("row"), F.col(text_col).alias("text"))
     long_text = F.coalesce(F.octet_length("text") > LONG_BYTES, F.lit(False))
-    short = base.where(~long_text)
+    short = stored(_encoded(base.where(~long_text), *files), "token-ids")
     long = stored(base.where(long_text).withColumn("doc", F.monotonically_increasing_id()), "long-texts")
-    chunks = _chunks(long, folder, a_file, b_file) if long.take(1) else None
+    chunks = _chunks(long, *files) if long.take(1) else None
 
-    links = _links(short.select("text"), None, folder, a_file, b_file)
+    links = _links(short.select(*IDS), *files)
     if chunks is not None:
-        sound = _sound_chunks(chunks, folder, a_file, b_file)
-        links = links.unionByName(_links(sound.select("text", "lo", "hi"), True, folder, a_file, b_file))
-    counts = _pair_counts(links)
-    near, far = _near_and_far(counts)
+        bad = chunks.where("NOT valid").select("doc").distinct()
+        links = links.unionByName(_links(chunks.join(bad, "doc", "left_anti").select(*IDS), *files))
+    near, far = _near_and_far(_pair_counts(links))
 
-    out = _score(short, near, folder, a_file, b_file)
+    out = _score(short, near, *files)
     if chunks is not None:
-        out = out.unionByName(_score_long(chunks, near, folder, a_file, b_file))
+        out = out.unionByName(_score_long(chunks, near, *files))
     if far is not None:
         out = _with_rare(out, far)
     return out.select(*with_columns(out, {c: F.col(c) for c in (*NUMBERS, "groups")}) if keep else [*NUMBERS, "groups"])
 
 
-def _chunks(long: DataFrame, *files: str) -> DataFrame:
-    """(doc, chunk, row, text, lo, hi): the chunks of long documents; the first one carries the document's row."""
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("chunk", T.LongType()), long.schema["row"],
-                           *T.StructType.fromDDL("text string, lo long, hi long").fields])
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+#: Ids of a stretch: bytes of both id arrays, and where their first tokens start.
+IDS = ("a", "b", "a_from", "b_from")
+
+
+def _encoded(docs: DataFrame, *files: str) -> DataFrame:
+    """(row, ids) of whole texts; none for those whose tokens don't give back their bytes."""
+    schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL("a binary, b binary, a_from long, b_from long").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        units = Units(loaded(*files))
+        for b in pieces(batches):
+            parts = [units.tok.units(t) if t else [] for t in _strings(b.column("text"))]
+            units.add(set().union(*parts))
+            ids = [], []
+            for p in parts:
+                which = units.at(p)
+                if not units.valid[which].all():
+                    which = which[:0]
+                for side in (0, 1):
+                    ids[side].append(units.ids_of(side, which).tobytes())
+            none = pa.array(np.zeros(len(parts), np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("row").cast(arrow.field("row").type), *[pa.array(x, pa.binary()) for x in ids],
+                                              none, none], schema=arrow)
+            if units.held > HELD:
+                units.clear()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _chunks(long: DataFrame, *files: str) -> DataFrame:
+    """(doc, chunk, row, valid, ids): the chunks of long documents; the first one carries the document's row."""
+    places = T.StructType([T.StructField("doc", T.LongType()), T.StructField("chunk", T.LongType()),
+                           T.StructField("row", long.schema["row"].dataType)])
+    texts = T.StructType([*places, *T.StructType.fromDDL("text string, lo long, hi long").fields])
+    ids = T.StructType([*places, *T.StructType.fromDDL("valid boolean, a binary, b binary, a_from long, b_from long").fields])
+    texts_arrow, ids_arrow = to_arrow_schema(texts), to_arrow_schema(ids)
+
+    def cut(batches):
         cuts = loaded(*files).cuts
         for b in pieces(batches, 1):
             row, text, doc = b.column("row"), b.column("text")[0].as_py(), b.column("doc")[0].as_py()
             for k, (piece, lo, hi) in enumerate(chunks_of(text, cuts)):
-                mine = (row if k == 0 else pa.nulls(1, row.type)).cast(arrow.field("row").type)
+                mine = (row if k == 0 else pa.nulls(1, row.type)).cast(texts_arrow.field("row").type)
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([k]), mine, pa.array([piece]), pa.array([lo]),
-                                                  pa.array([hi])], schema=arrow)
-
-    return stored(long.mapInArrow(run, schema).repartition("doc", "chunk"), "text-chunks")
-
+                                                  pa.array([hi])], schema=texts_arrow)
 
-def _sound_chunks(chunks: DataFrame, *files: str) -> DataFrame:
-    """The chunks of documents whose tokens give back their bytes."""
-    schema = T.StructType.fromDDL("doc long, valid boolean")
-
-    def run(batches):
-        units = Units(loaded(*files), None)
+    def encode(batches):
+        units = Units(loaded(*files))
         for b in pieces(batches, 16):
-            cols = [b.column(c).to_pylist() for c in ("text", "lo", "hi")]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([chunk_fragment(units, *x)[0] for x in zip(*cols)])],
-                                             names=["doc", "valid"])
+            valid, *found = zip(*(chunk_ids(units, *x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "lo", "hi")))))
+            a, c = ([x.tobytes() for x in side] for side in found[:2])
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc"), b.column("chunk"), b.column("row").cast(ids_arrow.field("row").type), pa.array(valid),
+                pa.array(a, pa.binary()), pa.array(c, pa.binary()), *[pa.array(x, pa.int64()) for x in found[2:]]], schema=ids_arrow)
             if units.held > HELD:
                 units.clear()
 
-    bad = chunks.select("doc", "text", "lo", "hi").mapInArrow(run, schema).where("NOT valid").select("doc").distinct()
-    return chunks.join(bad, "doc", "left_anti")
+    # dealt by chunk, so the chunks of a document are encoded all over the cluster
+    return stored(long.mapInArrow(cut, texts).repartition("doc", "chunk").mapInArrow(encode, ids), "chunk-ids")
 
 
-def _links(texts: DataFrame, chunked: bool | None, *files: str) -> DataFrame:
-    """(pair, n): partial link counts of whole texts, or of chunks."""
+def _links(stretches: DataFrame, *files: str) -> DataFrame:
+    """(pair, n): partial link counts."""
     arrow = to_arrow_schema(PAIRS)
 
     def run(batches):
-        units = Units(loaded(*files), None)
-        seen = np.zeros(0, np.int64)
-
-        def add(which):
-            nonlocal seen
-            if len(seen) < len(units.valid):
-                seen = np.append(seen, np.zeros(len(units.valid) - len(seen), np.int64))
-            seen += np.bincount(which, minlength=len(seen))
-
-        def flush():
-            nonlocal seen
-            which = np.flatnonzero(seen)
-            out = units.pairs_of(which, seen[which])
-            units.clear()
-            seen = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=arrow)
-
+        tok = loaded(*files)
+        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in pieces(batches):
-            if chunked:
-                for x in zip(*(b.column(c).to_pylist() for c in ("text", "lo", "hi"))):
-                    _, _, _, which, pairs = chunk_fragment(units, *x)
-                    add(which)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.ones(len(pairs), np.int64))], schema=arrow)
-            else:
-                parts = [units.tok.units(t) for t in _strings(b.column("text")) if t]
-                units.add(parts)
-                for p in parts:
-                    which = units.at(p)
-                    if units.valid[which].all():
-                        add(which)
-            if units.held > HELD:
-                yield flush()
-        yield flush()
+            mine, times = np.unique(_of_stretches(tok, b).pairs, return_counts=True)
+            pairs, of = np.unique(np.concatenate((pairs, mine)), return_inverse=True)
+            n = np.bincount(of, np.concatenate((n, times)), len(pairs)).astype(np.int64)
+            if len(pairs) > MAX_BROADCAST_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], schema=arrow)
+                pairs, n = pairs[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], schema=arrow)
 
-    return texts.mapInArrow(run, PAIRS)
+    return stretches.mapInArrow(run, PAIRS)
 
 
 def _pair_counts(links: DataFrame) -> DataFrame:
@@ -530,6 +525,13 @@ def _near_and_far(counts: DataFrame):
     return near, None if fits else rest
 
 
+def _numbers(aligned: Aligned, counts: Counts):
+    """(the stretches' NUMBERS, whether each link's count is known)."""
+    n, best, known = counts.of(aligned.pairs)
+    links = np.diff(aligned.bounds)
+    return np.stack([*aligned.n, links, links, aligned.per_stretch(best), aligned.per_stretch(n)], axis=1), known
+
+
 def _score(short: DataFrame, near, *files: str) -> DataFrame:
     """(row, numbers, groups, rare) of whole texts."""
     schema = T.StructType([short.schema["row"], *[T.StructField(c, T.LongType()) for c in NUMBERS],
@@ -537,68 +539,53 @@ def _score(short: DataFrame, near, *files: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        units = Units(loaded(*files), Counts(*near.value))
-        for b in pieces(batches, 64):
-            parts = [units.tok.units(t) if t else [] for t in _strings(b.column("text"))]
-            units.add(parts)
-            numbers, groups, rare = np.zeros((len(parts), 6), np.int64), [], []
-            for d, p in enumerate(parts):
-                which = units.at(p)
-                if not len(which) or not units.valid[which].all():
-                    groups.append("")
-                    rare.append([])
-                    continue
-                numbers[d] = units.numbers[which].sum(axis=0)
-                groups.append(b";".join(map(units.shown.__getitem__, which.tolist())))
-                rare.append(_rare_list(*unknown_pairs(units, which)) if units.rare[which].any() else [])
-            yield pa.RecordBatch.from_arrays([b.column("row").cast(arrow.field("row").type), *[pa.array(x) for x in numbers.T],
-                                              pa.array(groups, pa.string()), pa.array(rare, arrow.field("rare").type)], schema=arrow)
-            if units.held > HELD:
-                units.clear()
+        tok, counts = loaded(*files), Counts(*near.value)
+        for b in pieces(batches, 128):
+            aligned = _of_stretches(tok, b)
+            numbers, known = _numbers(aligned, counts)
+            yield pa.RecordBatch.from_arrays([
+                b.column("row").cast(arrow.field("row").type), *[pa.array(x) for x in numbers.T],
+                pa.array(aligned.rendered(), pa.binary()).cast(pa.string()),
+                pa.array(_rare_lists(aligned, known), arrow.field("rare").type)], schema=arrow)
 
     return short.mapInArrow(run, schema)
 
 
 def _score_long(chunks: DataFrame, near, *files: str) -> DataFrame:
     """(row, numbers, groups, rare) of documents in chunks: fragments, composed in rounds."""
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("chunk", T.LongType()), chunks.schema["row"],
-                           *T.StructType.fromDDL("valid boolean, closed boolean, pre_a array<int>, pre_b array<int>, body binary, "
-                                                 "suf_a array<int>, suf_b array<int>, numbers array<long>").fields,
+    places = [T.StructField("doc", T.LongType()), T.StructField("chunk", T.LongType()), chunks.schema["row"]]
+    schema = T.StructType([*places, *T.StructType.fromDDL("valid boolean, closed boolean, pre_a array<int>, pre_b array<int>, "
+                                                          "body binary, suf_a array<int>, suf_b array<int>, numbers array<long>").fields,
                            T.StructField("rare", RARE)])
     arrow = to_arrow_schema(schema)
+    parts = ("closed", "pre_a", "pre_b", "body", "suf_a", "suf_b")
 
-    def rows(doc, chunk, row, found):
-        """One Arrow row per (valid, fragment, numbers, rare)."""
-        cols = [[x[0] for x in found], [x[1].closed for x in found], *[[getattr(x[1], n) for x in found] for n in (
-            "pre_a", "pre_b", "body", "suf_a", "suf_b")], [x[2].tolist() for x in found], [x[3] for x in found]]
-        return [doc, chunk, row.cast(arrow.field("row").type),
-                *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[3:])]]
+    def rows(doc, chunk, row, valid, frags, numbers, rare):
+        cols = [valid, *[[getattr(f, n) for f in frags] for n in parts], numbers, rare]
+        return [doc, chunk, row.cast(arrow.field("row").type), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[3:])]]
 
     def first(batches):
-        units = Units(loaded(*files), Counts(*near.value))
+        tok, counts = loaded(*files), Counts(*near.value)
         for b in pieces(batches, 16):
-            found = []
-            for x in zip(*(b.column(c).to_pylist() for c in ("text", "lo", "hi"))):
-                valid, f, numbers, which, extra = chunk_fragment(units, *x)
-                pairs, n = unknown_pairs(units, which)
-                more, times = np.unique(extra[~units.counts.of(extra)[2]], return_counts=True)
-                found.append((valid, f, numbers, _rare_list(pairs, n) + _rare_list(more, times)))
-            yield pa.RecordBatch.from_arrays(rows(b.column("doc"), b.column("chunk"), b.column("row"), found), schema=arrow)
-            if units.held > HELD:
-                units.clear()
+            aligned = _of_stretches(tok, b)
+            numbers, known = _numbers(aligned, counts)
+            sides = [np.split(x, np.cumsum(n)[:-1]) for x, n in ((aligned.ids[0], aligned.n[0]), (aligned.ends[0], aligned.n[0]),
+                                                                 (aligned.ids[1], aligned.n[1]), (aligned.ends[1], aligned.n[1]))]
+            frags = [leaf(*x)[0] for x in zip(*sides)]
+            yield pa.RecordBatch.from_arrays(rows(b.column("doc"), b.column("chunk"), b.column("row"), b.column("valid").to_pylist(),
+                                                  frags, numbers.tolist(), _rare_lists(aligned, known)), schema=arrow)
 
     def joined(key, data):
         data = data.sort_by("chunk").combine_chunks()
         items = data.drop_columns(["doc", "chunk", "row"]).to_pylist()
-        frags = [Fragment(*[x[n] for n in ("closed", "pre_a", "pre_b", "body", "suf_a", "suf_b")]) for x in items]
-        all_rare: dict[int, int] = {}
+        rare: dict[int, int] = {}
         for x in items:
             for r in x["rare"]:
-                all_rare[r["pair"]] = all_rare.get(r["pair"], 0) + r["n"]
-        found = (all(x["valid"] for x in items), reduce(compose, frags), sum(np.array(x["numbers"]) for x in items),
-                 [{"pair": p, "n": n} for p, n in all_rare.items()])
+                rare[r["pair"]] = rare.get(r["pair"], 0) + r["n"]
         return pa.table(rows(pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), data.column("row").combine_chunks()[:1],
-                             [found]), schema=arrow)
+                             [all(x["valid"] for x in items)], [reduce(compose, [Fragment(*[x[n] for n in parts]) for x in items])],
+                             [np.sum([x["numbers"] for x in items], axis=0).tolist()],
+                             [[{"pair": p, "n": n} for p, n in rare.items()]]), schema=arrow)
 
     out = chunks.mapInArrow(first, schema)
     left = 1 + (chunks.agg(F.max("chunk")).first()[0] or 0)
