@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadtrace.llm.common import pieces, stored, training_fold, with_columns
+from roadtrace.llm.common import pieces, stored, training_fold
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -181,9 +181,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """The columns ``keep`` (all) of every document with ``lang_pred`` and ``score``; only the text is looked at."""
     keep = docs.columns if keep is None else keep
     has_letter: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), has_letter.alias("ok"),
-                       F.col(text_col).alias("text"))
-    result = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
+    # a text that is kept goes along once, beside the other columns
+    kept = [c for c in keep if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), has_letter.alias("ok"), F.col(text_col).alias("text"))
+    with_text = [rows.schema["text"]] if text_col in keep else []
+    result = T.StructType([rows.schema["row"], *with_text, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(result)
     parts = model.parts
@@ -206,7 +209,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                     total = total * np.exp(top - above) + np.exp(post - above[:, None]).sum(axis=1)
                     top = above
                 p[at] = 1 / total
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array(lang, pa.string()), pa.array(p)], schema=arrow)
+            text = [b.column(2)] if with_text else []
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *text, pa.array(lang, pa.string()), pa.array(p)],
+                                             schema=arrow)
 
     out = rows.mapInArrow(score, result)
-    return out.select(*with_columns(out, {"lang_pred": F.col("lang_pred"), "score": F.col("score")}))
+    cols = {"lang_pred": F.col("lang_pred"), "score": F.col("score")}
+    names = [c for c in keep if c.lower() not in cols]
+    return out.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in names],
+                      *[c.alias(n) for n, c in cols.items()])

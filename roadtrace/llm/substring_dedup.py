@@ -2,8 +2,9 @@
 
 1. Documents are dealt to groups of about ``GROUP_BYTES`` by a hash of (id, text).  Each group computes
    the rolling hash of every window of ``window`` words in numpy: a prefix polynomial over the bytes of
-   the white-space-normalised text, so a window's hash is a difference of two prefix values scaled back
-   by the inverse power of the base.
+   the white-space-normalised text, so a window's hash is a difference of two prefix values scaled to a
+   common power of the base.  Words are places in one buffer, never Python objects, and the hashing step
+   carries no column but the text.
 2. Windows that repeat inside a group are settled there (the map-side combine); one representative per
    distinct window goes to the bucket that a second, independent hash names.  A passage shared by a third
    of the corpus therefore sends one entry per group, not one per document.
@@ -43,25 +44,21 @@ BUCKET_WINDOWS = 1 << 20
 #: Repeated pairs of id and text that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1 << 20
 #: Bytes hashed at a time inside a group.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASES = [int(x) | 1 for x in _RNG.integers(2**62, 2**63, 2, dtype=np.uint64)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, np.ndarray] = {}
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the lane's base and of its inverse, modulo 2**64."""
-    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
-
-        def run(base: int) -> np.ndarray:
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        _POWERS[lane] = run(_BASES[lane]), run(pow(_BASES[lane], -1, 2**64))
+def _powers(lane: int, n: int) -> np.ndarray:
+    """The first n powers of the lane's base, modulo 2**64."""
+    if lane not in _POWERS or len(_POWERS[lane]) < n:
+        out = np.full(max(n, PIECE_BYTES + 1), _BASES[lane], np.uint64)
+        out[0] = 1
+        _POWERS[lane] = np.multiply.accumulate(out)
     return _POWERS[lane]
 
 
@@ -70,52 +67,60 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hash_pieces(pieces: list[tuple[int, list[bytes]]], window: int):
-    """(document of each window, both hashes), over word lists joined into one buffer."""
-    buf = b" ".join(b" ".join(w) for _, w in pieces)
-    raw = np.frombuffer(buf, np.uint8)
-    counts = np.array([len(w) for _, w in pieces])
-    blanks = np.flatnonzero(raw == 32)
-    starts = np.concatenate(([0], blanks + 1))
-    ends = np.concatenate((blanks, [len(raw)]))
-    piece = np.repeat(np.arange(len(pieces)), counts)
-    ok = np.flatnonzero(piece[: len(piece) - window + 1] == piece[window - 1:])
-    s, e = starts[ok], ends[ok + window - 1]
-    out = []
-    for lane in (0, 1):
-        power, inverse = _powers(lane, len(raw) + 1)
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLES[lane][raw] * power[: len(raw)], out=prefix[1:])
-        out.append(_mixed((prefix[e] - prefix[s]) * inverse[s]))
-    return np.array([d for d, _ in pieces])[piece[ok]], out[0], out[1]
+class Words:
+    """The words of several texts as places in one buffer, in which every word is followed by one space."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        """``raw`` holds the texts' bytes one after the other, text i at ``offsets[i]`` to ``offsets[i + 1]``."""
+        word = ~_WHITE[raw]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        full = offsets[:-1] < offsets[1:]
+        at, end = offsets[:-1][full], offsets[1:][full] - 1
+        first[at], last[end] = word[at], word[end]
+        starts = np.flatnonzero(first)
+        size = np.flatnonzero(last) + 1 - starts
+        self.bounds = np.searchsorted(starts, offsets)          # each text's first word
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        self.buffer = np.full(len(starts) + int(size.sum()), 32, np.uint8)
+        letters = np.ones(len(self.buffer), bool)
+        letters[self.end] = False
+        self.buffer[letters] = raw[word]
+
+    def joined(self, first: int, last: int) -> bytes:
+        """Words ``first`` to ``last`` (not included), joined by one space."""
+        return self.buffer[self.start[first]: self.end[last - 1]].tobytes() if last > first else b""
+
+
+def _hashed(words: Words, window: int):
+    """(text, hash, second hash) of every window, in text and start order."""
+    per_text = np.maximum(np.diff(words.bounds) - window + 1, 0)
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    at = np.repeat(words.bounds[:-1] - (np.cumsum(per_text) - per_text), per_text) + np.arange(len(text))
+    s, e = words.start[at], words.end[at + window - 1]
+    out = np.empty((2, len(at)), np.uint64)
+    lo = 0
+    while lo < len(at):
+        # as many windows as lie within a piece, or one longer than it
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + PIECE_BYTES, "right")))
+        base = s[lo]
+        piece = words.buffer[base: e[hi - 1]]
+        for lane in (0, 1):
+            power = _powers(lane, len(piece) + 1)
+            prefix = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_TABLES[lane][piece] * power[: len(piece)], out=prefix[1:])
+            out[lane, lo:hi] = _mixed((prefix[e[lo:hi] - base] - prefix[s[lo:hi] - base]) * power[PIECE_BYTES - (s[lo:hi] - base)])
+        lo = hi
+    return text, out[0], out[1]
 
 
 def window_hashes(texts: list[list[bytes]], window: int):
-    """(document index, hash, second hash) of every window, in document and start order."""
-    found, pieces, size = [], [], 0
-
-    def flush():
-        nonlocal pieces, size
-        if pieces:
-            found.append(_hash_pieces(pieces, window))
-        pieces, size = [], 0
-
-    for d, ws in enumerate(texts):
-        if len(ws) < window:
-            continue
-        at = 0
-        while at + window <= len(ws):
-            # a long text goes in runs of words that overlap by window - 1
-            part = ws[at: at + 50_000 + window - 1]
-            pieces.append((d, part))
-            size += sum(map(len, part)) + len(part)
-            at += 50_000
-            if size >= PIECE_BYTES:
-                flush()
-    flush()
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    """(text index, hash, second hash) of every window of texts given as lists of words."""
+    whole = [b" ".join(ws) for ws in texts]
+    raw = np.frombuffer(b"".join(whole), np.uint8)
+    return _hashed(Words(raw, np.concatenate(([0], np.cumsum([len(x) for x in whole])))), window)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -156,14 +161,23 @@ def later(h: np.ndarray, ids: np.ndarray, row: np.ndarray):
     return removed, rep
 
 
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column and the offsets of its rows; nothing is copied to Python objects."""
+    column = column.fill_null("").combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
 def _read(data: pa.Table, window: int):
     """A group's rows in (id, text key) order with their words and windows."""
     data = data.sort_by([("id", "ascending"), ("key", "ascending")])
     ids = np.asarray(data.column("id").fill_null(2**63 - 1))
-    texts = [(t or b"").split() for t in data.column("text").cast(pa.binary()).to_pylist()]
-    doc, h, h2 = window_hashes(texts, window)
+    words = Words(*_bytes_of(data.column("text")))
+    doc, h, h2 = _hashed(words, window)
     removed, rep = later(h, ids[doc], doc) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
-    return data, ids, texts, doc, h, h2, removed, rep
+    return data, ids, words, doc, h, h2, removed, rep
 
 
 def _by_bucket(removed, rep, h2, buckets):
@@ -221,7 +235,7 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
         return pa.table(out, schema=to_arrow_schema(blocks))
 
     blocks = T.StructType.fromDDL("g long, b long, hashes binary, ids binary, counts binary")
-    sent = base.groupBy("g").applyInArrow(hashed, blocks)
+    sent = base.select("id", "key", "text", "g").groupBy("g").applyInArrow(hashed, blocks)
 
     def judged(key, data):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in data.column("hashes").to_pylist()])
@@ -246,35 +260,32 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     def cut(key, left, right):
         if not left.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in arrow_out}, schema=arrow_out)
-        data, _, texts, doc, h, h2, removed, rep = _read(left, window)
+        data, _, words, doc, h, h2, removed, rep = _read(left, window)
         mine, b = _by_bucket(removed, rep, h2, buckets)
         for bucket, bits in zip(right.column("b").to_pylist(), right.column("bits").to_pylist()):
             lo, hi = np.searchsorted(b, [bucket, bucket + 1])
             removed[mine[lo:hi]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
         removed |= removed[rep]
-        whole = data.column("text").cast(pa.binary()).to_pylist() if leave_clean else []
-        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        n_words = np.diff(words.bounds)
+        at = np.searchsorted(doc, np.arange(len(n_words) + 1))
         spans, kept = [], []
-        for d, ws in enumerate(texts):
-            at = np.flatnonzero(removed[bounds[d]: bounds[d + 1]])
+        text = data.column("text").cast(pa.binary()) if leave_clean else None
+        for d, first in enumerate(words.bounds[:-1].tolist()):
+            gone = np.flatnonzero(removed[at[d]: at[d + 1]])
             mine_spans = []
-            if len(at):
-                new = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + window)))
-                ends = np.concatenate((at[new[1:] - 1], at[-1:])) + window
-                mine_spans = list(zip(at[new].tolist(), ends.tolist()))
+            if len(gone):
+                new = np.flatnonzero(np.concatenate(([True], gone[1:] > gone[:-1] + window)))
+                ends = np.concatenate((gone[new[1:] - 1], gone[-1:])) + window
+                mine_spans = list(zip(gone[new].tolist(), ends.tolist()))
             spans.append([{"start": s, "end": e} for s, e in mine_spans])
             if leave_clean and not mine_spans:
-                kept.append(whole[d])
+                kept.append(text[d].as_py())
                 continue
-            rest, last = [], 0
-            for s, e in mine_spans:
-                rest += ws[last:s]
-                last = e
-            rest += ws[last:]
-            kept.append(b" ".join(rest))
+            stay = zip([0, *[e for _, e in mine_spans]], [*[s for s, _ in mine_spans], int(n_words[d])])
+            kept.append(b" ".join(words.joined(first + s, first + e) for s, e in stay if s < e))
         return pa.table({
             "row": data.column("row"), "id": data.column("id"), "key": data.column("key"),
-            "stands": data.column("stands"), "n_words": pa.array([len(w) for w in texts], pa.int64()),
+            "stands": data.column("stands"), "n_words": pa.array(n_words, pa.int64()),
             "spans": pa.array(spans, arrow_out.field("spans").type), "text": pa.array(kept, pa.binary()),
         }).cast(arrow_out)
 
