@@ -11,7 +11,7 @@ text that a stage cuts; extra columns travel along; an empty table stays empty t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm import langid
@@ -32,11 +32,20 @@ def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
+def _rest(docs: DataFrame) -> Column:
+    """All columns but the text, which travels once, as one column ``doc`` (so no name can clash)."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
+
+
+def _unpacked(docs: DataFrame) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known: those predicted ``und`` or below ``LEAST_SCORE`` go."""
-    scored = langid.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"),
-                            langid.train(docs), keep=["doc"])
-    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    scored = langid.predict(docs.select(_rest(docs), "text"), langid.train(docs), keep=["doc", "text"])
+    kept = scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*_unpacked(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +62,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 20 words or more that start earlier; a document that loses all its words goes."""
-    out = cut_repeats(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text"),
-                      window=20, leave_clean=True)
+    out = cut_repeats(docs.select(_rest(docs), "doc_id", "text"), window=20, leave_clean=True)
     out = out.where((F.size("spans") == 0) | (F.col("text") != ""))
-    return _with_text(out.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]), docs)
+    return _with_text(out.select(*_unpacked(docs)), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
