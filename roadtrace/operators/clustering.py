@@ -1,8 +1,8 @@
 """Feature scaling, vectorisation and clustering of plates.
 
-Spark ML does the distributed work (fits iterate over the partitioned
-feature table; only model parameters -- k centres, k Gaussians -- live on the
-driver).  Everything around the fits is DataFrame code: scaling is one
+The fits iterate over the partitioned feature table, all k of a sweep in the
+same scans (``sweeps``); only model parameters -- k centres, k Gaussians --
+live on the driver.  Everything around them is DataFrame code: scaling is one
 aggregate, WCSS is an aggregate over distances to the k centres, anomaly
 selection is a semi join with the small set of outlier clusters.
 """
@@ -11,19 +11,17 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.util import inheritable_thread_target
 
+from roadtrace.operators.sweeps import GaussianMixture, KMeans, KMeansModel, MixtureModel, held_out_costs
 from roadtrace.sources.stages import exists
 
 FEATURES = "features"
@@ -34,7 +32,6 @@ GMM_KS = [2, 4, 6, 8, 10, 12, 15, 20, 30, 40]
 MAX_ITER = 20
 OUTLIER_SHARE = 0.05
 TRAIN_SHARE = 0.7
-PARALLELISM = 4   # fits that run at a time
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -124,24 +121,16 @@ def wcss(model: KMeansModel, df: DataFrame, features_col: str = FEATURES) -> flo
     return float(squared_distance_cost(df, [list(c) for c in model.clusterCenters()], features_col).first().wcss)
 
 
-def _distinct_up_to(df: DataFrame, most: int, features_col: str) -> int:
-    """min(distinct vectors, ``most``); the first rows nearly always settle it."""
-    def count(rows: DataFrame) -> int:
-        return rows.select(vector_to_array(features_col).alias("_v")).distinct().limit(most).count()
-
-    few = count(df.limit(10 * most))
-    return few if few >= most else count(df)
-
-
 def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter: int = MAX_ITER, seed: int = SEED,
                features_col: str = FEATURES, model_dir: str | None = None, id_col: str = "plate"):
     """M3 / M5 + S7: ``(k, model, score)`` for each k; K-means on the training share, mixtures on all rows.
 
-    Every k gets a model: where the rows have fewer distinct points than k,
-    a model of as many clusters as there are points, reported under k.  The
-    score is the mixture's log-likelihood (None for K-means).  With
-    ``model_dir`` models and scores are kept under a digest of the rows, the
-    parameters, the seed and the vector's width, and fitted only if absent.
+    The ks that have to be fitted share every scan of the rows.  Every k gets
+    a model: where the rows have fewer distinct points than k, a model of as
+    many clusters as there are points, reported under k.  The score is the
+    mixture's log-likelihood (None for K-means).  With ``model_dir`` models and
+    scores are kept under a digest of the rows, the parameters, the seed and
+    the vector's width, and fitted only if absent.
     """
     if algo not in ("kmeans", "gmm"):
         raise ValueError(f"unknown clustering algorithm {algo!r}; expected 'kmeans' or 'gmm'")
@@ -151,35 +140,25 @@ def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter:
         raise ValueError("no rows to fit")
     spark = df.sparkSession
     digest = _digest(rows, features_col) if model_dir else ""
-    cls = KMeansModel if algo == "kmeans" else GaussianMixtureModel
     paths = {k: f"{model_dir.rstrip('/')}/{'_'.join(map(str, (algo, k, max_iter, seed, digest)))}" if model_dir else None
              for k in ks}
     missing = [k for k in ks if not (paths[k] and exists(spark, f"{paths[k]}.score"))]
-    points = _distinct_up_to(rows, max(missing), features_col) if missing else 0
-
-    def fit(k: int):
-        if algo == "gmm":
-            model = GaussianMixture(k=max(2, min(k, points)), maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows)
-            return model, float(model.summary.logLikelihood)
-        # Spark's K-means asks for two clusters; over one point its two centres are equal
-        return KMeans(k=max(2, min(k, points)), maxIter=max_iter, seed=seed, featuresCol=features_col).fit(rows), None
-
-    def load_or_fit(k: int):
-        if k not in missing:
-            return k, cls.load(paths[k]), spark.read.schema("score double").parquet(f"{paths[k]}.score").first().score
-        model, score = fit(k)
-        if paths[k]:  # S7: the score is written last and marks a complete entry
-            model.write().overwrite().save(paths[k])
-            spark.createDataFrame([(score,)], "score double").write.mode("overwrite").parquet(f"{paths[k]}.score")
-        return k, model, score
-
-    return _side_by_side(spark, load_or_fit, ks)
-
-
-def _side_by_side(spark: SparkSession, f, xs: list) -> list:
-    """[f(x) ...] with a few calls at a time: the jobs of small fits leave executors idle."""
-    with ThreadPool(PARALLELISM) as pool:
-        return pool.map(inheritable_thread_target(spark)(f), xs, chunksize=1)
+    fitted = {}
+    if missing:
+        estimator = KMeans if algo == "kmeans" else GaussianMixture
+        fitted = estimator(ks=missing, max_iter=max_iter, seed=seed, features_col=features_col, id_col=id_col).fit(rows)
+    out = []
+    for k in ks:
+        if k in fitted:
+            model, score = fitted[k], getattr(fitted[k], "log_likelihood", None)
+            if paths[k]:  # S7: the score is written last and marks a complete entry
+                model.save(spark, paths[k])
+                spark.createDataFrame([(score,)], "score double").coalesce(1).write.mode("overwrite").parquet(f"{paths[k]}.score")
+        else:
+            model = (KMeansModel if algo == "kmeans" else MixtureModel).load(spark, paths[k], features_col)
+            score = spark.read.schema("score double").parquet(f"{paths[k]}.score").first().score
+        out.append((k, model, score))
+    return out
 
 
 def _digest(df: DataFrame, features_col: str) -> str:
@@ -194,19 +173,19 @@ def _digest(df: DataFrame, features_col: str) -> str:
 def kmeans_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX_ITER,
                  seed: int = SEED, features_col: str = FEATURES, model_dir: str | None = None,
                  id_col: str = "plate") -> tuple[list[tuple[int, KMeansModel]], DataFrame]:
-    """M3 + M4: fit K-means on the training share for each k, WCSS on the other rows.
+    """M3 + M4: fit K-means on the training share for each k, WCSS on the other rows (all k in one scan).
 
     Returns the models and a ``(algo, k, wcss)`` frame (the elbow data).
     """
-    fits = fit_models(df, "kmeans", ks, max_iter, seed, features_col, model_dir, id_col)
-    test = df.filter(~in_training(id_col, seed))
-    rows = _side_by_side(df.sparkSession, lambda f: ("kmeans", f[0], wcss(f[1], test, features_col)), fits)
-    return [(k, m) for k, m, _ in fits], df.sparkSession.createDataFrame(rows, "algo string, k int, wcss double")
+    models = [(k, m) for k, m, _ in fit_models(df, "kmeans", ks, max_iter, seed, features_col, model_dir, id_col)]
+    cost = held_out_costs(df.filter(~in_training(id_col, seed)), dict(models), features_col)
+    rows = [("kmeans", k, cost[k]) for k, _ in models]
+    return models, df.sparkSession.createDataFrame(rows, "algo string, k int, wcss double")
 
 
 def gmm_sweep(df: DataFrame, ks: list[int] | None = None, max_iter: int = MAX_ITER,
               seed: int = SEED, features_col: str = FEATURES, model_dir: str | None = None,
-              id_col: str = "plate") -> tuple[list[tuple[int, GaussianMixtureModel]], DataFrame]:
+              id_col: str = "plate") -> tuple[list[tuple[int, MixtureModel]], DataFrame]:
     """M5: Gaussian mixtures on all rows for each k; ``(algo, k, log_likelihood)``."""
     fits = fit_models(df, "gmm", ks, max_iter, seed, features_col, model_dir, id_col)
     rows = [("gmm", k, score) for k, _, score in fits]
@@ -237,7 +216,7 @@ def anomalies(predictions: DataFrame, share: float = OUTLIER_SHARE, prediction_c
     return found.orderBy(prediction_col, id_col) if ordered else found
 
 
-def sweep_anomalies(df: DataFrame, algo: str, models: list[tuple[int, KMeansModel | GaussianMixtureModel]],
+def sweep_anomalies(df: DataFrame, algo: str, models: list[tuple[int, KMeansModel | MixtureModel]],
                     id_col: str = "plate") -> DataFrame:
     """M6 for every model of a sweep: ``(algo, k, plate, prediction)``, ordered once over the whole result."""
     parts = [anomalies(m.transform(df).select(id_col, "prediction"), id_col=id_col, ordered=False)

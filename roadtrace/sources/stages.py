@@ -21,7 +21,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from roadtrace.session import app_id, checkpoint_dir
 
@@ -29,12 +28,9 @@ _WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a completed Parquet write is there (it leaves ``_SUCCESS`` behind); other errors are raised."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
-        return True
-    except AnalysisException:
-        return False
+    """Whether a completed Parquet write is there (it leaves ``_SUCCESS`` behind): a look at the file system, no job."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def stage_path(spark: SparkSession, name: str, key: tuple, scope_to_app: bool = True) -> str:
