@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.functions.time import minutes_between
+from roadtrace.functions.time import epoch_seconds, minutes_between
 from roadtrace.plans.joins import bounded_broadcast, record_bound
 from roadtrace.schema import SEQUENCE_ORDER
 from roadtrace.sources.stages import write_counted
@@ -40,6 +40,8 @@ from roadtrace.sources.stages import write_counted
 POLICIES = ("as_coded", "documented", "gap")
 CUT_MINUTES = 30                 # fixed value: trip cut time of the original analysis
 HOT_PLATE_ROWS = 2_000_000       # sightings above which a plate is cut into chunks of about as many
+RANGE_PLATES = 1_000_000         # plates of one range of the global numbering
+TRIP_CHUNK = 4096                # steps of one array of the nested view
 
 
 def split_rule(policy: str, gap_minutes: Column, legal: Column, cut_ok: Column,
@@ -252,10 +254,80 @@ def segments(trips: DataFrame) -> DataFrame:
 
 
 def trip_steps(trips: DataFrame) -> DataFrame:
-    """A16 (flat form): each trip's ordered path as ``(plate, tripid, step, gate, ts)``.
-
-    The original collects each trip into an array; a trip has no size bound,
-    so the path stays one row per step and ordering is by ``step``.
-    """
+    """A16 (flat form): each trip's ordered path as ``(plate, tripid, step, gate, ts)``."""
     return trips.select("plate", "tripid", "step", "gate", "ts")
 
+
+def trip_arrays(trips: DataFrame, chunk_steps: int = TRIP_CHUNK) -> DataFrame:
+    """A16 (nested form): trips as sequences, ``(plate, tripid, chunk, first_step, path)``.
+
+    ``path`` is the ordered array of ``(gate, ts)`` of at most ``chunk_steps`` steps; a longer trip has several
+    rows, numbered by ``chunk`` from 0, so neither an array nor a group grows with the trip.  An ordinary trip is
+    one row.  The shuffle is on (plate, trip, chunk): a trip that holds a third of all rows spreads over its chunks.
+    """
+    at = F.col("step") - 1
+    width = F.lit(chunk_steps)
+    held = F.sort_array(F.collect_list(F.struct("step", "gate", "ts")))
+    return (trips.groupBy("plate", "tripid", F.floor(at / width).cast("long").alias("chunk")).agg(held.alias("_held"))
+            .select("plate", "tripid", "chunk", F.col("_held")[0]["step"].alias("first_step"),
+                    F.transform("_held", lambda x: F.struct(x["gate"].alias("gate"), x["ts"].alias("ts"))).alias("path")))
+
+
+def trip_array_steps(nested: DataFrame) -> DataFrame:
+    """The steps of ``trip_arrays`` again: ``(plate, tripid, step, gate, ts)``."""
+    return (nested.select("plate", "tripid", "first_step", F.posexplode("path").alias("_at", "_x"))
+            .select("plate", "tripid", (F.col("first_step") + F.col("_at")).alias("step"), "_x.gate", "_x.ts"))
+
+
+def array_segments(nested: DataFrame) -> DataFrame:
+    """W2 on the nested form: consecutive pairs inside the arrays, and across the border of two chunks of a trip."""
+    x = F.col("path")
+    n = F.size(x)
+    inner = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(
+        F.get(x, i - 1)["gate"].alias("gatefrom"), F.get(x, i)["gate"].alias("gateto"),
+        F.get(x, i - 1)["ts"].alias("tstart"), F.get(x, i)["ts"].alias("tend"))))
+    inside = nested.select("plate", "tripid", F.explode(inner).alias("_s")).select("plate", "tripid", "_s.*")
+    # borders: one row per further chunk, so the join is small; its key is the chunk, not the trip
+    ends = nested.select("plate", "tripid", (F.col("chunk") + 1).alias("chunk"), F.element_at(x, -1).alias("_last"))
+    starts = nested.filter("chunk > 0").select("plate", "tripid", "chunk", x[0].alias("_first"))
+    across = starts.join(ends, ["plate", "tripid", "chunk"]).select(
+        "plate", "tripid", F.col("_last.gate").alias("gatefrom"), F.col("_first.gate").alias("gateto"),
+        F.col("_last.ts").alias("tstart"), F.col("_first.ts").alias("tend"))
+    return inside.unionByName(across)
+
+
+def rendered_arrays(nested: DataFrame) -> DataFrame:
+    """The nested view with its arrays as text (gates, and instants in epoch seconds), for reports and CSV."""
+    return nested.select("plate", "tripid", "chunk", "first_step", F.size("path").cast("long").alias("steps"),
+                         F.array_join(F.transform("path", lambda p: p["gate"].cast("string")), ",").alias("gates"),
+                         F.array_join(F.transform("path", lambda p: epoch_seconds(p["ts"]).cast("string")), ",").alias("instants"))
+
+
+def trips_before(trips: DataFrame, range_plates: int = RANGE_PLATES) -> DataFrame:
+    """``(plate, before)``: the number of trips of all smaller plates.
+
+    Trip ids are dense per plate, so a plate's trips are its largest id.  Prefix sums have two levels: plates are
+    dealt to ranges (a written table, so its bounds are fixed), each range's total goes to the driver (one number per
+    ``range_plates`` plates), and a window inside each range adds up the rest.  No task sees more than a range.
+    """
+    spark = trips.sparkSession
+    plates, n_plates = write_counted(spark, trips.groupBy("plate").agg(F.max("tripid").alias("_n")))
+    ranges = max(1, -(-n_plates // range_plates))
+    dealt, _ = write_counted(spark, plates.repartitionByRange(ranges, "plate").withColumn("_range", F.spark_partition_id()))
+    totals = sorted((r["_range"], r["_n"]) for r in dealt.groupBy("_range").agg(F.sum("_n").alias("_n")).collect())
+    offsets, upto = [], 0
+    for number, n in totals:
+        offsets.append((number, upto))
+        upto += n
+    base = bounded_broadcast(spark.createDataFrame(offsets, "_range int, _base long"), known_rows=len(offsets))
+    earlier = Window.partitionBy("_range").orderBy("plate").rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(base, "_range")
+            .select("plate", (F.col("_base") + F.col("_earlier")).alias("before")))
+
+
+def global_trips(trips: DataFrame, range_plates: int = RANGE_PLATES) -> DataFrame:
+    """``trips`` with ``trip``, a dense number from 1 over all plates in the order of (plate, tripid).
+
+    The original numbers trips by their place in its partitions; here the numbers don't depend on the partitioning.
+    """
+    return trips.join(trips_before(trips, range_plates), "plate").withColumn("trip", F.col("before") + F.col("tripid")).drop("before")

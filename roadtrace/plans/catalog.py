@@ -9,6 +9,7 @@ separately in the tests (including against the original map's files).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -90,6 +91,37 @@ def _clean(spark, d):
     return _p(spark, d).clean
 
 
+def _maintained(spark, d) -> str:
+    """Folder of the views kept over an ingest of the sightings in three batches, the last one run twice."""
+    from roadtrace.session import app_id, checkpoint_dir
+    from roadtrace.streaming import conflicts, ingest
+    key = (app_id(spark), d)
+    if key not in _MAINTAINED:
+        base = f"{checkpoint_dir(spark)}/maintained-{uuid.uuid4().hex}"
+        raw = _p(spark, d).raw
+        batch = F.pmod(F.xxhash64(*SIGHTING_OUT), F.lit(3))
+        for i in (0, 1, 2, 2):
+            ingest.append_new(raw.where(batch == i), i, f"{base}/table")
+            conflicts.maintain(spark, i, f"{base}/table", f"{base}/views")
+        _MAINTAINED[key] = f"{base}/views"
+    return _MAINTAINED[key]
+
+
+_MAINTAINED: dict[tuple, str] = {}
+
+
+@register("maintained_conflicts", "A1 S1", with_ctes("SELECT * FROM conflicts"))
+def _maintained_conflicts(spark, d):
+    from roadtrace.streaming.conflicts import read_conflicts
+    return read_conflicts(spark, _maintained(spark, d))
+
+
+@register("maintained_clean", "J1 S1", with_ctes("SELECT * FROM clean"))
+def _maintained_clean(spark, d):
+    from roadtrace.streaming.conflicts import read_clean
+    return read_clean(spark, _maintained(spark, d))
+
+
 _MULTINAT_SQL = "SELECT plate, array_to_string(nats, ',') AS nats, num_nat FROM multinat"
 
 
@@ -216,6 +248,29 @@ def _trip_paths(spark, d):
     return tr.trip_steps(_p(spark, d, "gap").trips_for("gap"))
 
 
+@register("trip_arrays", "A16", with_ctes("""
+SELECT plate, tripid, (step - 1) // 4 AS chunk, min(step) AS first_step, count(*) AS steps,
+       string_agg(CAST(gate AS VARCHAR), ',' ORDER BY step) AS gates,
+       string_agg(CAST(epoch_us(ts) // 1000000 AS VARCHAR), ',' ORDER BY step) AS instants
+FROM trips GROUP BY plate, tripid, chunk""", policy="gap"))
+def _trip_arrays(spark, d):
+    """Arrays of four steps, so that trips of the test tables have several."""
+    return tr.rendered_arrays(tr.trip_arrays(_p(spark, d, "gap").trips_for("gap"), chunk_steps=4))
+
+
+@register("trip_array_segments", "A16 W2", with_ctes("SELECT * FROM segs", policy="gap"))
+def _trip_array_segments(spark, d):
+    return tr.array_segments(tr.trip_arrays(_p(spark, d, "gap").trips_for("gap"), chunk_steps=4))
+
+
+@register("global_trips", "W7", with_ctes("""
+SELECT plate, gate, lane, ts, nationality, tripid, step, t.trip FROM trips JOIN (
+  SELECT plate, tripid, row_number() OVER (ORDER BY plate, tripid) AS trip
+  FROM (SELECT DISTINCT plate, tripid FROM trips)) t USING (plate, tripid)""", policy="as_coded"))
+def _global_trips(spark, d):
+    return tr.global_trips(_p(spark, d).trips_for("as_coded")).select(*SIGHTING_OUT, "tripid", "step", "trip")
+
+
 _ESEG_COLS = ("plate, tripid, gatefrom, gateto, tstart, tend, hasEntryExit, hasTollbooth, "
               "hasServiceArea, posfrom, posto, highwayidfrom, highwayidto")
 
