@@ -153,10 +153,21 @@ def windowed(df: DataFrame, pairs: DataFrame | None, policies: tuple[str, ...],
     chunk; ``_cum_p`` counts policy p's splits up to the row and ``_last_p``
     is the position of the latest one.  One exchange, on the chunk.
     """
+    return windowed_chunks(with_chunk(df, chunks), pairs, policies, cut_minutes)
+
+
+def day_chunks(df: DataFrame) -> DataFrame:
+    """Every plate cut at midnight: the chunks of trips that are kept up to date by day."""
+    whole = F.struct(F.lit(False).alias("cut"), F.lit(0).alias("gate"), F.lit(0.0).alias("lane"))
+    day = F.datediff(_day(), F.lit("1970-01-01").cast("date")).cast("long")
+    return df.withColumns({"_hot": F.lit(True), "_chunk": day, "_sub": whole})
+
+
+def windowed_chunks(x: DataFrame, pairs: DataFrame | None, policies: tuple[str, ...], cut_minutes: int) -> DataFrame:
+    """``windowed`` on rows that know their chunk."""
     w = Window.partitionBy(*CHUNK).orderBy(*SEQUENCE_ORDER)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = (with_chunk(df, chunks)
-         .withColumn("_rn", F.row_number().over(w))
+    x = (x.withColumn("_rn", F.row_number().over(w))
          .withColumn("_pg", F.lag("gate").over(w))
          .withColumn("_pt", F.lag("ts").over(w)))
     for p in policies:

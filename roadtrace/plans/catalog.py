@@ -237,6 +237,20 @@ for _pol in tr.POLICIES:
              with_ctes(_TRIP_OUT, policy=_pol))(_mk(_pol))
 
 
+@register("streamed_trips", "W3 W4 W5 W7 S1", with_ctes(_TRIP_OUT, policy="as_coded"))
+def _streamed_trips(spark, d):
+    """Trips kept up to date over three batches of sightings that come in any order."""
+    from roadtrace.session import checkpoint_dir
+    from roadtrace.streaming import trips as st
+    p = _p(spark, d)
+    view = f"{checkpoint_dir(spark)}/streamed-trips-{uuid.uuid4().hex}"
+    batch = F.pmod(F.xxhash64(*SIGHTING_OUT), F.lit(3))
+    for i in range(3):
+        st.maintain(spark, p.nonnull.where(batch == i), i, view, p.network.pairs, ("as_coded",), TEST_CUT_MINUTES)
+    out = st.read_trips(spark, view, "as_coded", p.network.pairs, TEST_CUT_MINUTES, ("as_coded",))
+    return out.select(*SIGHTING_OUT, "tripid", "step")
+
+
 @register("segments", "W2 F10", with_ctes("SELECT * FROM segs", policy="as_coded"))
 def _segments(spark, d):
     return _p(spark, d).segments
