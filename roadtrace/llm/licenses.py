@@ -2,11 +2,12 @@
 
 1. The templates' words are the licence vocabulary.  One pass over the whole corpus counts the documents that
    hold each of them (its IDF; one row per vocabulary word reaches the driver).
-2. The postings of a template are its key phrase's two highest-IDF words with their places in the phrase.
-3. A file is looked up only for templates of which it holds every key word.  The places of the two rare words,
-   each less its place in the phrase, are intersected: what is left are starts at which both stand at the
-   right relative position.
-4. Each start is verified: the whole key phrase must stand there.  The score of a place is the share of the
+2. The index maps words to postings (template, place in its key phrase).  Every key phrase is posted under its two
+   highest-IDF words, so a file's highest-IDF licence words find every template that can stand in it.
+3. A file that holds none of these words is done.  Else each place of such a word is looked up once; a posting less
+   its place in the phrase is a start, and only starts that both words of a template name, so at the right relative
+   position, are left.  The work grows with a file's hits, not with the number of templates.
+4. Each start is verified: the whole mandatory key phrase must stand there.  The score of a place is the share of the
    template's words that stand at their places around the phrase.
 
 Nothing is shuffled but the vocabulary counts; a very long text is one row's arrays, whatever it holds.
@@ -78,19 +79,23 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str)
     return {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect() if r.word is not None}
 
 
-def _postings(templates: tuple[Template, ...], df: dict[str, int]) -> Column:
-    """The templates as one literal array; a1, a2 are the key's rarest words and o1, o2 their places in it."""
-    out = []
-    for t in templates:
-        key = t.key.split()
+def _index(templates: tuple[Template, ...], df: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """Word -> postings (template, place in its key phrase, 1 or 2 for the rarest and the next) of the key phrases'
+    two highest-IDF words; a phrase of one word is posted twice."""
+    out: dict[str, list[tuple[int, int, int]]] = {}
+    for t, template in enumerate(templates):
+        key = template.key.split()
         rare = sorted(set(key), key=lambda w: (df.get(w, 0), w))
-        a1, a2 = rare[0], rare[min(1, len(rare) - 1)]
-        out.append(F.struct(
-            F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _strings(t.text.split()).alias("text"),
-            _strings(key).alias("key"), F.lit(t.key_at).alias("key_at"), _strings(sorted(set(key))).alias("need"),
-            F.lit(a1).alias("a1"), F.lit(key.index(a1)).alias("o1"),
-            F.lit(a2).alias("a2"), F.lit(key.index(a2)).alias("o2")))
-    return F.array(*out)
+        for which, w in ((1, rare[0]), (2, rare[min(1, len(rare) - 1)])):
+            out.setdefault(w, []).append((t, key.index(w), which))
+    return out
+
+
+def _literal(index: dict[str, list[tuple[int, int, int]]]) -> Column:
+    """The index as a literal map."""
+    postings = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(n).alias("which")) for t, o, n in ps])
+                for w, ps in index.items()}
+    return F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), p)])
 
 
 def license_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> DataFrame:
@@ -99,29 +104,32 @@ def license_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     ``start`` is the phrase's first word, from 0.  All input columns stay; one that has a result's name is replaced.
     """
     vocabulary = sorted({w for t in templates for w in t.key.split()})
-    df = document_frequencies(docs, vocabulary, text_col)
-    postings = _postings(templates, df)
-    rare = sorted({min(set(t.key.split()), key=lambda w: (df.get(w, 0), w)) for t in templates}
-                  | {sorted(set(t.key.split()), key=lambda w: (df.get(w, 0), w))[:2][-1] for t in templates})
+    index = _index(templates, document_frequencies(docs, vocabulary, text_col))
+    looked_up, postings = sorted(index), _literal(index)
+    template = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _strings(t.text.split()).alias("text"),
+                                  _strings(t.key.split()).alias("key"), F.lit(t.key_at).alias("key_at")) for t in templates])
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words(F.col(text_col)).alias("ws"))
-    out = out.withColumn("held", F.array_intersect("ws", _strings(vocabulary)))
-    out = out.withColumn("able", F.filter(postings, lambda t: F.size(F.array_except(t.need, "held")) == 0))
-    spots = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p.w.isin(rare))
-    out = out.withColumn("spots", F.when(F.size("able") > 0, spots))
-
-    def starts(t):
-        one = F.transform(F.filter("spots", lambda p: p.w == t.a1), lambda p: p.i - t.o1)
-        two = F.transform(F.filter("spots", lambda p: p.w == t.a2), lambda p: p.i - t.o2)
-        return F.filter(F.array_intersect(one, two),
-                        lambda s: (s >= 0) & (F.slice("ws", F.greatest(s, F.lit(0)) + 1, F.size(t.key)) == t.key))
-
-    def score(t, s):
-        same = F.filter(F.sequence(F.lit(0), F.size(t.text) - 1),
-                        lambda j: F.get("ws", s - t.key_at + j).eqNullSafe(F.get(t.text, j)))
-        return F.size(same) / F.size(t.text)
-
-    places = F.flatten(F.transform("able", lambda t: F.transform(
-        starts(t), lambda s: F.struct(s.alias("start"), t.label.alias("label"), t.base.alias("base"), score(t, s).alias("score")))))
-    out = out.withColumn("places", F.when(F.size("able") > 0, F.array_sort(places)).otherwise(
+    spots = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(looked_up), F.struct(w.alias("w"), i.alias("i")))),
+                     lambda p: p.isNotNull())
+    out = out.withColumn("spots", F.when(F.arrays_overlap("ws", _strings(looked_up)), spots))
+
+    def starts(which):
+        """(template, start) that the postings of one of the two words name."""
+        return F.flatten(F.transform("spots", lambda p: F.transform(
+            F.filter(postings[p.w], lambda q: q.which == which), lambda q: F.struct(q.t.alias("t"), (p.i - q.o).alias("start")))))
+
+    def stands(c):
+        key = template[c.t]["key"]
+        return (c.start >= 0) & (F.slice("ws", F.greatest(c.start, F.lit(0)) + 1, F.size(key)) == key)
+
+    def place(c):
+        t = template[c.t]
+        same = F.filter(F.sequence(F.lit(0), F.size(t["text"]) - 1),
+                        lambda j: F.get("ws", c.start - t["key_at"] + j).eqNullSafe(F.get(t["text"], j)))
+        return F.struct(c.start.alias("start"), t["label"].alias("label"), t["base"].alias("base"),
+                        (F.size(same) / F.size(t["text"])).alias("score"))
+
+    found = F.filter(F.array_intersect(starts(1), starts(2)), stands)
+    out = out.withColumn("places", F.when(F.col("spots").isNotNull(), F.array_sort(F.transform(found, place))).otherwise(
         F.array().cast("array<struct<start:int,label:string,base:boolean,score:double>>")))
     return out.select(*with_columns(out, {"n_words": F.size("ws").cast("long"), "places": F.col("places")}))
