@@ -1,12 +1,14 @@
 """Mixing sources to target weights by hash-random order and distributed prefix sums.
 
 1. One pass counts each source's words.  Targets are shares by weight of ``share`` times all words; a
-   target stops at ``max_epochs`` times its source's size and the excess is shared anew by weight (closed
-   form over the sources in the order of cap / weight, one row per source).
+   target stops at ``max_epochs`` times its source's size and the excess is shared anew by weight, one small
+   aggregate over the sources per round, until none is above.  Sources get their weights by rank: they are
+   dealt to ranges of about ``SOURCES`` and numbered inside each, so there may be millions of them.
 2. Every document has a hash-random key (of id and text).  Each source's keys are cut into ranges of about
-   ``RANGE_ROWS`` documents; range totals get prefix sums per source, and a window inside each range
-   (source, range) adds the running sum in key order.  A source with a third of all rows is therefore
-   sorted by as many tasks as its rows need, never by one.
+   ``RANGE_ROWS`` documents; range totals get prefix sums per source in two levels (blocks of ``BLOCK_RANGES``
+   ranges, then the ranges of a block), and a window inside each range (source, range) adds the running sum
+   in key order.  A source with a third of all rows is therefore sorted by as many tasks as its rows need,
+   never by one.
 3. A source gives whole epochs and then its documents in key order up to its exact budget (the target
    rounded to a whole word); the document at the cut gives its first words only.
 
@@ -23,29 +25,46 @@ from pyspark.sql import functions as F
 from roadtrace.llm.common import stored, text_key, white_words, with_columns
 
 RANGE_ROWS = 2048
+#: Ranges of one block of a source's prefix sums, and sources of one range of ranks.
+BLOCK_RANGES, SOURCES = 4096, 1 << 16
 SEED = 20240917
 
 
+def ranked_sources(sizes: DataFrame, n_sources: int) -> DataFrame:
+    """One row per source with ``rank``, from 1, by code point, null last; numbered inside ranges of sources."""
+    ranges = max(1, -(-n_sources // SOURCES))
+    dealt = stored(sizes.repartitionByRange(ranges, "is_null", "src").withColumn("part", F.spark_partition_id()), "ranged-sources")
+    upto, base = 0, []
+    for r in sorted(dealt.groupBy("part").count().collect()):     # one row per SOURCES sources
+        base.append((r.part, upto))
+        upto += r["count"]
+    base = F.broadcast(sizes.sparkSession.createDataFrame(base, "part int, base long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("is_null", "src"))
+    return dealt.withColumn("place", place).join(base, "part").withColumn("rank", F.col("base") + F.col("place")).drop(
+        "part", "place", "base")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int) -> DataFrame:
-    """(is_null, src, source_size, target) from one row per source; sorts sources, not documents."""
-    sizes = sizes.withColumn("rank", F.row_number().over(Window.orderBy("is_null", "src")))
+    """(is_null, src, source_size, target) from one row per source."""
+    n_sources, total = sizes.agg(F.count("*"), F.sum("source_size")).first()
+    sizes = ranked_sources(sizes, n_sources)
     sizes = (sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                                                 ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
              .withColumn("cap", F.col("source_size") * float(max_epochs)))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("rank")
-    up = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    total = F.sum("source_size").over(whole) * share
-    capped_before = F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing))
-    out = (sizes.withColumn("left", total - capped_before).withColumn("open", open_weight)
-           .withColumn("at", F.row_number().over(up))
-           .withColumn("below", F.col("left") * F.col("w") / F.col("open") < F.col("cap")))
-    # from the first source that stays below its cap on, all share what is left
-    first = F.min(F.when(F.col("below"), F.struct("at", "left", "open"))).over(whole)
-    out = out.withColumn("first", first)
-    free = F.col("first").isNotNull() & (F.col("at") >= F.col("first.at"))
-    return out.select("is_null", "src", "source_size",
-                      F.when(free, F.col("first.left") * F.col("w") / F.col("first.open")).otherwise(F.col("cap")).alias("target"))
+    sizes = stored(sizes, "weighted-sources")
+    total = float(total or 0) * share
+    left, open_weight, stopped = total, sizes.agg(F.sum("w")).first()[0] or 0.0, 0
+    while open_weight:
+        above = F.lit(left) * F.col("w") / F.lit(open_weight) >= F.col("cap")
+        n, caps, weight = sizes.agg(F.count_if(above), F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("w")))).first()
+        if n <= stopped:
+            break
+        left, open_weight, stopped = total - (caps or 0.0), weight or 0.0, n
+    goal = F.col("cap")
+    if open_weight:
+        shared = F.lit(left) * F.col("w") / F.lit(open_weight)
+        goal = F.when(shared >= F.col("cap"), F.col("cap")).otherwise(shared)
+    return sizes.select("is_null", "src", "source_size", goal.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2,
@@ -70,10 +89,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
             .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)))
             .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")))
     base = base.withColumn("range", F.floor(F.shiftright("u", 32) * F.lit(ranges) / F.lit(2.0**31)))
-    per_range = base.groupBy("is_null", "src", "range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("is_null", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (per_range.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")
-               .join(goal, ["is_null", "src"]))
+    per_range = (base.groupBy("is_null", "src", "range").agg(F.sum("size").alias("range_size"))
+                 .withColumn("block", F.floor(F.col("range") / BLOCK_RANGES)))
+
+    def before(column, *by):
+        window = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    blocks = (per_range.groupBy("is_null", "src", "block").agg(F.sum("range_size").alias("block_size"))
+              .withColumn("earlier", before("block_size", "is_null", "src", "block")).drop("block_size"))
+    offsets = (per_range.withColumn("offset", before("range_size", "is_null", "src", "block", "range"))
+               .join(blocks, ["is_null", "src", "block"]).withColumn("offset", F.col("offset") + F.col("earlier"))
+               .drop("range_size", "block", "earlier").join(goal, ["is_null", "src"]))
     inside = (Window.partitionBy("is_null", "src", "range").orderBy("u", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     out = (base.join(offsets, ["is_null", "src", "range"])

@@ -82,3 +82,21 @@ def test_defined_cases_and_copies(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).collect() == []
     empty = mixing.mix(spark.createDataFrame([(1, "a", None)], DOCS)).collect()
     assert [(r.target, r.taken) for r in empty] == [(0.0, 0)]
+
+
+def test_many_sources_and_blocks_of_ranges(spark, monkeypatch):
+    import random
+    for name, value in (("RANGE_ROWS", 3), ("BLOCK_RANGES", 4), ("SOURCES", 50)):
+        monkeypatch.setattr(mixing, name, value)
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([f"site{rnd.randint(0, 700)}", "hot", "hot", None, "é", "\U0001F600", "\uFFFD"]),
+             " ".join(["w"] * int(rnd.paretovariate(0.7)))[:2000]) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), keep=["doc_id", "source"]).collect()
+    assert len(got) == 4000
+    check(rows, got)
+
+
+def test_no_window_over_all_sources(spark):
+    df = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], DOCS)
+    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
