@@ -392,6 +392,21 @@ def _plate_features(spark, d):
     return rounded(_p(spark, d).plate_features)
 
 
+@register("daily_plate_features", "A7 A8 J6 S5", with_ctes(
+    "SELECT g.*, " + ", ".join(r(f"t.{c}", c) for c in _SUMMARY_COLS) + ", t.numtrips "
+    f"FROM ({_GLOBAL_SELECT}) g JOIN tsummary t USING (plate)",
+    policy="as_coded", global_features=True))
+def _daily_plate_features(spark, d):
+    """The plate features merged from one stored row per plate and day."""
+    from roadtrace.operators import daily
+    from roadtrace.session import checkpoint_dir
+    p, base = _p(spark, d), f"{checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    daily.write_days(daily.plate_days(p.sequence), f"{base}/sightings")
+    daily.write_days(daily.plate_day_trips(p.enriched), f"{base}/trips")
+    return rounded(feat.plate_features(daily.merged_global_features(daily.read_days(spark, f"{base}/sightings")),
+                                       daily.merged_trip_summary(daily.read_days(spark, f"{base}/trips"))))
+
+
 @register("mode_values", "F5", with_ctes("""
 SELECT plate, CAST(mostFreqHour AS INTEGER) AS mostFreqHour,
   CAST(mostFreqDayOfWeek AS INTEGER) AS mostFreqDayOfWeek, mostFreqGate FROM global_features""",
