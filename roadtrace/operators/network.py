@@ -53,7 +53,13 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64, store: bool = False) -> D
                               lambda: arc_closure(arcs, max_rounds), reuse_existing=True)
         return record_bound(closure, closure.count())
     known, n = write_counted(spark, arcs)
-    delta, m = known, n
+    return _grown(known, n, known, n, max_rounds)
+
+
+def _grown(known: DataFrame, n: int, delta: DataFrame, m: int, max_rounds: int, within: DataFrame | None = None) -> DataFrame:
+    """``known`` (n rows) closed under composition, when only the rows ``delta`` of it (m rows) are new; no rows are
+    added but those of ``within``, if given."""
+    spark = known.sparkSession
     for _ in range(max_rounds):
         if not m:
             return record_bound(known, n)
@@ -61,11 +67,48 @@ def arc_closure(arcs: DataFrame, max_rounds: int = 64, store: bool = False) -> D
         grown = compose_arcs(delta, everything)
         if m < n:
             grown = grown.unionByName(compose_arcs(known, news))
+        if within is not None:
+            grown = grown.intersect(within)
         delta, m = write_counted(spark, grown.subtract(everything))
         known, n = known.unionByName(delta), n + m
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
 
 
+def edited_closure(closure: DataFrame, arcs: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None,
+                   max_rounds: int = 64) -> DataFrame:
+    """G1 after an edit of the map: the closure of ``arcs`` less ``removed`` plus ``added``, from the ``closure`` of ``arcs``.
+
+    Removal first takes out every row that some path through a removed arc gives: such a path is a removed arc with
+    a path (or nothing) before and after it, so three compositions with the old closure find them all.  What is left
+    doesn't depend on the removed arcs.  Of the rows taken out, those come back that paths over the remaining arcs
+    give; they are searched among the rows taken out only.  Added arcs then grow the result semi-naively, from
+    themselves.  Work is in proportion to the rows that an edit can touch; arcs that aren't in the map, or are there
+    already, change nothing.
+    """
+    spark = closure.sparkSession
+    arcs = arcs.select(*ARC_COLS).distinct()
+    known, n = write_counted(spark, closure.select(*ARC_COLS).distinct())
+    if removed is not None:
+        gone, n_gone = write_counted(spark, arcs.intersect(removed.select(*ARC_COLS)))
+        if n_gone:
+            old, gone = bounded_broadcast(known, known_rows=n), bounded_broadcast(gone, known_rows=n_gone)
+            after, n_after = write_counted(spark, gone.unionByName(compose_arcs(gone, old)).distinct())
+            before = compose_arcs(known, bounded_broadcast(after, known_rows=n_after))
+            lost, n_lost = write_counted(spark, after.unionByName(before).distinct())
+            kept, n = write_counted(spark, known.subtract(lost))
+            arcs = arcs.subtract(gone)
+            # the rows taken out that a remaining arc is, or that two rows left compose
+            back = arcs.unionByName(compose_arcs(kept, bounded_broadcast(kept, known_rows=n))).intersect(
+                bounded_broadcast(lost, known_rows=n_lost))
+            delta, m = write_counted(spark, back)
+            known = _grown(kept.unionByName(delta), n + m, delta, m, max_rounds, within=lost)
+            known, n = write_counted(spark, known)
+    if added is not None:
+        delta, m = write_counted(spark, added.select(*ARC_COLS).distinct().subtract(known))
+        known = _grown(known.unionByName(delta), n + m, delta, m, max_rounds)
+    return known
+
+
 def cut_eligible_arcs(closure: DataFrame) -> DataFrame:
     """Arcs where a trip may be cut: an entry/exit and no service area."""
     return closure.filter(~F.col("hasServiceArea") & F.col("hasEntryExit"))
