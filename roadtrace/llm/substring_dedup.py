@@ -3,8 +3,7 @@
 1. Documents are dealt to groups of about ``GROUP_BYTES`` by a hash of (id, text).  Each group computes
    the rolling hash of every window of ``window`` words in numpy: a prefix polynomial over the bytes of
    the white-space-normalised text, so a window's hash is a difference of two prefix values scaled to a
-   common power of the base.  Words are places in one buffer, never Python objects, and the hashing step
-   carries no column but the text.
+   common power of the base.  Words are places in one buffer, never Python objects.
 2. Windows that repeat inside a group are settled there (the map-side combine); one representative per
    distinct window goes to the bucket that a second, independent hash names.  A passage shared by a third
    of the corpus therefore sends one entry per group, not one per document.
@@ -235,7 +234,8 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
         return pa.table(out, schema=to_arrow_schema(blocks))
 
     blocks = T.StructType.fromDDL("g long, b long, hashes binary, ids binary, counts binary")
-    sent = base.select("id", "key", "text", "g").groupBy("g").applyInArrow(hashed, blocks)
+    # the same exchange as the cut's, so texts are shuffled once; what else a row has is small beside its text
+    sent = base.groupBy("g").applyInArrow(hashed, blocks)
 
     def judged(key, data):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in data.column("hashes").to_pylist()])
