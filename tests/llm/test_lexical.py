@@ -24,13 +24,13 @@ def brute(docs, items, k=20):
     df = Counter(t for _, bag, _ in bags for t in bag)
     out = []
     for item, text in items:
-        scored = []
+        scored, asked = [], Counter(terms(text))
         for i, bag, n in bags:
             if not n:
                 continue
             m = 75 + (25 * n * n_docs) // n_terms
-            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * bag[t]) // (1000 * bag[t] + 12 * m))
-                    for t in terms(text) if t in bag)
+            s = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    * ((10**9 * bag[t]) // (1000 * bag[t] + 12 * m)) for t, times in asked.items() if t in bag)
             if s > 0:
                 scored.append((-s, i is None, i or 0, i))
         out += [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scored)[:k])]
