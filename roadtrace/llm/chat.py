@@ -13,7 +13,7 @@ examples themselves are exploded and never held together.
 
 Defined cases: null texts and roles are empty; rows go by turn, then role and text (null turns first), so
 repeated turns keep a fixed order; rows with a null conversation id form one conversation; other columns of the
-input are ignored.
+input are ignored; a very long text is repeated in every later example of its conversation, as the method asks.
 """
 
 from __future__ import annotations

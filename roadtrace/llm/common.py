@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` has written for this application; frames that read them are gone with them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/llm")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lowered(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

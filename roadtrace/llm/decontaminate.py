@@ -16,7 +16,8 @@ The benchmark's shingles and windows are broadcast only if their counted rows ar
 
 Defined cases: a null text, or one without words, has no words and no hits; benchmark rows with null id or
 without words take no part; items may share windows or repeat; documents that share an id are told apart by
-their text, and rows that repeat id and text get the same result.
+their text, and rows that repeat id and text get the same result; a very long text is one row whose shingles are
+exploded one by one, its words are an array in memory.
 """
 
 from __future__ import annotations

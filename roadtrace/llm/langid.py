@@ -11,7 +11,8 @@ buckets a text holds; a long text goes in pieces whose sums add up, so memory is
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could
 be learnt; ties go to the language first in code point order; a null id is never learnt from; null languages
-are no label.  The score is the posterior probability of the language given.
+are no label.  The score is the posterior probability of the language given.  An input column that has a result's
+name is replaced.
 """
 
 from __future__ import annotations

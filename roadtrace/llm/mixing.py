@@ -14,7 +14,8 @@
 
 Defined cases: a null or empty text has size 0 and gives nothing; a null source is a source of its own,
 last in the order; a null id is hashed without it; rows that repeat id and text have equal keys, so either
-may stand at the cut; a source without words has target 0.
+may stand at the cut; a source without words has target 0; a very long text counts all its words and may alone
+fill a budget, of which it then gives a part; an input column that has a result's name is replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ goes over every text in Arrow batches.  Labels, language, source and id are neve
 
 Defined cases: null and empty texts have the features of an empty text and a score like any other; conflicting
 labels of one id count as not trusted; without positives or without texts nothing can be learnt and every score
-is the prior 0.5; a null id is never learnt from; a long text is read in slices.
+is the prior 0.5; a null id is never learnt from; a long text is read in slices; an input column that has a
+result's name is replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@
 
 Defined cases: a null or empty text, or one of white space, has no shingle and the fingerprint zero, linked
 like any other; a text of fewer words than a shingle has one shingle, the whole sequence; a null id takes
-part in linking, and is a component's id only where no other id is in it.
+part in linking, and is a component's id only where no other id is in it; a very long text is one row, whose words
+are in memory while it is hashed; only the id and the text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations

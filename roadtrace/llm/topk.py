@@ -17,7 +17,7 @@ Products that may leave 2**53 or a long are computed in integers or in words of
 result whose score is no long raises an error.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part, nor do those with a
-component that is no long after scaling (2**63 and more, where a score can hardly be a long); only vectors of one length meet; a null id is never a query; rows that repeat an id are
+component that is no long after scaling (2**63 and more, where a score can hardly be a long); only vectors of one length meet; other columns are ignored; a null id is never a query; rows that repeat an id are
 rows of their own, a query leaves out only itself; fewer than k candidates give fewer rows.
 """
 
