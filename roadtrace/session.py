@@ -59,7 +59,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _context_checkpoint_dir(spark)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="roadtrace-ckpt-",
