@@ -10,7 +10,7 @@ selection is a semi join with the small set of outlier clusters.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
@@ -20,8 +20,9 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
-from roadtrace.operators.sweeps import GaussianMixture, KMeans, KMeansModel, MixtureModel, held_out_costs
+from roadtrace.operators.sweeps import GaussianMixture, KMeans, KMeansModel, MixtureModel, all_predictions, held_out_costs
 from roadtrace.sources.stages import exists
 
 FEATURES = "features"
@@ -32,6 +33,7 @@ GMM_KS = [2, 4, 6, 8, 10, 12, 15, 20, 30, 40]
 MAX_ITER = 20
 OUTLIER_SHARE = 0.05
 TRAIN_SHARE = 0.7
+PARALLELISM = 4   # models that are stored or loaded at a time
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -147,8 +149,8 @@ def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter:
     if missing:
         estimator = KMeans if algo == "kmeans" else GaussianMixture
         fitted = estimator(ks=missing, max_iter=max_iter, seed=seed, features_col=features_col, id_col=id_col).fit(rows)
-    out = []
-    for k in ks:
+
+    def kept(k: int):
         if k in fitted:
             model, score = fitted[k], getattr(fitted[k], "log_likelihood", None)
             if paths[k]:  # S7: the score is written last and marks a complete entry
@@ -157,8 +159,11 @@ def fit_models(df: DataFrame, algo: str, ks: list[int] | None = None, max_iter:
         else:
             model = (KMeansModel if algo == "kmeans" else MixtureModel).load(spark, paths[k], features_col)
             score = spark.read.schema("score double").parquet(f"{paths[k]}.score").first().score
-        out.append((k, model, score))
-    return out
+        return k, model, score
+
+    # a model's files are small jobs: a few at a time
+    with ThreadPool(PARALLELISM) as pool:
+        return pool.map(inheritable_thread_target(spark)(kept), ks, chunksize=1)
 
 
 def _digest(df: DataFrame, features_col: str) -> str:
@@ -218,10 +223,17 @@ def anomalies(predictions: DataFrame, share: float = OUTLIER_SHARE, prediction_c
 
 def sweep_anomalies(df: DataFrame, algo: str, models: list[tuple[int, KMeansModel | MixtureModel]],
                     id_col: str = "plate") -> DataFrame:
-    """M6 for every model of a sweep: ``(algo, k, plate, prediction)``, ordered once over the whole result."""
-    parts = [anomalies(m.transform(df).select(id_col, "prediction"), id_col=id_col, ordered=False)
-             .select(F.lit(algo).alias("algo"), F.lit(k).alias("k"), id_col, "prediction") for k, m in models]
-    return reduce(DataFrame.unionByName, parts).orderBy("algo", "k", "prediction", id_col)
+    """M6 for every model of a sweep: ``(algo, k, plate, prediction)``, ordered once over the whole result.
+
+    All models predict in one scan; sizes are one aggregate over (k, cluster), applied as in ``anomalies``.
+    """
+    found = all_predictions(df, models, id_col)
+    sizes = found.groupBy("k", "prediction").agg(F.count(F.lit(1)).alias("count"))
+    # one row per cluster of the sweep
+    share = F.col("count") / F.sum("count").over(Window.partitionBy("k"))
+    outliers = sizes.withColumn("share", share).filter(F.col("share") < OUTLIER_SHARE).select("k", "prediction")
+    return (found.join(F.broadcast(outliers), ["k", "prediction"], "left_semi")
+            .select(F.lit(algo).alias("algo"), "k", id_col, "prediction").orderBy("algo", "k", "prediction", id_col))
 
 
 def cluster_sizes(predictions: DataFrame, prediction_col: str = "prediction") -> DataFrame:

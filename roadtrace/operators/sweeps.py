@@ -101,6 +101,23 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.where(d <= 1e-12 * (a + b), 0.0, d)
 
 
+def all_predictions(df: DataFrame, models: list[tuple[int, KMeansModel | MixtureModel]], id_col: str) -> DataFrame:
+    """``(k, id, prediction)`` of every model in one scan."""
+    assigns = [m.assigner() for _, m in models]
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(v), STEP):
+            x = np.stack(v.iloc[at: at + STEP])
+            out += list(np.stack([a(x) for a in assigns], axis=1).astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    ks = F.array(*[F.lit(k) for k, _ in models])
+    found = df.select(id_col, F.arrays_zip(ks.alias("k"), nearest(vector_to_array(models[0][1].features_col)).alias("prediction")).alias("_p"))
+    return found.select(F.explode("_p").alias("_p"), id_col).select("_p.k", id_col, "_p.prediction")
+
+
 def _predicted(df: DataFrame, assign: Callable[[np.ndarray], np.ndarray], features_col: str) -> DataFrame:
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
@@ -122,8 +139,11 @@ class KMeansModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``: the nearest centre (the first of equally near ones)."""
+        return _predicted(df, self.assigner(), self.features_col)
+
+    def assigner(self) -> Callable[[np.ndarray], np.ndarray]:
         centres = self.centres
-        return _predicted(df, lambda x: _squared(x, centres).argmin(axis=1), self.features_col)
+        return lambda x: _squared(x, centres).argmin(axis=1)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, c.tolist()) for i, c in enumerate(self.centres)]
@@ -287,8 +307,11 @@ class MixtureModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``: the most probable component (the first of equally probable ones)."""
+        return _predicted(df, self.assigner(), self.features_col)
+
+    def assigner(self) -> Callable[[np.ndarray], np.ndarray]:
         factors = self.factors()
-        return _predicted(df, lambda x: joint_log(x, *factors).argmax(axis=1), self.features_col)
+        return lambda x: joint_log(x, *factors).argmax(axis=1)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, float(w), m.tolist(), c.ravel().tolist(), float(self.ridge), float(self.log_likelihood))

@@ -136,3 +136,12 @@ def test_sweep_anomalies_are_ordered_by_cluster_and_plate(spark, vec):
     found = cl.sweep_anomalies(vec, "kmeans", models).collect()
     keys = [(r.algo, r.k, r.prediction, r.plate) for r in found]
     assert keys == sorted(keys) and keys
+
+
+def test_sweep_anomalies_equal_those_of_each_model(spark, vec):
+    for algo, ks in (("kmeans", [6, 12, 20]), ("gmm", [4, 9])):
+        models, _ = cl.cluster_sweep(vec, algo, ks=ks)
+        got = {(r.k, r.plate, r.prediction) for r in cl.sweep_anomalies(vec, algo, models).collect()}
+        want = {(k, r.plate, r.prediction) for k, m in models
+                for r in cl.anomalies(m.transform(vec).select("plate", "prediction")).collect()}
+        assert got == want
