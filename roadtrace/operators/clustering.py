@@ -78,11 +78,23 @@ def vectorize(df: DataFrame, id_col: str = "plate", include_id: bool = False,
     Strings are indexed and one-hot encoded (last category dropped), the rest
     assembled.  The id column is left out unless ``include_id`` (Q14: the
     original put the raw plate id into the vector, where it dominates distances).
+    A string column with one value, or none in an empty frame, has no slot:
+    its last category is the only one, which Spark's encoder refuses.
     """
-    formula = "label ~ ." if include_id else f"label ~ . - {id_col}"
+    left_out = ([] if include_id else [id_col]) + _constant_strings(df, () if include_id else (id_col,))
+    formula = " - ".join(["label ~ .", *left_out])
     return RFormula(formula=formula, featuresCol=features_col).fit(df).transform(df)
 
 
+def _constant_strings(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """The string columns without two distinct values, found in one aggregate."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
+    if not names:
+        return []
+    differ = df.agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(c) for c in names]).first()
+    return [c for c in names if not differ[c]]
+
+
 def plate_vectors(features: DataFrame) -> DataFrame:
     """M1 + M2 on the per-plate feature table."""
     num = numeric_columns(features, exclude=("plate",))

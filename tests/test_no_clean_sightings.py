@@ -1,0 +1,36 @@
+"""Tables whose sightings are all conflicts: nothing is left to cut into trips, and every query says so without an error."""
+
+import datetime as dt
+
+import pytest
+
+from roadtrace.operators import clustering as cl
+from roadtrace.plans.catalog import REGISTRY
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+T0 = dt.datetime(2024, 1, 1, 8)
+
+
+@pytest.fixture(scope="module")
+def all_conflicts(spark, tmp_path_factory):
+    """Two plates at every instant: event ids of one lane, equal gates."""
+    folder = tmp_path_factory.mktemp("conflicts")
+    rows = [(3 * i + 1, T0 + dt.timedelta(hours=i // 2), 1 + i % 2, "view", 1.0, '{"k": 4}') for i in range(20)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(folder / "events.parquet"))
+    assert REGISTRY["remove_conflicts"].build(spark, str(folder)).count() == 0
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, columns", [
+    ("vectorize_features", ["plate", "slot", "value"]), ("training_split", ["plate", "trains"])])
+def test_no_vectors(spark, all_conflicts, name, columns):
+    got = REGISTRY[name].build(spark, all_conflicts)
+    assert got.columns == columns and got.collect() == []
+
+
+def test_one_nationality_has_no_slot(spark):
+    df = spark.createDataFrame([(1, "I", 2.0), (2, "I", 5.0)], "plate int, nationality string, n double")
+    assert [list(r.features) for r in cl.vectorize(df).orderBy("plate").collect()] == [[2.0], [5.0]]
+    assert [list(r.features) for r in cl.vectorize(df, include_id=True).orderBy("plate").collect()] == [[1.0, 2.0], [2.0, 5.0]]
+    two = df.unionByName(df.selectExpr("plate + 2 AS plate", "'HR' AS nationality", "n"))
+    assert {len(r.features) for r in cl.vectorize(two).collect()} == {2}
