@@ -113,10 +113,13 @@ def in_training(id_col: str = "plate", seed: int = SEED, share: float = TRAIN_SH
 def squared_distance_cost(df: DataFrame, centres: list[list[float]], features_col: str = FEATURES) -> DataFrame:
     """M4: the sum of squared distances of the rows to their nearest centre, as one row ``wcss``.
 
-    ``centres`` are model parameters: k vectors, whatever the data's size.
+    ``centres`` are model parameters: k vectors, whatever the data's size.  Without any, no rows cost 0 and rows are
+    an error.
     """
-    v = F.col("_v")
-    nearest = F.least(*[_squared_distance(v, c) for c in centres]) if len(centres) > 1 else _squared_distance(v, centres[0])
+    costs = [_squared_distance(F.col("_v"), c) for c in centres]
+    if not costs:
+        costs = [F.raise_error(F.lit("no centres to measure rows against")).cast("double")]
+    nearest = F.least(*costs) if len(costs) > 1 else costs[0]
     return (df.select(vector_to_array(features_col).alias("_v"))
             .agg(F.coalesce(F.sum(nearest), F.lit(0.0)).alias("wcss")))
 

@@ -34,3 +34,10 @@ def test_one_nationality_has_no_slot(spark):
     assert [list(r.features) for r in cl.vectorize(df, include_id=True).orderBy("plate").collect()] == [[1.0, 2.0], [2.0, 5.0]]
     two = df.unionByName(df.selectExpr("plate + 2 AS plate", "'HR' AS nationality", "n"))
     assert {len(r.features) for r in cl.vectorize(two).collect()} == {2}
+
+
+def test_no_centres(spark, all_conflicts):
+    assert [tuple(r) for r in REGISTRY["wcss_of_centres"].build(spark, all_conflicts).collect()] == [(0.0,)]
+    df = cl.vectorize(spark.createDataFrame([(1, 2.0)], "plate int, n double"))
+    with pytest.raises(Exception, match="no centres"):
+        cl.squared_distance_cost(df, []).collect()
