@@ -241,7 +241,10 @@ def sweep_anomalies(df: DataFrame, algo: str, models: list[tuple[int, KMeansMode
     """M6 for every model of a sweep: ``(algo, k, plate, prediction)``, ordered once over the whole result.
 
     All models predict in one scan; sizes are one aggregate over (k, cluster), applied as in ``anomalies``.
+    Without models there are no rows.
     """
+    if not models:
+        return df.where(F.lit(False)).select(F.lit(algo).alias("algo"), F.lit(0).alias("k"), id_col, F.lit(0).alias("prediction"))
     found = all_predictions(df, models, id_col)
     sizes = found.groupBy("k", "prediction").agg(F.count(F.lit(1)).alias("count"))
     # one row per cluster of the sweep

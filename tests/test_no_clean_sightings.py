@@ -44,7 +44,8 @@ def test_no_centres(spark, all_conflicts):
 
 
 @pytest.mark.parametrize("name, columns", [
-    ("kmeans_wcss", ["algo", "k", "wcss"]), ("gmm_sweep", ["algo", "k", "log_likelihood"])])
+    ("kmeans_wcss", ["algo", "k", "wcss"]), ("gmm_sweep", ["algo", "k", "log_likelihood"]),
+    ("anomalies", ["algo", "k", "plate", "prediction"]), ("gmm_anomalies", ["algo", "k", "plate", "prediction"])])
 def test_no_models(spark, all_conflicts, name, columns):
     got = REGISTRY[name].build(spark, all_conflicts)
     assert got.columns == columns and got.collect() == []
