@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadtrace.functions.time import iso_weekday
 from roadtrace.operators.features import TRIP_SUMMARY_STATS, _cap, trip_stats
@@ -96,9 +97,12 @@ def write_days(days: DataFrame, path: str) -> None:
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def read_days(spark: SparkSession, path: str, days: list | None = None) -> DataFrame:
-    """The state of all days, or of the given dates (other partitions aren't read)."""
-    table = spark.read.parquet(path)
+def read_days(spark: SparkSession, path: str, days: list | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """The state of all days, or of the given dates (other partitions aren't read).
+
+    A table that no day was written to has no file to tell its columns: with ``schema``, that of the state, it is empty.
+    """
+    table = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     if days is None:
         return table
     return table.where(reduce(lambda a, b: a | b, [F.col("day") == F.lit(d).cast("date") for d in days], F.lit(False)))

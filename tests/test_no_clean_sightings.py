@@ -49,3 +49,8 @@ def test_no_centres(spark, all_conflicts):
 def test_no_models(spark, all_conflicts, name, columns):
     got = REGISTRY[name].build(spark, all_conflicts)
     assert got.columns == columns and got.collect() == []
+
+
+def test_no_days(spark, all_conflicts):
+    got = REGISTRY["daily_plate_features"].build(spark, all_conflicts)
+    assert got.schema.names == REGISTRY["plate_features"].build(spark, all_conflicts).schema.names and got.collect() == []
