@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadtrace.operators import trips as tr
-from roadtrace.schema import SIGHTING_COLS
+from roadtrace.schema import SIGHTING, SIGHTING_COLS
 from roadtrace.streaming.ingest import sighting_stream
 
 _KEY = ["day", "plate"]
@@ -63,7 +63,11 @@ def read_trips(spark: SparkSession, view_path: str, policy: str, pairs: DataFram
     """The sightings with ``tripid, step, prev_gate, prev_ts``, as ``sessionize`` gives them."""
     x = _current(spark, view_path)
     if x is None:
-        raise ValueError(f"no sightings in {view_path}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(view_path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            raise ValueError(f"no view at {view_path}")
+        # batches were kept, but none has brought a row
+        x = tr.windowed_chunks(tr.day_chunks(spark.createDataFrame([], SIGHTING)), pairs, policies, cut_minutes)
     summary = tr.chunk_summary(x, pairs, policies, cut_minutes)
     return tr.stitched(x, summary, policy, SIGHTING_COLS)
 

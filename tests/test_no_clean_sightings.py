@@ -6,6 +6,7 @@ import pytest
 
 from roadtrace.operators import clustering as cl
 from roadtrace.plans.catalog import REGISTRY
+from roadtrace.streaming import trips as st
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 T0 = dt.datetime(2024, 1, 1, 8)
@@ -54,3 +55,10 @@ def test_no_models(spark, all_conflicts, name, columns):
 def test_no_days(spark, all_conflicts):
     got = REGISTRY["daily_plate_features"].build(spark, all_conflicts)
     assert got.schema.names == REGISTRY["plate_features"].build(spark, all_conflicts).schema.names and got.collect() == []
+
+
+def test_no_trips(spark, all_conflicts, tmp_path):
+    got = REGISTRY["streamed_trips"].build(spark, all_conflicts)
+    assert got.columns == REGISTRY["sessionize_as_coded"].build(spark, all_conflicts).columns and got.collect() == []
+    with pytest.raises(ValueError):
+        st.read_trips(spark, str(tmp_path / "nowhere"), "gap", None, 30, ("gap",))
