@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadtrace.operators.quality import CONFLICT_KEYS, any_null, valid_sightings
 from roadtrace.schema import SIGHTING, SIGHTING_COLS
-from roadtrace.streaming.ingest import TABLE, append_new, sighting_stream
+from roadtrace.streaming.ingest import TABLE, append_new, sighting_stream, write_by_day
 
 _PARTITION = [T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())]
 CONFLICT_LOG = T.StructType([*[SIGHTING[c] for c in CONFLICT_KEYS], T.StructField("plates", T.LongType()), *_PARTITION])
@@ -58,21 +58,27 @@ def maintain(spark: SparkSession, batch_id: int, table_path: str, view_path: str
     old = (table.where(F.col("batch") < batch_id).alias("old")
            .join(touched.alias("new"), _same_key("old", "new"), "left_semi"))
     rows = old.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
-    state = rows.groupBy(*keys).agg(F.count_distinct(F.when(~F.col("_new"), F.col("plate"))).alias("was"),
-                                    F.count_distinct("plate").alias("now"))
+    # a plate of a key first, so that both counts are plain ones; both logs read the state
+    plates = rows.groupBy(*keys, "plate").agg(F.min("_new").alias("_new"))
+    state = plates.groupBy(*keys).agg(F.count(F.when(~F.col("_new"), F.col("plate"))).alias("was"),
+                                      F.count("plate").alias("now")).persist()
     out = f"{view_path.rstrip('/')}/{{}}/batch={batch_id}"
-    changed = state.where((F.col("now") > 1) & (F.col("now") > F.col("was")))
-    (changed.select(*CONFLICT_KEYS, F.col("now").alias("plates"), "day")
-     .write.mode("overwrite").partitionBy("day").parquet(out.format("conflicts")))
-
-    # a key with a null never meets a conflict
-    split = F.when(any_null(CONFLICT_KEYS), False)
-    state = state.select(*keys, split.otherwise(F.col("was") > 1).alias("_was"), split.otherwise(F.col("now") > 1).alias("_now"))
-    held = rows.alias("r").join(state.alias("s"), _same_key("r", "s")).select("r.*", "_was", "_now")
-    sign = (F.when(F.col("_new") & ~F.col("_now"), 1)                       # comes in
-            .when(~F.col("_new") & ~F.col("_was") & F.col("_now"), -1))     # goes out
-    (held.withColumn("sign", sign).where(F.col("sign").isNotNull()).select(*SIGHTING_COLS, "sign", "day")
-     .write.mode("overwrite").partitionBy("day").parquet(out.format("clean")))
+    try:
+        changed = state.where((F.col("now") > 1) & (F.col("now") > F.col("was")))
+        write_by_day(changed.select(*CONFLICT_KEYS, F.col("now").alias("plates"), "day"), out.format("conflicts"))
+
+        # a key with a null never meets a conflict; rows of a key that had one before have gone out already
+        split = F.when(any_null(CONFLICT_KEYS), False)
+        open_keys = (state.select(*keys, split.otherwise(F.col("was") > 1).alias("_was"), split.otherwise(F.col("now") > 1).alias("_now"))
+                     .where(~F.col("_was")))
+        upto = table.where(F.col("batch") <= batch_id).withColumn("_new", F.col("batch") == batch_id)
+        held = upto.alias("r").join(open_keys.alias("s"), _same_key("r", "s")).select("r.*", "_now")
+        sign = (F.when(F.col("_new") & ~F.col("_now"), 1)        # comes in
+                .when(~F.col("_new") & F.col("_now"), -1))       # goes out
+        write_by_day(held.withColumn("sign", sign).where(F.col("sign").isNotNull()).select(*SIGHTING_COLS, "sign", "day"),
+                     out.format("clean"))
+    finally:
+        state.unpersist()
 
 
 def read_conflicts(spark: SparkSession, view_path: str) -> DataFrame:

@@ -42,7 +42,8 @@ def read_table(spark: SparkSession, table_path: str) -> DataFrame:
 def append_new(batch: DataFrame, batch_id: int, table_path: str) -> None:
     """Add the rows of a micro-batch that the table's other batches don't hold."""
     spark = batch.sparkSession
-    fresh = batch.distinct().withColumn("day", F.to_date("ts"))
+    fresh = batch.withColumn("day", F.to_date("ts"))
+    found = fresh.withColumn("_there", F.lit(False))
     try:
         table = spark.read.schema(TABLE).parquet(table_path).where(F.col("batch") != batch_id)
     except AnalysisException as e:
@@ -51,10 +52,17 @@ def append_new(batch: DataFrame, batch_id: int, table_path: str) -> None:
     else:
         # the touched days prune the table's partitions (dynamically, from the batch's own days)
         days = fresh.select("day").distinct()
-        there = table.join(days, table["day"].eqNullSafe(days["day"]), "left_semi").alias("there")
-        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"there.{c}")) for c in ("day", *SIGHTING_COLS)]
-        fresh = fresh.alias("new").join(there, same, "left_anti")
-    fresh.write.mode("overwrite").partitionBy("day").parquet(f"{table_path.rstrip('/')}/batch={batch_id}")
+        there = table.join(days, table["day"].eqNullSafe(days["day"]), "left_semi").drop("batch")
+        found = found.unionByName(there.withColumn("_there", F.lit(True)))
+    # one grouping finds the distinct rows and those that are there
+    new = found.groupBy(*SIGHTING_COLS, "day").agg(F.max("_there").alias("_there")).where(~F.col("_there")).drop("_there")
+    write_by_day(new, f"{table_path.rstrip('/')}/batch={batch_id}")
+
+
+def write_by_day(df: DataFrame, path: str) -> None:
+    """Overwrite a table partitioned by day.  Days are brought together first, a large one in several tasks: otherwise
+    every task adds a file to every day."""
+    df.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def start_ingest(spark: SparkSession, folder: str, table_path: str, checkpoint: str,

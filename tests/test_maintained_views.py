@@ -84,3 +84,19 @@ def test_as_a_stream(spark, tmp_path):
     stream.awaitTermination(120)
     assert read_table(spark, table).count() > 10
     same_as_batch(spark, table, views)
+
+
+def test_a_batch_leaves_one_file_per_day(spark, tmp_path):
+    """However many tasks write: otherwise files grow with tasks times days."""
+    table, views = tmp_path / "table", tmp_path / "views"
+    rows = [(p % 7, g, float(p % 3), T0 + dt.timedelta(days=p % 3), "I") for p in range(60) for g in range(1, 4)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for i in range(2):
+            append_new(spark.createDataFrame(rows[i::2], SIGHTING), i, str(table))
+            cv.maintain(spark, i, str(table), str(views))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    same_as_batch(spark, str(table), str(views))
+    written = [d for kept in (table, views / "conflicts", views / "clean") for d in kept.glob("batch=*/day=*")]
+    assert written and all(len(list(d.glob("*.parquet"))) == 1 for d in written)
