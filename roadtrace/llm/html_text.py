@@ -3,10 +3,10 @@
 A tokenizer feeds a tree builder that supplies implied tags (an open ``p`` ends before a block, ``li``, ``dd``, ``tr``,
 ``td`` and their like end each other, a cell outside a row opens one, content ends ``head``); a renderer walks the tree
 with an explicit stack and emits all visible text: blocks on lines of their own, paragraphs and headings apart by an
-empty line, lists with bullets or numbers and indentation, ``pre`` as it stands, tables with aligned columns.  A table
-that alignment would blow up to more than ``PADDED`` times its own text (and ``FREE`` characters) is printed without
-padding, the cells of a row two spaces apart or, if one has several lines, below each other; so a page's text grows in
-proportion to the page.
+empty line, lists with bullets or numbers and indentation, ``pre`` as it stands, tables with aligned columns.  Text in
+a cell of more than ``FIELD`` characters a line is no field of a column: its row is printed without padding, the cells two
+spaces apart or, if one has several lines, below each other, and so is a row whose columns reach beyond ``LINE``
+characters.  Neither depends on the number of rows, and a line of a table has at most ``LINE`` characters of padding.
 
 Invisible are ``head``, scripts, styles and other elements without a box, elements with ``hidden`` or ``display:none``,
 closed ``details`` and ``dialog``, and text under ``visibility:hidden`` or ``collapse`` (a descendant may turn it
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from roadtrace.llm.common import pieces, with_columns
 
 DEPTH = 512
-PADDED, FREE = 8, 4096
+FIELD, LINE = 200, 1000
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))",
                   re.S)
@@ -312,27 +313,33 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             col += wide
         busy = {c: n - 1 for c, n in busy.items() if n > 1}
         placed.append(out)
-    columns = sorted({c for r in placed for c in r})
-    width = {c: max((len(x) for r in placed for x in r.get(c, ())), default=0) for c in columns}
-    columns = [c for c in columns if width[c]]
-    high = sum(max((len(x) for x in r.values()), default=0) for r in placed)
-    own = sum(len(x) for r in placed for lines in r.values() for x in lines)
-    if high * (sum(width.values()) + 2 * len(columns)) > PADDED * own + FREE:
-        return _unpadded(placed)
+    fields = [all(len(x) <= FIELD for lines in r.values() for x in lines) for r in placed]
+    width: dict[int, int] = {}
+    for r, ok in zip(placed, fields):
+        for c, lines in r.items() if ok else ():
+            width[c] = max(width.get(c, 0), *map(len, lines), 0)
+    columns = [c for c in sorted(width) if width[c]]
+    ends, at = {}, 0    # where a column ends
+    for c in columns:
+        ends[c] = at + width[c]
+        at = ends[c] + 2
     out = []
-    for r in placed:
+    for r, ok in zip(placed, fields):
+        held = [c for c in r if any(r[c])]
+        if not ok or (held and ends[max(held)] > LINE):
+            out += _unpadded(r)
+            continue
+        upto = columns[: bisect_right(columns, max(held))] if held else []
         for i in range(max((len(x) for x in r.values()), default=0)):
-            cells = [(r.get(c) or [])[i: i + 1] or [""] for c in columns]
-            out.append("  ".join(x[0].ljust(width[c]) for x, c in zip(cells, columns)).rstrip(" "))
+            cells = [(r.get(c) or [])[i: i + 1] or [""] for c in upto]
+            out.append("  ".join(x[0].ljust(width[c]) for x, c in zip(cells, upto)).rstrip(" "))
     return out
 
 
-def _unpadded(placed: list[dict[int, list[str]]]) -> list[str]:
-    out = []
-    for r in placed:
-        cells = [r[c] for c in sorted(r) if any(r[c])]
-        out += ["  ".join(c[0] for c in cells)] if all(len(c) == 1 for c in cells) else [x for c in cells for x in c]
-    return out
+def _unpadded(row: dict[int, list[str]]) -> list[str]:
+    """A row without columns."""
+    cells = [row[c] for c in sorted(row) if any(row[c])]
+    return ["  ".join(c[0] for c in cells)] if all(len(c) == 1 for c in cells) else [x for c in cells for x in c]
 
 
 def _span(node: Node, name: str) -> int:

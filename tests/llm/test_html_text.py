@@ -106,6 +106,19 @@ def test_wide_tables_are_not_blown_up():
         "w" * 9000, "p", "q", "a  b"]
 
 
+def test_a_row_looks_the_same_in_tables_of_any_length():
+    wide, tall = "w" * 150, "<tr><td>r<td>s<br>t"
+    for n in (1, 3, 400):
+        got = render(f"<table><tr><td>{wide}<td>x{tall * n}</table>").split("\n")
+        assert got == [wide + "  x"] + ["r" + " " * 151 + "s", " " * 152 + "t"] * n
+        # a cell of running text is in no column, whatever stands below it
+        got = render(f"<table><tr><td>{wide * 3}<td>x<tr><td>ab<td>c{tall * n}</table>").split("\n")
+        assert got == [wide * 3 + "  x", "ab  c"] + ["r   s", "    t"] * n
+    # rows that only reach far to the right don't multiply the page
+    page = "<table><tr>" + "<td rowspan=900>" + "<td rowspan=900>".join(["word"] * 900) + "<tr><td>a" * 800 + "</table>"
+    assert len(render(page)) < 10 * len(page) and render(page).split() == ["word"] * 900 + ["a"] * 800
+
+
 def test_a_long_line_takes_time_in_proportion():
     import time
     begun = time.perf_counter()
